@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,34 +69,54 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def min_label_components(nodes_edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected graph as rows (node, component), component the smallest node.
+def _batch_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties the edges of each batch into stars around its smallest connected nodes."""
+    for b in batches:
+        root: dict[int, int] = {}
+
+        def find(x: int, root: dict[int, int] = root) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(u), find(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        stars = [(u, r) for u in root if (r := find(u)) != u]
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in stars], pa.int64()), pa.array([v for _, v in stars], pa.int64())], names=["u", "v"])
+
+
+def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+    """Connected components of an undirected graph as rows (node, component), component the smallest node (nodes are bigint).
 
     Alternating large-star and small-star steps: each replaces the edges by
     stars of the smallest neighbour and keeps the components; rounds grow with
-    the logarithm of the component size. Each step is two narrow aggregations,
-    and the edges are written after each round. A group of any size is only
-    ever a minimum per node, so no task holds a group. Isolated nodes do not
-    occur in the result.
+    the logarithm of the component size. A step is a minimum per node
+    and a join with it, which Spark splits where a node has many edges, so no
+    task holds a group; edges are tied into stars batch by batch before they
+    are shuffled, and written after each round. Isolated nodes do not occur in
+    the result.
     """
-    edges = written(
-        nodes_edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct(), "edges"
-    )
+    own = edges.select(F.greatest(src, dst).cast("bigint").alias("u"), F.least(src, dst).cast("bigint").alias("v")).where("u <> v")
+    now = written(own.mapInArrow(_batch_stars, "u bigint, v bigint"), "edges")
     for _ in range(max_rounds):
+        # stars only: every node is a leaf of one star, or a centre
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        if not ends.where("leaf + centre > 1 and leaf > 0").head(1):
+            break
         # large star: every neighbour larger than u goes to the smallest of u and its neighbours
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every neighbour not larger than u, and u itself, goes to the smallest of them
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: every neighbour smaller than u, and u itself, goes to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        same = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).head() for x in (edges, after)]
-        drop_written(edges)
-        edges = after
-        if same[0] == same[1]:
-            break
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        after = written(small.mapInArrow(_batch_stars, "u bigint, v bigint").distinct(), "edges")
+        drop_written(now)
+        now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -216,7 +216,7 @@ def components(documents: DataFrame) -> DataFrame:
     texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     feats = written(texts.mapInArrow(_features, "doc_id bigint, node bigint, n_shingles bigint, sig binary"), "shingles")
     real = feats.where("node is not null and doc_id is not null")
-    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
 
     # stars of nodes that share a key: in each batch, then over the batches
     sigs = real.select("node", "sig")
@@ -226,10 +226,11 @@ def components(documents: DataFrame) -> DataFrame:
     clusters = min_label_components(near.unionByName(far)).withColumnRenamed("component", "cluster")
 
     members = clusters.join(nodes, "node")
-    full = texts.join(members, texts.doc_id == members.rep).select("text", "node", "cluster").mapInArrow(_sets, "node bigint, cluster bigint, own binary, sig binary")
-    full = written(full, "sets")
-    sizes = full.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.length("own")) / (8 * TILE_SHINGLES))).cast("long").alias("tiles"))
-    full = full.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long").alias("tiles"))
+    members = members.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).select("rep", "node", "cluster", "tiles", "tile")
+    # the members grow with the input, so they are not sent to the texts: both sides are dealt out by doc_id
+    found = texts.join(members.hint("merge"), texts.doc_id == members.rep).select("text", "node", "cluster", "tiles", "tile")
+    full = written(found.mapInArrow(_sets, "node bigint, cluster bigint, tiles bigint, tile bigint, own binary, sig binary"), "sets")
 
     # the first tile with each of the others
     others = F.when(F.col("tile") > 0, F.array("tile")).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("tiles") - 1)))
@@ -238,7 +239,7 @@ def components(documents: DataFrame) -> DataFrame:
     links = written(_confirmed(first.select("group", *cols)), "links")
 
     # in clusters of several tiles: the nodes outside the largest component with all nodes
-    if sizes.where("tiles > 1").head():
+    if full.select("tiles").where("tiles > 1").head(1):
         large = full.where("tiles > 1")
         comps = min_label_components(links)
         large = large.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
