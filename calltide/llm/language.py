@@ -30,12 +30,14 @@ from .common import held_out
 PROFILE = 400
 UNKNOWN = "und"
 BITS = np.int64(21)  # a code point
+#: The code of a word boundary; 0 would make a letter after it look like the letter alone.
+EDGE = 1
 
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point, itself if it is a letter, else 0."""
-    table = np.zeros(0x110000, np.int64)
+    """For each code point, itself if it is a letter, else EDGE."""
+    table = np.full(0x110000, EDGE, np.int64)
     codes = [i for i in range(0x110000) if chr(i).isalpha()]
     table[codes] = codes
     return table
@@ -50,13 +52,13 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return empty, empty
     c = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    c = np.concatenate([[0], c, [0]])
-    c = c[(c != 0) | np.concatenate([[True], c[:-1] != 0])]  # one boundary between words
+    c = np.concatenate([[EDGE], c, [EDGE]])
+    c = c[(c != EDGE) | np.concatenate([[True], c[:-1] != EDGE])]  # one boundary between words
     if len(c) < 3:
         return empty, empty
     two = (c[:-1] << BITS) | c[1:]
-    three = ((two[:-1] << BITS) | c[2:])[c[1:-1] != 0]
-    return np.unique(np.concatenate([c[c != 0], two, three]), return_counts=True)
+    three = ((two[:-1] << BITS) | c[2:])[c[1:-1] != EDGE]
+    return np.unique(np.concatenate([c[c != EDGE], two, three]), return_counts=True)
 
 
 def top(codes: np.ndarray, counts: np.ndarray, k: int = PROFILE) -> np.ndarray:
