@@ -26,6 +26,17 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(mod) == F.lit(rest), F.lit(True))
 
 
+#: Bytes of an Arrow batch that is sent to a Python worker, about. Spark's own 64 MB, times the copies
+#: that a worker makes of texts, would be most of a small executor's memory.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; batches that its session sends to Python from now on are bounded."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def free_name(base: str, taken: Iterable[str]) -> str:
     """``base``, with underscores appended until no column has that name (case ignored)."""
     used = {x.lower() for x in taken}

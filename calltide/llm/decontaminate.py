@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: ASCII signs part words as white space does.
 SPACES = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
 BLOCK = 20_000
@@ -209,7 +211,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_words, similarity, start_word), one row per document and leaked item."""
-    texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    texts = small_batches(documents).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     schema = "doc_id bigint, item_id bigint, distance bigint, item_words bigint, start_word bigint"
     out = None
     for items in _blocks(benchmark):
@@ -241,5 +243,5 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     gone = {x[0] for x in items.leaks([word_hashes(t) for t in some.column(text).to_pylist()])}
                     yield some.filter(pa.array([i not in gone for i in range(some.num_rows)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = small_batches(documents).mapInArrow(run, documents.schema)
     return documents

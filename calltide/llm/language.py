@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 PROFILE = 400
 UNKNOWN = "und"
@@ -105,7 +105,7 @@ class Profiles:
 def fit(documents: DataFrame, size: int = PROFILE, mod: int = 5) -> Profiles:
     """Learns from text and lang of rows with a lang whose crc32(doc_id as text) mod ``mod`` is not 0."""
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), mod, 0))
-    counts = known.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_count, "lang string, gram bigint, n bigint")
+    counts = small_batches(known).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_count, "lang string, gram bigint, n bigint")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
     for keys in (("lang", "part"), ("lang",)):
         w = Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")
@@ -125,7 +125,7 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    out = documents.select(F.col("text").cast("string"), "doc_id").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = small_batches(documents).select(F.col("text").cast("string"), "doc_id").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
@@ -138,4 +138,4 @@ def keep_identified(documents: DataFrame, profiles: Profiles, least: float = 0.0
             found = [profiles.predict(t) for t in b.column(text).to_pylist()]
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

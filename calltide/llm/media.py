@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import new_path
+from .common import new_path, small_batches
 
 WIDTH = 192
 BLOCK = 4 << 20
@@ -142,7 +142,7 @@ def write_archives(documents: DataFrame, folder: str) -> None:
             archive.close()
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["archive", "members"])
 
-    texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    texts = small_batches(documents).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     done = texts.mapInArrow(run, "archive string, members bigint").collect()  # a row a task
     with store.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps(sorted(r.archive for r in done)).encode())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import min_label_components, written
+from .common import min_label_components, small_batches, written
 
 WORDS = 5
 SYMBOLS, RADIUS, CHUNKS = 64, 23, 12
@@ -213,7 +213,7 @@ def _confirmed(tiles: DataFrame) -> DataFrame:
 
 def components(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): kept is true for the smallest doc_id of each component."""
-    texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
+    texts = small_batches(documents).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     feats = written(texts.mapInArrow(_features, "doc_id bigint, node bigint, n_shingles bigint, sig binary"), "shingles")
     real = feats.where("node is not null and doc_id is not null")
     nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))

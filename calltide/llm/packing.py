@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -122,7 +122,7 @@ def pieces(documents: DataFrame, tokenizer: str, end: int = END, capacity: int =
                 x = np.array(rows, np.int64).reshape(-1, 6).T
                 yield pa.RecordBatch.from_arrays([some.column(1).take(pa.array(x[0])), *map(pa.array, x[1:5]), pa.array(np.full(x.shape[1], part, np.int32)), pa.array(x[5])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    texts = documents.select(F.col("text").cast("string").alias("text"), "doc_id")
+    texts = small_batches(documents).select(F.col("text").cast("string").alias("text"), "doc_id")
     return texts.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, rank bigint")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import held_out, small_batches, written
 
 #: Bytes counted as symbols and as sentence punctuation (fixed values).
 SYMBOLS = b"!#$%&*<>{}[]\\^~=+@_"
@@ -135,7 +135,7 @@ class Model:
 def vectors(documents: DataFrame) -> DataFrame:
     """(doc_id, x) for each row of ``documents``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select(F.col("text").cast("string").alias("text"), "doc_id").mapInArrow(_vectors, f"doc_id {kind}, x array<double>")
+    return small_batches(documents).select(F.col("text").cast("string").alias("text"), "doc_id").mapInArrow(_vectors, f"doc_id {kind}, x array<double>")
 
 
 def fit(vectors: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.02, mod: int = 5) -> Model:
@@ -179,4 +179,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             v = np.array([statistics(t) for t in b.column(text).to_pylist()], float).reshape(-1, N_FEATURES)
             yield b.filter(pa.array(model.score(v) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

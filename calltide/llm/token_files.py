@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches
 from .tokens import encoder
 
 END = 2
@@ -46,7 +46,7 @@ def write_tokens(documents: DataFrame, out: str, tokenizer: str, end: int = END,
                 yield pa.RecordBatch.from_arrays([some.column(1), lists, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends[:-1])], names=["doc_id", "ids", "n_tokens", "part", "before"])
                 before += int(ends[-1])
 
-    texts = documents.select(F.col("text").cast("string").alias("text"), "doc_id").withColumn("h", F.xxhash64("text"))
+    texts = small_batches(documents).select(F.col("text").cast("string").alias("text"), "doc_id").withColumn("h", F.xxhash64("text"))
     dealt = texts.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("text", "doc_id")
     encoded = dealt.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, part int, before bigint")
     (

@@ -15,7 +15,7 @@ from functools import cache
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker keeps, at most; the cache starts anew beyond. Longer pieces are not kept.
-CACHE = 1_000_000
+CACHE = 500_000
 LONGEST = 40
 PIECE = re.compile(r"\s*\S+|\s+")
 #: Only around a space with white space (or the end) after it may a piece depend on its neighbours.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 
 #: Rows per label that are learned from, at most.
 SAMPLE = 5_000
@@ -195,5 +195,5 @@ def classify(documents: DataFrame, model: Model, threshold: float = 0.7) -> Data
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    out = documents.select(F.col("text").cast("string"), "doc_id").mapInArrow(run, f"doc_id {kind}, score double")
+    out = small_batches(documents).select(F.col("text").cast("string"), "doc_id").mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
