@@ -57,7 +57,8 @@ def mentions(text: Column) -> Column:
     for pattern, readings in FORMS:
         whole = F.regexp_extract_all(text, F.lit(f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})"), 1)
         found += [F.transform(whole, reader(pattern, *r)) for r in readings]
-    return F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array(*found)))))
+    dates = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array(*found)))))
+    return F.when(text.rlike("20[0-9]{2}"), dates).otherwise(F.array().cast("array<date>"))  # each form has such a year
 
 
 def upcoming(text: Column, now: Column, past: int = 3, future: int = 548) -> Column:

@@ -28,7 +28,7 @@ def monitor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.monitor_candidates(sources(spark, sf_dir), moment(NOW), 70, 20).select("id")
 
 
-@query(f"""WITH {SOURCES} SELECT id FROM sources WHERE NOT (regexp_extract(url, '^https?://([^/]+)', 1) IN ('site3.example.org','site5.example.org') AND last_checked_at >= TIMESTAMP '{NOW}' - INTERVAL 28 DAY)""")
+@query(f"""WITH {SOURCES} SELECT id FROM sources WHERE NOT (regexp_extract(url, '^https?://([^/]+)', 1) IN ('site3.example.org','site5.example.org') AND coalesce(last_checked_at >= TIMESTAMP '{NOW}' - INTERVAL 28 DAY, false))""")
 def weekly_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """hosts that are read once a period only."""
     from ..functions.url import host, host_in
