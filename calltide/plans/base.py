@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores is dealt out over them, for work that is heavy for each row; large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def moment(text: str) -> Column:
     """A time without zone as a literal, whatever the session's zone."""
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
@@ -110,8 +116,10 @@ def _ntz(expression: str) -> str:
     return expression.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
 
 
-def opportunities(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def opportunities(spark: SparkSession, sf_dir: str, *columns: str, heavy: bool = False) -> DataFrame:
+    """The view; ``heavy`` says that much is to be done with each row."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders = spread(orders) if heavy else orders
     both = orders.join(customer, orders.o_custkey == customer.c_custkey)
     return both.select(*[F.expr(e).alias(n) for n, e in OPPORTUNITY if not columns or n in columns])
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import joins, metrics, ranking, state
 from ..sources import readers, sinks
-from .base import NOW, OPPORTUNITIES, SOURCES, moment, opportunities, query, sources, table
+from .base import NOW, OPPORTUNITIES, SOURCES, moment, opportunities, query, sources, spread, table
 from .ranking import _DUE, _ORDER
 
 
@@ -30,7 +30,7 @@ def job_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through gate, call signal, category and keys; ``code`` is why a page is dropped."""
-    pages = table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("url"), "html")
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", U.canonical(F.col("url")).alias("url"), "html")
     read = pages.select("page_id", "url", H.plain_text(F.col("html")).alias("text"), H.title(F.col("html")).alias("title"))
     signal = X.call_signal(F.col("text"), moment(NOW), lenient=True)
     category = X.category_for(F.lit(None).cast("string"), F.col("title"), F.lit(""))

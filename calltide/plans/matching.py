@@ -23,7 +23,7 @@ _NOTICES = f"{OPPORTUNITIES}, notices AS (SELECT id, {_NOTICE.format("strftime(d
 
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of calls, made from the opportunities."""
-    rows = opportunities(spark, sf_dir, "id", "title", "discovered_at")
+    rows = opportunities(spark, sf_dir, "id", "title", "discovered_at", heavy=True)
     return rows.select("id", F.expr(_NOTICE.format("date_format(discovered_at, 'yyyy-MM-dd')")).alias("t"), "discovered_at")
 
 
@@ -84,7 +84,7 @@ def jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OPPORTUNITIES} SELECT id, sha256(concat_ws('|', {identity_sql('title')}, {identity_sql('organizer')}, coalesce(edition_year::VARCHAR, 'year-unknown'), 'edition unknown', {identity_sql('location')})) AS canonical, concat_ws('|', {identity_sql('title')}, edition_year::VARCHAR, {identity_sql('location')}) AS fuzzy FROM opportunities""")
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 D6 SK17: canonical and fuzzy keys."""
-    rows = opportunities(spark, sf_dir, "id", "title", "organizer", "edition_year", "location")
+    rows = opportunities(spark, sf_dir, "id", "title", "organizer", "edition_year", "location", heavy=True)
     return rows.select("id", ops.canonical_key(F.col("title"), F.col("organizer"), F.col("edition_year"), F.lit(None).cast("string"), F.col("location")).alias("canonical"), ops.fuzzy_key(F.col("title"), F.col("edition_year"), F.col("location")).alias("fuzzy"))
 
 

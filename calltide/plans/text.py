@@ -10,7 +10,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import ranking
-from .base import NOW, OPPORTUNITIES, moment, opportunities, query, table
+from .base import NOW, OPPORTUNITIES, moment, opportunities, query, spread, table
 
 
 def _q(s: str) -> str:
@@ -70,7 +70,7 @@ _TITLES = f"{OPPORTUNITIES}, titles AS (SELECT id, concat('  ', title, ' – Éd
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = opportunities(spark, sf_dir, "id", "title", "organizer")
+    rows = opportunities(spark, sf_dir, "id", "title", "organizer", heavy=True)
     return rows.select("id", F.concat(F.lit("  "), "title", F.lit(" – Édition № "), (F.col("id") % 30).cast("string"), F.lit("th edition  «Ünï»  &  L'Été "), "organizer").alias("t"))
 
 
@@ -114,7 +114,7 @@ def text_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH p AS (SELECT page_id, {decode_sql("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")} AS t FROM pages) SELECT page_id, {squeeze_sql('t')} AS title, contains(lower({squeeze_sql('t')}), 'the') AS evidence FROM p""")
 def text_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX18 TX28 HT9: decoded titles and evidence."""
-    p = table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
+    p = spread(table(spark, sf_dir, "pages")).select("page_id", H.title(F.col("html")).alias("title"))
     return p.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce(F.lower("title").contains("the"), F.lit(False)).alias("evidence"))
 
 
@@ -125,7 +125,7 @@ _HOST = "regexp_replace(regexp_extract(url, '^(https?)://([^/?#:]+)', 2), '^www\
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, base domain, root and path."""
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", U.host(u).alias("host"), U.base_domain(U.host(u)).alias("base"), U.is_root(u).alias("root"), U.path(u).alias("path"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", U.host(u).alias("host"), U.base_domain(U.host(u)).alias("base"), U.is_root(u).alias("root"), U.path(u).alias("path"))
 
 
 def _query_sql(drop: str) -> str:
@@ -136,7 +136,7 @@ def _query_sql(drop: str) -> str:
 {_HOST} || CASE WHEN length(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1)) > 1 THEN regexp_replace(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), '/+$', '') ELSE '/' END || {_query_sql('utm_campaign|utm_content|utm_medium|utm_source|utm_term|dclid|fbclid|gclid|mc_cid|mc_eid|msclkid|ref_src|igshid|ref|source')} AS key FROM pages""")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical URLs and match keys."""
-    return table(spark, sf_dir, "pages").select("page_id", U.canonical(F.col("url")).alias("canonical"), U.match_key(F.col("url")).alias("key"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", U.canonical(F.col("url")).alias("canonical"), U.match_key(F.col("url")).alias("key"))
 
 
 @query(f"""WITH {OPPORTUNITIES} SELECT id, coalesce(regexp_matches(official_url, '^https?://(?:[^/]+\\.)?filmfreeway\\.com/'), false) AS blocked, coalesce(regexp_matches(coalesce(application_url, official_url), '^https?://(?:[^/]+\\.)?(?:filmfreeway|festhome)\\.com/'), false) AS platform,
@@ -151,13 +151,13 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT page_id, {plain_sql('html')} AS text FROM pages")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HT1: the text of each page."""
-    return table(spark, sf_dir, "pages").select("page_id", H.plain_text(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", H.plain_text(F.col("html")).alias("text"))
 
 
 @query(f"SELECT page_id, sha256({plain_sql('html')}) AS digest FROM pages")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HT10: a hash of the text of each page."""
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(H.plain_text(F.col("html")), 256).alias("digest"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.sha2(H.plain_text(F.col("html")), 256).alias("digest"))
 
 
 @query(f"""WITH a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '(<a\\b[^>]*>.*?</a>)', 1, 'is')) AS a, generate_subscripts(regexp_extract_all(html, '(<a\\b[^>]*>.*?</a>)', 1, 'is'), 1) - 1 AS position FROM pages),
@@ -165,13 +165,13 @@ h AS (SELECT page_id, position, regexp_extract(base, '^(https?://[^/?#]+)', 1) |
 SELECT page_id, min(position)::INT AS position, url, arg_min(text, position) AS text FROM h GROUP BY page_id, url""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HT2 D13: the links of each page, each once."""
-    return H.links(table(spark, sf_dir, "pages"), "page_id", "url", "html").select("page_id", "position", "url", "text")
+    return H.links(spread(table(spark, sf_dir, "pages")), "page_id", "url", "html").select("page_id", "position", "url", "text")
 
 
 @query(f"""SELECT page_id, nullif({squeeze_sql(decode_sql("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')"))}, '') AS heading, length({plain_sql('html')}) < 600 AND len(regexp_extract_all(html, '(<a\\b[^>]*>.*?</a>)', 1, 'is')) < 6 AS shell, CASE WHEN length({plain_sql('html')}) < 80 THEN 'EMPTY_PAGE' END AS gate FROM pages""")
 def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC9 SC12 HT9: headings, script shells and gates of pages."""
-    p = table(spark, sf_dir, "pages").withColumn("t", H.plain_text(F.col("html")))
+    p = spread(table(spark, sf_dir, "pages")).withColumn("t", H.plain_text(F.col("html")))
     return p.select("page_id", H.heading(F.col("html")).alias("heading"), H.looks_like_shell(F.col("t"), F.size(H.anchors(F.col("html")))).alias("shell"), H.gate(F.lit(200), F.lit("text/html"), F.col("t")).alias("gate"))
 
 
@@ -179,14 +179,14 @@ def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC13 U21: robots rules, the longest match decides."""
     rules = F.array(*[F.struct(F.lit(a).alias("allow"), F.lit(p).alias("pattern")) for a, p in ((False, "/en/"), (True, "/en/*5"), (False, "/*.html$"))])
-    return table(spark, sf_dir, "pages").select("page_id", H.robots_allowed(U.path(F.col("url")), rules).alias("allowed"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", H.robots_allowed(U.path(F.col("url")), rules).alias("allowed"))
 
 
 _DATED = f"{OPPORTUNITIES}, dated AS (SELECT id, concat('Deadline ', strftime(discovered_at, '%Y-%m-%d'), ', results on 31/02/1999 or ', day(discovered_at), ' octubre de 2001; opens March 7, 2001.') AS t FROM opportunities)"
 
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = opportunities(spark, sf_dir, "id", "discovered_at")
+    rows = opportunities(spark, sf_dir, "id", "discovered_at", heavy=True)
     d = F.col("discovered_at")
     return rows.select("id", F.concat(F.lit("Deadline "), F.date_format(d, "yyyy-MM-dd"), F.lit(", results on 31/02/1999 or "), F.day(d).cast("string"), F.lit(" octubre de 2001; opens March 7, 2001.")).alias("t"))
 
@@ -232,6 +232,6 @@ _PAT = "regexp_matches(concat_ws(' ', url, text), '{}', 'i')::INT"
 s AS (SELECT page_id, url, {' + '.join(_PAT.format(p[4:].replace("'", "''")) for p in H.LINK_POSITIVE)} + 1 AS score FROM l) SELECT page_id, count(*) AS links, max(score)::INT AS best FROM s GROUP BY page_id""")
 def link_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HT3 W9: scores of the links of each page (the bare URLs of these pages)."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     links = H.links(pages, "page_id", "url", "html").select("page_id", "url", F.lit("").alias("text")).join(pages.select("page_id", U.raw_host(F.col("url")).alias("page_host")), "page_id")
     return ranking.link_scores(links, H.LINK_POSITIVE, [], ["."], 2999).groupBy("page_id").agg(F.count("*").alias("links"), F.max("score").alias("best"))
