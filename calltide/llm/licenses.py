@@ -3,9 +3,10 @@
 A text is cut into sentences, in two ways: at sentence ends and blank lines
 (so that wrapped lines stay together), and at sentence ends and every line end
 (so that a notice on a line of its own stands alone). Normalised sentences
-that are known licence sentences become identifiers; the identifiers of a
-document, in order, are matched against licence rules, sequences of
-identifiers. Rules are tried in their order, and what one has matched is not
+that are known licence sentences become identifiers; those of both ways are
+merged by their place in the text, where the lines of a known sentence do not
+count again. The identifiers of a document, in order, are matched against
+licence rules, sequences of identifiers. Rules are tried in their order, and what one has matched is not
 there for the next.
 
 Each document is worked on by itself: nothing is shuffled or exploded.
@@ -92,13 +93,26 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 IDENTIFIER = {s: k for k, v in SENTENCES.items() for s in v}
 
 
-def identifiers(text: Column, how: str) -> Column:
-    """The identifiers of the known sentences of a text, in order, as one string: each between spaces."""
+def _normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
+
+
+def _identifier(sentence: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in IDENTIFIER.items() for x in pair])
-    normal = F.transform(F.split(text, CUTS[how]), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    short = F.filter(normal, lambda s: F.length(s).between(min(map(len, IDENTIFIER)), max(map(len, IDENTIFIER))))
-    found = F.filter(F.transform(short, lambda s: known[s]), lambda s: s.isNotNull())
-    return F.array_join(F.transform(found, lambda s: F.concat(F.lit(" "), s, F.lit(" "))), "")
+    return F.when(F.length(sentence).between(min(map(len, IDENTIFIER)), max(map(len, IDENTIFIER))), known[sentence])
+
+
+def identifiers(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order, as one string: each between spaces."""
+
+    def found(sentence: Column) -> Column:
+        # every cut of 'sentences' is one of 'lines' too, so the lines are those of the sentences
+        lines = F.filter(F.transform(F.split(sentence, CUTS["lines"]), lambda x: _identifier(_normal(x))), lambda x: x.isNotNull())
+        whole = _identifier(_normal(sentence))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+
+    each = F.flatten(F.transform(F.split(text, CUTS["sentences"]), found))
+    return F.array_join(F.transform(each, lambda s: F.concat(F.lit(" "), s, F.lit(" "))), "")
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -109,12 +123,9 @@ def scan(documents: DataFrame) -> DataFrame:
     for stem in STEMS:
         likely |= text.contains(stem)
     out = documents.select("doc_id", F.when(likely, text).otherwise("").alias("low"))
-    for how in CUTS:
-        out = out.withColumn(how, F.when(F.col("low") == "", "").otherwise(identifiers(F.col("low"), how)))
-    # of the two ways the one that knows more sentences; on a tie, whole sentences
-    more = F.length(F.regexp_replace("lines", "[^ ]", "")) > F.length(F.regexp_replace("sentences", "[^ ]", ""))
-    left = F.when(more, F.col("lines")).otherwise(F.col("sentences"))
-    out = out.select("doc_id", left.alias("left"), F.floor(F.length(F.regexp_replace(left, "[^ ]", "")) / 2).cast("bigint").alias("n_sentences"))
+    left = F.when(F.col("low") == "", "").otherwise(identifiers(F.col("low")))
+    out = out.select("doc_id", left.alias("left"))
+    out = out.select("doc_id", "left", F.floor(F.length(F.regexp_replace("left", "[^ ]", "")) / 2).cast("bigint").alias("n_sentences"))
     out = out.withColumns({"n_matches": F.lit(0).cast("bigint"), "matched": F.array().cast("array<int>")})
     empty = F.col("left") == ""
     state = F.struct(F.col("left").alias("left"), F.col("n_matches").alias("n"), F.col("matched").alias("rules"))

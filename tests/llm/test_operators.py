@@ -484,6 +484,29 @@ def test_licence_tables_are_consistent():
     assert sum(map(len, licenses.SENTENCES.values())) == len(licenses.IDENTIFIER) < 200
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licences_of_both_cuts_are_merged(spark):
+    glued = "\nThe photos have other terms\nLicensed under CC BY-NC 4.0\nand so on\n"
+    rows = [(1, APACHE + glued), (2, glued + "\n" + APACHE), (3, glued * 6 + "\n" + APACHE), (4, "This work is\nlicensed under CC BY 4.0.")]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[i].licenses == "Apache-2.0,CC-BY-NC-4.0" and out[i].category == "permissive" for i in (1, 2, 3))
+    assert [(out[i].n_matches, out[i].n_sentences) for i in (1, 2, 3)] == [(2, 5), (2, 5), (7, 10)]
+    assert (out[4].licenses, out[4].n_sentences) == ("CC-BY-4.0", 1)
+
+
 def test_licence_edges(edges, empty):
     assert edges.count() == licenses.scan(edges).where("licenses = ''").count()
     assert licenses.scan(empty).count() == 0
