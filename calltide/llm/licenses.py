@@ -5,7 +5,8 @@ A text is cut into sentences, in two ways: at sentence ends and blank lines
 (so that a notice on a line of its own stands alone). Normalised sentences
 that are known licence sentences become identifiers; those of both ways are
 merged by their place in the text, where the lines of a known sentence do not
-count again. The identifiers of a document, in order, are matched against
+count again. A known sentence that the cuts part in its real wording is known
+by its fragments, one after the other. The identifiers of a document, in order, are matched against
 licence rules, sequences of identifiers. Rules are tried in their order, and what one has matched is not
 there for the next.
 
@@ -19,6 +20,8 @@ time in ``n_matches``; known sentences in no rule's order count in
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,28 +94,52 @@ STEMS = ["licen", "copyright", "permission", "redistribut", "public domain", "wa
 CUTS = {"sentences": r"\n[ \t\r]*\n|[.!?;:][ \t\r\n]", "lines": r"\n|[.!?;:][ \t\r]"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 IDENTIFIER = {s: k for k, v in SENTENCES.items() for s in v}
+#: Real wordings that CUTS part.
+WORDINGS = {
+    "gpl-redistribute": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
+    "mpl2-short": ["this source code form is subject to the terms of the mozilla public license, v. 2.0"],
+}
+
+
+def _fragments(wording: str) -> tuple[str, ...]:
+    return tuple(re.sub("[^a-z0-9]+", " ", x).strip() for x in re.split(CUTS["sentences"], wording))
+
+
+#: The two fragments of each such wording, by identifier.
+FRAGMENTS = {_fragments(x): k for k, v in WORDINGS.items() for x in v}
 
 
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
-def _identifier(sentence: Column) -> Column:
+def _identifier(sentence: Column, after: Column) -> Column:
+    """Of a sentence that is known, or whose wording goes on in ``after``, the next one as a whole or its first line."""
     known = F.create_map(*[F.lit(x) for pair in IDENTIFIER.items() for x in pair])
-    return F.when(F.length(sentence).between(min(map(len, IDENTIFIER)), max(map(len, IDENTIFIER))), known[sentence])
+    out = F.when(F.length(sentence).between(min(map(len, IDENTIFIER)), max(map(len, IDENTIFIER))), known[sentence])
+    for (first, rest), k in FRAGMENTS.items():
+        out = F.when((sentence == first) & ((after["whole"] == rest) | (F.get(after["lines"], F.lit(0)) == rest)), F.lit(k)).otherwise(out)
+    return out
+
+
+def sentences(text: Column) -> Column:
+    """(whole, lines) of each sentence, normalised, without blank ones; every cut of 'sentences' is one of 'lines' too."""
+    lines = lambda s: F.filter(F.transform(F.split(s, CUTS["lines"]), _normal), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, CUTS["sentences"]), lambda s: F.struct(_normal(s).alias("whole"), lines(s).alias("lines"))), lambda x: x["whole"] != "")
 
 
-def identifiers(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order, as one string: each between spaces."""
+def identifiers(parts: Column) -> Column:
+    """The identifiers of the known ones among ``sentences()``, in order, as one string: each between spaces."""
 
-    def found(sentence: Column) -> Column:
-        # every cut of 'sentences' is one of 'lines' too, so the lines are those of the sentences
-        lines = F.filter(F.transform(F.split(sentence, CUTS["lines"]), lambda x: _identifier(_normal(x))), lambda x: x.isNotNull())
-        whole = _identifier(_normal(sentence))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+    def found(x: Column, i: Column) -> Column:
+        after = F.get(parts, i + 1)
+        whole = _identifier(x["whole"], after)
+        # fragments are sentences of their own, so only the last line of a sentence can go on in the next
+        last = F.size(x["lines"]) - 1
+        lines = F.transform(x["lines"], lambda y, j: _identifier(y, F.when(j == last, after)))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.filter(lines, lambda y: y.isNotNull()))
 
-    each = F.flatten(F.transform(F.split(text, CUTS["sentences"]), found))
-    return F.array_join(F.transform(each, lambda s: F.concat(F.lit(" "), s, F.lit(" "))), "")
+    return F.array_join(F.transform(F.flatten(F.transform(parts, found)), lambda s: F.concat(F.lit(" "), s, F.lit(" "))), "")
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -123,8 +150,8 @@ def scan(documents: DataFrame) -> DataFrame:
     for stem in STEMS:
         likely |= text.contains(stem)
     out = documents.select("doc_id", F.when(likely, text).otherwise("").alias("low"))
-    left = F.when(F.col("low") == "", "").otherwise(identifiers(F.col("low")))
-    out = out.select("doc_id", left.alias("left"))
+    out = out.select("doc_id", F.when(F.col("low") != "", sentences(F.col("low"))).alias("parts"))
+    out = out.select("doc_id", F.coalesce(identifiers(F.col("parts")), F.lit("")).alias("left"))
     out = out.select("doc_id", "left", F.floor(F.length(F.regexp_replace("left", "[^ ]", "")) / 2).cast("bigint").alias("n_sentences"))
     out = out.withColumns({"n_matches": F.lit(0).cast("bigint"), "matched": F.array().cast("array<int>")})
     empty = F.col("left") == ""

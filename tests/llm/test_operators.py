@@ -507,6 +507,63 @@ def test_licences_of_both_cuts_are_merged(spark):
     assert (out[4].licenses, out[4].n_sentences) == ("CC-BY-4.0", 1)
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL_COPY = """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_licences_are_known_by_their_original_headers(spark):
+    one_line = lambda s: " ".join(s.split())
+    comment = lambda s: "/*\n" + "".join(f" * {x}\n" for x in s.splitlines()) + " */\nint main() {}\n"
+    gpl, later = "GPL-3.0-or-later", "This work is licensed under the GNU General Public License, version {}; or (at your option) any later version of the license."
+    rows = [
+        (GPL, gpl, 1, 1), (GPL.replace("software:", "software;"), gpl, 1, 1), (GPL + GPL_COPY, gpl, 1, 2), (comment(GPL), gpl, 1, 1), ("tool - does things\n" + GPL, gpl, 1, 1),
+        ("a title\n" + one_line(GPL)[:-1] + "\nand more", gpl, 1, 1), (MPL, "MPL-2.0", 1, 1), (comment(MPL), "MPL-2.0", 1, 1), ("a title\n" + one_line(MPL[:85]) + "\nand more", "MPL-2.0", 1, 1),
+        (MPL + "\n" + GPL, f"{gpl},MPL-2.0", 2, 2), (later.format(3), gpl, 1, 2), (later.format(2), "GPL-2.0-or-later", 1, 2), (APACHE, "Apache-2.0", 1, 4), (BSD2, "BSD-2-Clause", 1, 3), (BSD2 + BSD3, "BSD-3-Clause", 1, 4), (ISC, "ISC", 1, 1),
+        ("This is free and unencumbered software released into the public domain.\n", "Unlicense", 1, 1), ("This program is free software: you can keep it.\nMozilla Public License, v. 2.0.", "", 0, 0),
+    ]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id bigint, text string")).collect()}
+    assert [(out[i].licenses, out[i].n_matches, out[i].n_sentences) for i in range(len(rows))] == [r[1:] for r in rows]
+    assert out[0].category == out[6].category == "copyleft"
+
+
+def test_licence_fragments_are_those_of_known_sentences():
+    assert {" ".join(x): k for x, k in licenses.FRAGMENTS.items()}.items() <= licenses.IDENTIFIER.items()
+    assert all(len(x) == 2 and not set(x) & licenses.IDENTIFIER.keys() for x in licenses.FRAGMENTS)
+
+
 def test_licence_edges(edges, empty):
     assert edges.count() == licenses.scan(edges).where("licenses = ''").count()
     assert licenses.scan(empty).count() == 0
