@@ -1,11 +1,13 @@
 """Operator 3, chat formatting by quotation linking (DataFrame operations only).
 
-A message is cut into passages, runs of lines of one quote level (the number
-of leading ``>``). Quoted passages are hashed in normalised form and joined, within
-their conversation, to the messages that wrote them: the latest earlier turn
-with that passage, or with its first line, unquoted. A message replies to the
-latest turn that its first-level quotes come from, else to the turn before it. Conversations
-are then built in reply order, without the quotes, in segments of SEGMENT turns.
+A message is cut into runs of lines of one quote level (the number of leading
+``>``), and these at blank lines into passages. Quoted passages are hashed in
+normalised form and joined, within their conversation, to the messages that
+wrote them: the latest earlier turn with their whole run, or with that passage, or with
+its first line, unquoted. A message replies to the latest turn that its first-level
+quotes come from, else to the turn before it. Conversations are then built
+without the quotes in the order of their turns, which replies don't change,
+in segments of SEGMENT turns; ``replies`` names what each turn replies to.
 
 The as-of join and the numbering work in blocks of BLOCK turns with what the
 earlier blocks carry over, so that no task holds a conversation, however long.
@@ -26,6 +28,8 @@ BLOCK, SEGMENT = 4096, 256
 #: Leading quote marks, and control signs that part passages and lines while a message is cut.
 MARKS = r"^[ ]?(?:>[ ]?)+"
 PASSAGE, LEVEL, LINE = "\u0001", "\u0002", "\u0003"
+#: Between the passages of a run; lines are not empty, so nothing else has two in a row.
+BLANK = LINE + LINE
 
 
 def _level(line: Column) -> Column:
@@ -37,11 +41,13 @@ def _tidy(text: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """An array of (level, lines) of a message: runs of lines of one level, tidied, without blank lines and marks."""
+    """An array of (level, line) of a message: its lines, tidied, without marks."""
     clean = F.translate(F.coalesce(text, F.lit("")), PASSAGE + LEVEL + LINE, "")
-    lines = F.transform(F.split(clean, "\n"), lambda x: F.struct(_level(x).alias("level"), _tidy(F.regexp_replace(x, MARKS, "")).alias("line")))
-    lines = F.filter(lines, lambda x: x["line"] != "")
-    return lines
+    return F.transform(F.split(clean, "\n"), lambda x: F.struct(_level(x).alias("level"), _tidy(F.regexp_replace(x, MARKS, "")).alias("line")))
+
+
+def _run(lines: Column) -> Column:
+    return F.replace(lines, F.lit(BLANK), F.lit(LINE))
 
 
 def cut(messages: DataFrame) -> DataFrame:
@@ -50,20 +56,25 @@ def cut(messages: DataFrame) -> DataFrame:
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).where("conv_id is not null and turn is not null").distinct()
-    with_lines = known.select("conv_id", "turn", "role", "text", passages(F.col("text")).alias("lines"))
+    raw = known.select("conv_id", "turn", "role", "text", passages(F.col("text")).alias("raw"))
+    # gap is true after a blank line; raw is a column, as what a lambda names is worked out for each element
+    after = F.transform("raw", lambda x, i: F.struct(x["level"].alias("level"), x["line"].alias("line"), F.coalesce(F.get("raw", i - 1)["line"] == "", F.lit(False)).alias("gap")))
+    with_lines = raw.select("conv_id", "turn", "role", "text", F.filter(after, lambda x: x["line"] != "").alias("lines"))
 
     def marked(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at("lines", F.greatest(i, F.lit(1)))["level"])  # element_at counts from 1
         start = F.concat(F.lit(PASSAGE), x["level"].cast("string"), F.lit(LEVEL), x["line"])
-        return F.when(before == x["level"], F.concat(F.lit(LINE), x["line"])).otherwise(start)
+        return F.when(before == x["level"], F.concat(F.when(x["gap"], F.lit(BLANK)).otherwise(F.lit(LINE)), x["line"])).otherwise(start)
 
     runs = F.filter(F.split(F.array_join(F.transform("lines", marked), ""), PASSAGE), lambda p: p != "")
     parts = F.transform(runs, lambda p: F.struct(F.split(p, LEVEL)[0].cast("int").alias("level"), F.split(p, LEVEL)[1].alias("lines")))
+    own = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["lines"])
+    quoted = lambda p: F.transform(F.split(p["lines"], BLANK), lambda x: F.struct(p["level"].alias("level"), x.alias("lines"), _run(p["lines"]).alias("run")))
     return with_lines.select("conv_id", "turn", "role", "text", parts.alias("parts")).select(
         "conv_id", "turn", "role", "text",
-        F.translate(F.array_join(F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["lines"]), "\n"), LINE, "\n").alias("body"),
-        F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["lines"]).alias("own"),
-        F.filter("parts", lambda p: p["level"] > 0).alias("quotes"),
+        F.translate(_run(F.array_join(own, "\n")), LINE, "\n").alias("body"),
+        own.alias("own"),
+        F.flatten(F.transform(F.filter("parts", lambda p: p["level"] > 0), quoted)).alias("quotes"),
     )
 
 
@@ -73,9 +84,9 @@ def _key(lines: Column) -> Column:
 
 def links(pieces: DataFrame) -> DataFrame:
     """(conv_id, turn, key, origin): the latest earlier turn that wrote what a turn quotes."""
-    units = F.explode(F.array_distinct(F.flatten(F.transform("own", lambda p: F.concat(F.array(p), F.split(p, LINE))))))
+    units = F.explode(F.array_distinct(F.flatten(F.transform("own", lambda p: F.concat(F.array(_run(p)), F.split(p, BLANK), F.split(_run(p), LINE))))))
     wrote = pieces.select("conv_id", "turn", units.alias("unit")).select("conv_id", _key(F.col("unit")).alias("key"), "turn").distinct()
-    quoted = pieces.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.explode(F.array(F.col("q.lines"), F.split("q.lines", LINE)[0])).alias("unit"))
+    quoted = pieces.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.explode(F.array(F.col("q.run"), F.col("q.lines"), F.split("q.lines", LINE)[0])).alias("unit"))
     quoted = quoted.select("conv_id", _key(F.col("unit")).alias("key"), "turn").distinct()
     block = F.floor(F.col("turn") / BLOCK).alias("block")
     wrote, quoted = wrote.select("*", block), quoted.select("*", block)
@@ -95,11 +106,11 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, position, reply_to, n_quotes, n_linked of each distinct message."""
     pieces = cut(messages)
     quotes = pieces.select("conv_id", "turn", "role", "text", F.posexplode("quotes").alias("at", "q"))
-    quotes = quotes.select("conv_id", "turn", "role", "text", "at", F.col("q.level").alias("level"), _key(F.col("q.lines")).alias("whole"), _key(F.split("q.lines", LINE)[0]).alias("head"))
+    quotes = quotes.select("conv_id", "turn", "role", "text", "at", F.col("q.level").alias("level"), _key(F.col("q.run")).alias("run"), _key(F.col("q.lines")).alias("whole"), _key(F.split("q.lines", LINE)[0]).alias("head"))
     known = links(pieces)
-    for name in ("whole", "head"):
+    for name in ("run", "whole", "head"):
         quotes = quotes.join(known.select("conv_id", "turn", F.col("key").alias(name), F.col("origin").alias(f"{name}_origin")), ["conv_id", "turn", name], "left")
-    quotes = quotes.withColumn("origin", F.coalesce("whole_origin", "head_origin"))
+    quotes = quotes.withColumn("origin", F.coalesce("run_origin", "whole_origin", "head_origin"))
     summary = quotes.groupBy("conv_id", "turn", "role", "text").agg(
         F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("linked_turn"))
     # numbers of the distinct turns, and the turn before each, by blocks
@@ -117,7 +128,7 @@ def linked_messages(messages: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, n_messages, n_quotes, n_linked, replies, chat): reply-ordered text of ``segment`` turns at a time."""
+    """(conv_id, segment, n_messages, n_quotes, n_linked, replies, chat): text in turn order of ``segment`` turns at a time."""
     m = linked_messages(messages).withColumn("segment", F.floor(F.col("position") / segment).cast("bigint"))
     chat = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body", F.lit("\n<|end|>\n"))
     reply = F.concat(F.col("turn").cast("string"), F.lit(">"), F.coalesce(F.col("reply_to").cast("string"), F.lit("-")))

@@ -173,6 +173,18 @@ def test_chat_links_quotes_to_the_turn_that_wrote_them(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_chat_passages_end_at_blank_lines(spark):
+    rows = [
+        (1, "first thought\nof two lines"), (2, "second thought"), (3, "> first thought of\n> two lines\n\n> second thought\n\nBoth."),
+        (4, "opening words\n\na middle paragraph\nin two lines\n\nclosing words"), (5, "nothing"), (6, "> a middle\n> paragraph in two lines\nyes"), (7, "opening words"),
+        (8, "> opening words\n>\n> a middle paragraph in\n> two lines\n>\n> closing words\nall of it"),
+    ]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in rows], "conv_id bigint, turn bigint, role string, text string")
+    m = {r.turn: (r.n_quotes, r.n_linked, r.reply_to, r.body) for r in chat.linked_messages(df).collect()}
+    assert m[3] == (2, 2, 2, "Both.") and m[6] == (1, 1, 4, "yes") and m[8] == (3, 3, 4, "all of it")
+    assert m[4][3] == "opening words\na middle paragraph\nin two lines\nclosing words"
+
+
 def test_chat_blocks_do_not_change_links(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(1, t, "user", f"> line {rng.randrange(9)}\nline {rng.randrange(9)}") for t in range(200)]
