@@ -253,3 +253,15 @@ def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
     q = streaming.tumbling_counts(source, "1 day", "1 day").writeStream.outputMode("append").format("memory").queryName("late_out").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.start, r.n) for r in spark.sql("select * from late_out").collect()} >= {("2026-01-01 00:00:00", 1)}
+
+
+def test_series_keep_the_texts_and_links_of_all_pages(spark):
+    from calltide.functions import records
+
+    rows = [(1, i, f"page {i}" if i % 7 else None, [f"l{i:03}", "home"]) for i in range(450)] + [(2, 0, "only", []), (None, 0, "lost", None)]
+    pages = spark.createDataFrame(rows, "series bigint, `order` bigint, text string, links array<string>").repartition(3)
+    want = "\n".join(f"page {i}" for i in range(450) if i % 7)
+    for most in (200_000, len(want), 2500, 20):
+        out = {r.series: r for r in records.series_pages(pages, "series", most).collect()}
+        assert out[1].text == want[:most] and out[1].links == sorted({"home", *(f"l{i:03}" for i in range(450))})
+        assert (out[2].text, out[2].links, out[None].text, out[None].links) == ("only", [], "lost", [])
