@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,27 +31,31 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself; batches that its session sends to Python from now on are bounded."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches that the session sends to Python; called by applications (the queries, the pipeline), not by operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def free_name(base: str, taken: Iterable[str]) -> str:
-    """``base``, with underscores appended until no column has that name (case ignored)."""
-    used = {x.lower() for x in taken}
-    while base.lower() in used:
-        base += "_"
-    return base
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one of our own only where the session names none (tests)."""
+    """The folder that all executors share.
+
+    Only where the session names none and all runs in one process (as in
+    tests) a temporary one is used; on a cluster that is an error.
+    """
+    context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="calltide-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        known = context._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else None
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="calltide-")
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 
@@ -98,13 +102,50 @@ def _batch_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in stars], pa.int64()), pa.array([v for _, v in stars], pa.int64())], names=["u", "v"])
 
 
+#: A key that holds at least this share of the rows is hot; so there are at most 1 / HOT of them.
+HOT = 0.001
+#: Bits of a sieve, in rows of 64: at most half a million rows are broadcast, whatever the input.
+SIEVE = 1 << 25
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``found``, which has a row for each of ``keys`` and in ``n`` the number of rows it stands for.
+
+    The hot keys' rows of ``found``, at most 1 / HOT (times two for edges, which count at both
+    ends), are broadcast, so that the rows of a hot key stay where they are; the others are shuffled,
+    but for those with a missing key. ``found`` is read three times, so it is a written table.
+    """
+    least = max(1, int(total * HOT))
+    hot, cold = F.broadcast(found.where(F.col("n") >= least).drop("n")), found.where(F.col("n") < least).drop("n")
+    out = rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").dropna(subset=keys).join(cold, keys, how))
+    if how == "left":
+        missing = F.lit(False)
+        for k in keys:
+            missing |= F.col(k).isNull()
+        out = out.unionByName(rows.where(missing), allowMissingColumns=True)
+    return out
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = SIEVE) -> DataFrame:
+    """``rows`` with ``maybe``: true where ``keys`` (bigint) are in ``wanted``, and for some others; false only where they are not.
+
+    A filter of a fixed number of bits, so what is broadcast doesn't grow; with more wanted keys than
+    bits it lets more through. What it lets through is then joined, so that few of the rows are shuffled.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("sieve_word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("sieve_bits"))
+    marked = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("sieve_word"), "left")
+    hit = F.coalesce(F.getbit("sieve_bits", (at % 64).cast("int")) == 1, F.lit(False))
+    return marked.withColumn("maybe", hit).drop("sieve_word", "sieve_bits")
+
+
 def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as rows (node, component), component the smallest node (nodes are bigint).
 
     Alternating large-star and small-star steps: each replaces the edges by
     stars of the smallest neighbour and keeps the components; rounds grow with
-    the logarithm of the component size. A step is a minimum per node
-    and a join with it, which Spark splits where a node has many edges, so no
+    the logarithm of the component size. A step is a minimum per node and a
+    lookup of it, for which the edges of a node with a great many of them are not shuffled, so no
     task holds a group; edges are tied into stars batch by batch before they
     are shuffled, and written after each round. Isolated nodes do not occur in
     the result.
@@ -117,15 +158,17 @@ def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
         if not ends.where("leaf + centre > 1 and leaf > 0").head(1):
             break
+        total = now.count()
         # large star: every neighbour larger than u goes to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "edges")
+        large = written(lookup(both.where("v > u"), low, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
         # small star: every neighbour smaller than u, and u itself, goes to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "edges")
+        small = lookup(large, least, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = written(small.mapInArrow(_batch_stars, "u bigint, v bigint").distinct(), "edges")
-        drop_written(now)
+        for done in (now, low, large, least):
+            drop_written(done)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,11 +2,11 @@
 
 A document's set is that of its distinct shingles of five words. Its signature
 has SYMBOLS minimum hashes of 16 bits each. Two signatures that differ in at
-most RADIUS symbols have, by the pigeonhole principle, one of CHUNKS chunks
-with at most ``RADIUS // CHUNKS`` (here 1) different symbols; so each chunk is
+most ``radius`` symbols have, by the pigeonhole principle, one of ``chunks`` chunks
+with at most ``radius // chunks`` (here 1) different symbols; so each chunk is
 indexed once for each choice of that many symbols left out, and all pairs
-within the radius share an index key. At the threshold similarity of 0.85 a pair has more
-than RADIUS differences with a chance of about 1e-5.
+within the radius share an index key. Radius and chunks belong to the least
+similarity (``Scheme``): 0.85 as the query's contract says, 0.8 in the pipeline.
 
 Documents with equal sets become one node before anything is shuffled. Nodes
 that share a key are tied into stars (in each batch first, so that a key of
@@ -21,13 +21,17 @@ component that came of that with all nodes.
 Defined cases: a missing text, or one without words, has no shingles and is
 linked with nothing; with fewer than five words the whole sequence is the one
 shingle; exact copies and repeated rows are linked; rows without a doc_id are
-linked with nothing and kept; rows that repeat a doc_id are one document as to
-``component_id``; an empty table gives an empty result.
+linked with nothing and kept; in ``components`` rows that repeat a doc_id are one document, which
+is linked with whatever any of its texts is linked with; ``keep_one`` judges each (doc_id, text) for
+itself and keeps a repeated row once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,24 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import min_label_components, small_batches, written
+from .common import lookup, min_label_components, sieve, written
 
 WORDS = 5
-SYMBOLS, RADIUS, CHUNKS = 64, 23, 12
+SYMBOLS = 64
 #: Nodes and shingles of a tile, about.
 TILE, TILE_SHINGLES = 512, 1 << 20
-#: Numerator of the share (of 100) of the union that the intersection of linked sets has at least.
-SHARE = 85
+
+
+class Scheme(NamedTuple):
+    """The least similarity, in hundredths, and the radius and chunks of the signatures that find it."""
+
+    share: int
+    radius: int
+    chunks: int
+
+
+#: At the least similarity a pair is further apart than the radius with a chance of about 1e-5.
+LINKS_85, LINKS_80 = Scheme(85, 23, 12), Scheme(80, 27, 14)
 
 _rng = np.random.default_rng(20_240_101)
 _MULTIPLY = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -74,21 +88,18 @@ def signature(own: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(48)).astype(np.uint16)
 
 
-def index_columns(symbols: int = SYMBOLS, radius: int = RADIUS, chunks: int = CHUNKS) -> list[tuple[int, ...]]:
+@cache
+def index_columns(radius: int, chunks: int, symbols: int = SYMBOLS) -> list[tuple[int, ...]]:
     """The symbols of each index: each chunk less each choice of as many symbols as may differ in it."""
-    from itertools import combinations
-
     ends, errors = np.linspace(0, symbols, chunks + 1).astype(int), radius // chunks
     return [tuple(c for c in range(a, b) if c not in left_out) for a, b in zip(ends[:-1], ends[1:], strict=True) for left_out in combinations(range(a, b), errors)]
 
 
-INDEXES = index_columns()
-
-
-def keys(signatures: np.ndarray) -> np.ndarray:
+def keys(signatures: np.ndarray, scheme: Scheme) -> np.ndarray:
     """A key for each signature (row) and index (column)."""
-    out = np.empty((len(signatures), len(INDEXES)), np.uint64)
-    for i, cols in enumerate(INDEXES):
+    indexes = index_columns(scheme.radius, scheme.chunks)
+    out = np.empty((len(signatures), len(indexes)), np.uint64)
+    for i, cols in enumerate(indexes):
         h = np.full(len(signatures), np.uint64((i + 1) * int(_ODD) % (1 << 64)))
         for c in cols:
             h = (h ^ signatures[:, c]) * _MIX
@@ -104,17 +115,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(own))
             node.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None)
             sig.append(signature(own).tobytes() if len(own) else None)
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "node", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "h", "node", "n_shingles", "sig"])
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+def _by_key(batches: Iterator[pa.RecordBatch], scheme: Scheme, edges: bool) -> Iterator[pa.RecordBatch]:
     """Of each batch: the smallest node of each key, or edges from the other nodes of a key to it."""
     for b in batches:
         node, first = np.unique(b.column(0).to_numpy(), return_index=True)
         if not len(node):
             continue
         sig = np.frombuffer(b"".join(b.column(1).take(pa.array(first)).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        k, owner = keys(sig).ravel(), np.repeat(np.arange(len(node)), len(INDEXES))
+        k = keys(sig, scheme)
+        k, owner = k.ravel(), np.repeat(np.arange(len(node)), k.shape[1])
         order = np.argsort(k, kind="stable")  # nodes ascend, so the smallest of a key is its first
         k, owner = k[order], owner[order]
         head = np.concatenate([[True], k[1:] != k[:-1]])
@@ -126,14 +138,6 @@ def _by_key(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(k[head].view(np.int64)), pa.array(node[owner[head]])], names=["key", "node"])
 
 
-def _in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _by_key(batches, True)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _by_key(batches, False)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets and signatures of the nodes that may be linked; rows whose text is not that of the node drop out."""
     for b in batches:
@@ -148,7 +152,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(own_sets, pa.binary()), pa.array(sigs, pa.binary())], names=[*b.schema.names[1:], "own", "sig"])
 
 
-def _links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, own: list[bytes], sig: list[bytes]) -> list[tuple[int, int]]:
+def _links(scheme: Scheme, node: np.ndarray, comp: np.ndarray, side: np.ndarray, own: list[bytes], sig: list[bytes]) -> list[tuple[int, int]]:
     """Confirmed links that connect what ``comp`` does not, as many as it takes; with two sides only between side 1 and any."""
     node, first = np.unique(node, return_index=True)
     if len(node) < 2:
@@ -167,21 +171,21 @@ def _links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, own: list[bytes
     for i in range(len(node)):
         if side[i]:
             js = np.flatnonzero((comp != comp[i]) & ((side == 0) | (np.arange(len(node)) > i)))
-            js = js[(100 * np.minimum(size[js], size[i]) >= SHARE * np.maximum(size[js], size[i]))]
+            js = js[(100 * np.minimum(size[js], size[i]) >= scheme.share * np.maximum(size[js], size[i]))]
             far = (m[js] != m[i]).sum(1)
-            found += [(int(d), i, int(j)) for d, j in zip(far[far <= RADIUS], js[far <= RADIUS], strict=True)]
+            found += [(int(d), i, int(j)) for d, j in zip(far[far <= scheme.radius], js[far <= scheme.radius], strict=True)]
     out = []
     for _, i, j in sorted(found):
         x, y = find(int(comp[i])), find(int(comp[j]))
         if x != y:
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= SHARE * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= scheme.share * (len(sets[i]) + len(sets[j]) - both):
                 root[max(x, y)] = min(x, y)
                 out.append((int(node[i]), int(node[j])))
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """Links of each tile; the rows (group, cluster, node, comp, side, own, sig) come sorted by group and cluster, a tile at a time is held."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -189,7 +193,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         held.clear()
-        found = _links(*(t.column(c).to_numpy() for c in ("node", "comp", "side")), t.column("own").to_pylist(), t.column("sig").to_pylist())
+        found = _links(scheme, *(t.column(c).to_numpy() for c in ("node", "comp", "side")), t.column("own").to_pylist(), t.column("sig").to_pylist())
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     for b in batches:
@@ -204,44 +208,57 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _confirmed(tiles: DataFrame) -> DataFrame:
+def _confirmed(tiles: DataFrame, scheme: Scheme) -> DataFrame:
     """Runs the tiles: rows of a group stay together, in memory one group at a time."""
     group = F.xxhash64("group", "cluster")
     dealt = tiles.select(group.alias("tile"), "node", "comp", "side", "own", "sig").repartition("tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(_tiles, "a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: _tiles(batches, scheme), "a bigint, b bigint")
 
 
-def components(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): kept is true for the smallest doc_id of each component."""
-    texts = small_batches(documents).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    feats = written(texts.mapInArrow(_features, "doc_id bigint, node bigint, n_shingles bigint, sig binary"), "shingles")
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id")).withColumn("h", F.xxhash64("text"))
+
+
+def features(documents: DataFrame) -> DataFrame:
+    """(doc_id, h, node, n_shingles, sig) of each row: h hashes the text, node its set of shingles."""
+    return written(_texts(documents).mapInArrow(_features, "doc_id bigint, h bigint, node bigint, n_shingles bigint, sig binary"), "shingles")
+
+
+def nodes_of(feats: DataFrame) -> DataFrame:
+    """(node, first, shingles, n): each distinct set, with the smallest (doc_id, h) that has it and the number of rows."""
     real = feats.where("node is not null and doc_id is not null")
-    nodes = real.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    return written(real.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max("n_shingles").alias("shingles"), F.count("*").alias("n")), "nodes")
+
 
-    # stars of nodes that share a key: in each batch, then over the batches
-    sigs = real.select("node", "sig")
-    near = sigs.mapInArrow(_in_batch, "a bigint, b bigint")
-    low = sigs.mapInArrow(_across, "key bigint, node bigint").withColumn("low", F.min("node").over(Window.partitionBy("key")))
+def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): confirmed links between nodes, as many as it takes to connect what is connected."""
+    sigs = feats.where("node is not null and doc_id is not null").select("node", "sig")
+    # stars of nodes that share a key: in each batch, then over the batches. A batch sends one row for a key, so
+    # even a key that all nodes share is less than one row in a thousand of those that are dealt out
+    near = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, True), "a bigint, b bigint")
+    low = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, False), "key bigint, node bigint").withColumn("low", F.min("node").over(Window.partitionBy("key")))
     far = low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     clusters = min_label_components(near.unionByName(far)).withColumnRenamed("component", "cluster")
 
-    members = clusters.join(nodes, "node")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long").alias("tiles"))
-    members = members.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles")).select("rep", "node", "cluster", "tiles", "tile")
-    # the members grow with the input, so they are not sent to the texts: both sides are dealt out by doc_id
-    found = texts.join(members.hint("merge"), texts.doc_id == members.rep).select("text", "node", "cluster", "tiles", "tile")
+    members = clusters.join(nodes.drop("n"), "node")
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("shingles") / TILE_SHINGLES)).cast("long").alias("tiles"), F.count("*").alias("n"))
+    members, sizes = written(members.select("node", "cluster", "first.doc_id", "first.h"), "members"), written(sizes, "sizes")
+    members = lookup(members, sizes, ["cluster"], members.count()).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    # a sieve of fixed size keeps most texts from the shuffle; the members grow with the input, so they are not sent to the texts
+    texts = sieve(_texts(documents), members, ["doc_id", "h"]).where("maybe").drop("maybe").dropDuplicates(["doc_id", "h"])
+    found = texts.join(members.hint("merge"), ["doc_id", "h"]).select("text", "node", "cluster", "tiles", "tile")
     full = written(found.mapInArrow(_sets, "node bigint, cluster bigint, tiles bigint, tile bigint, own binary, sig binary"), "sets")
 
     # the first tile with each of the others
     others = F.when(F.col("tile") > 0, F.array("tile")).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("tiles") - 1)))
     cols = ["cluster", "node", "comp", "side", "own", "sig"]
     first = full.withColumn("group", F.explode(others)).withColumn("comp", F.col("node")).withColumn("side", F.lit(1))
-    links = written(_confirmed(first.select("group", *cols)), "links")
+    out = written(_confirmed(first.select("group", *cols), scheme), "links")
 
     # in clusters of several tiles: the nodes outside the largest component with all nodes
     if full.select("tiles").where("tiles > 1").head(1):
         large = full.where("tiles > 1")
-        comps = min_label_components(links)
+        comps = min_label_components(out)
         large = large.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
         per = large.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.length("own")).alias("bytes"))
         top = per.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
@@ -252,19 +269,57 @@ def components(documents: DataFrame) -> DataFrame:
         right = large.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("c", F.col("tile")).withColumn("side", F.lit(0))
         # a node that is on both sides of a group counts once, on side 1
         both = left.select("r", "c", *cols).unionByName(right.where("comp = top or pmod(xxhash64(node), rows) <> r").select("r", "c", *cols))
-        more = _confirmed(both.withColumn("group", F.col("r") * 1_000_003 + F.col("c")).select("group", *cols))
-        links = links.unionByName(written(more, "links"))
-
-    comps = min_label_components(links)
-    smallest = comps.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = comps.join(smallest, "component").select("node", F.col("component_id").alias("linked_id"))
-    ids = written(nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "rep").alias("node_id")), "ids")
-    out = feats.select("doc_id", "node", "n_shingles").join(ids, "node", "left")
+        more = _confirmed(both.withColumn("group", F.col("r") * 1_000_003 + F.col("c")).select("group", *cols), scheme)
+        out = out.unionByName(written(more, "links"))
+    return out
+
+
+def _per_node(nodes: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """(node, first, n, alone): the smallest (doc_id, h) of the component of each node."""
+    comps = written(min_label_components(found).join(nodes.select("node", "first"), "node"), "components")
+    smallest = written(comps.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("n")), "components")
+    linked = lookup(comps.select("node", "component"), smallest, ["component"], total).select("node", F.col("first").alias("linked"))
+    own = nodes.join(linked, "node", "left").select("node", F.coalesce("linked", "first").alias("first"), "n", F.col("linked").isNull().alias("alone"))
+    return written(own, "ids")
+
+
+def components(documents: DataFrame, scheme: Scheme = LINKS_85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): kept is true for the smallest doc_id of each component."""
+    feats = features(documents)
+    nodes, total = nodes_of(feats), feats.count()
+    found = links(documents, feats, nodes, scheme)
+    # rows that repeat a doc_id are one document, whatever their texts
+    known = feats.where("doc_id is not null").select("doc_id", "node", "n_shingles")
+    per = known.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.count("node").alias("full"))
+    several = written(per.where("low <> high or full between 1 and n - 1").select("doc_id", "low", "n"), "repeats")
+    rows = feats.select("doc_id", "node", "n_shingles")
+    if several.head(1):
+        rows = lookup(rows, several, ["doc_id"], total, "left").select("doc_id", F.coalesce("node", "low").alias("node"), "n_shingles", "low")
+        found = found.unionByName(rows.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+        rows = rows.drop("low")
+    ids = _per_node(nodes, found, total).select("node", F.col("first.doc_id").alias("node_id"), "n")
+    out = lookup(rows.where("doc_id is not null"), ids, ["node"], total, "left").unionByName(rows.where("doc_id is null").withColumn("node_id", F.lit(None).cast("bigint")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents``, with all their columns, without those that are not the smallest doc_id of their component."""
-    gone = components(documents).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("bigint") == gone["gone_id"], "left_anti")
+def keep_one(documents: DataFrame, scheme: Scheme = LINKS_80) -> DataFrame:
+    """The rows of ``documents``, with all their columns, one of each group of linked texts.
+
+    Rows are told apart by doc_id and text here: the row with the smallest doc_id (then hash of the text)
+    stays, once if it is repeated. Rows without a doc_id or without words all stay.
+    """
+    feats = features(documents)
+    nodes, total = nodes_of(feats), feats.count()
+    stays = written(_per_node(nodes, links(documents, feats, nodes, scheme), total).where("n > 1 or not alone").select("node", "first", "n"), "stays")
+    real = feats.where("node is not null and doc_id is not null").select("doc_id", "h", "node")
+    rows = lookup(real, stays, ["node"], total).groupBy("doc_id", "h", "first").agg(F.count("*").alias("times"))
+    judged = written(rows.select("doc_id", "h", "times", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("stays")).where("not stays or times > 1"), "gone")
+    # the rows go along as one column, as theirs may have any name; only those the sieve can't clear are shuffled
+    whole = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    sifted = sieve(whole, judged, ["doc_id", "h"])
+    left = sifted.where("maybe").join(judged.where("not stays").select("doc_id", "h"), ["doc_id", "h"], "left_anti").drop("maybe")
+    if judged.where("stays").head(1):
+        again = judged.where("stays").select("doc_id", "h")
+        left = left.join(again, ["doc_id", "h"], "left_anti").unionByName(left.join(again, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]))
+    return sifted.where("not maybe").select("row.*").unionByName(left.select("row.*"))

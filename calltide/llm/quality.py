@@ -9,7 +9,8 @@ Cholesky factor, which is computed once) plus the log prior odds.
 
 Defined cases: a missing or empty text has the statistics of no words and gets
 a score like any other; repeated rows are scored alike; with no learning rows
-of one class every score is the share of label 1 (0.5 without any rows); a
+of one class every score is the share of label 1 (0.5 without any rows); where the learning rows
+don't vary, both classes have the same density there and the prior decides; a
 doc_id whose labels contradict each other is not learned from, repeated equal
 labels count once; labels without a document and documents without a label
 only drop out of learning.
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, written
+from .common import held_out, written
 
 #: Bytes counted as symbols and as sentence punctuation (fixed values).
 SYMBOLS = b"!#$%&*<>{}[]\\^~=+@_"
 PUNCTUATION = b".,;:?"
 N_FEATURES = 13
+#: Least variance of a standardised statistic.
+FLOOR = 1e-6
 PRODUCTS = [(i, j) for i in range(N_FEATURES) for j in range(i + 1)]
 
 
@@ -120,7 +123,8 @@ class Model:
         for c in (0, 1):
             cov = (1 - to_pooled) * scatter[c] / n[c] + to_pooled * pooled
             cov = cov / np.outer(scale, scale)
-            cov = (1 - to_identity) * cov + to_identity * np.trace(cov) / N_FEATURES * np.eye(N_FEATURES)
+            # the floor keeps a factor where nothing varies, as with learning texts that are all empty
+            cov = (1 - to_identity) * cov + (to_identity * np.trace(cov) / N_FEATURES + FLOOR) * np.eye(N_FEATURES)
             factor = np.linalg.cholesky(cov)
             self.parts.append((mean[c], np.linalg.inv(factor) / scale, np.log(np.diag(factor)).sum()))
         self.prior = np.log(n[1] / n[0])
@@ -135,7 +139,7 @@ class Model:
 def vectors(documents: DataFrame) -> DataFrame:
     """(doc_id, x) for each row of ``documents``."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return small_batches(documents).select(F.col("text").cast("string").alias("text"), "doc_id").mapInArrow(_vectors, f"doc_id {kind}, x array<double>")
+    return documents.select(F.col("text").cast("string").alias("text"), "doc_id").mapInArrow(_vectors, f"doc_id {kind}, x array<double>")
 
 
 def fit(vectors: DataFrame, labels: DataFrame, to_pooled: float = 0.1, to_identity: float = 0.02, mod: int = 5) -> Model:
@@ -179,4 +183,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -
             v = np.array([statistics(t) for t in b.column(text).to_pylist()], float).reshape(-1, N_FEATURES)
             yield b.filter(pa.array(model.score(v) >= threshold))
 
-    return small_batches(documents).mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, language, licenses, media, near, packing, quality, token_files, tokens, toxicity
-from .common import table
+from .common import bound_batches
+from .common import table as read_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from calltide.llm import chat, decontaminate, language, licenses, media, near, packing, quality, token_files, tokens, toxicity
-from calltide.llm.common import free_name, min_label_components
+from calltide.llm.common import lookup, min_label_components, sieve
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, Score string, node string"
 VOCABULARY = [a + b for a in "the ka lo mi pe ru so ta vu we".split() for b in "r n s lit mon dar pel".split()]
@@ -92,6 +92,33 @@ def test_quality_edges(spark, edges, empty):
     assert quality.keep_good(edges, labels).columns == edges.columns
 
 
+def test_quality_without_variance_is_the_prior(spark):
+    rows = [(i, None if i % 2 else "", "en", None, None, None, None) for i in range(60)] + [(100, prose(random.Random(2), 40), "en", None, None, None, None)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    out = quality.classify(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    learned = [i for i in range(60) if crc(i, 5)]
+    share = sum(i % 4 == 0 for i in learned) / len(learned)
+    assert len(out) == 61 and all(r.score == pytest.approx(share, abs=1e-9) for r in out)
+
+
+def test_quality_statistics_equal_plain_counts():
+    rng = random.Random(8)
+    texts = ["", "A b. b b", "x|y|z 12 é É ü\n\nx|y|z\nx|y|z", *("".join(rng.choice("abcXYZ 019|.,!#@é漢\n\t ") for _ in range(rng.randint(1, 300))) for _ in range(60))]
+    for t in texts:
+        raw, words, lines = t.encode(), t.split(), [x for x in t.split("\n") if x]
+        n, nw = len(raw), len(words)
+        count = lambda keep: sum(map(keep, raw))
+        upper, lower, lead = count(lambda b: 65 <= b <= 90), count(lambda b: 97 <= b <= 122), count(lambda b: b >= 192)
+        letters = upper + lower + lead
+        ratio = lambda part, whole: np.log((part + 0.5) / (whole + 10.0))
+        want = [
+            np.log(1 + nw), np.log(1 + letters / max(nw, 1)), ratio(upper, letters), ratio(count(lambda b: chr(b) in "!#$%&*<>{}[]\\^~=+@_" and b < 128), n), ratio(count(lambda b: chr(b) in ".,;:?"), n),
+            ratio(count(lambda b: 48 <= b <= 57), n), ratio(count(lambda b: b == 124), n), ratio(lead, n), np.log((len(set(words)) + 1) / (nw + 1)), ratio(sum(words[i] == words[i - 1] for i in range(1, nw)), nw),
+            np.log((max([words.count(w) for w in words], default=0) + 1) / (nw + 2)), ratio(len(lines) - len(set(lines)), len(lines)), ratio(len(lines), nw),
+        ]
+        assert np.allclose(quality.statistics(t), want)
+
+
 # --- 2 decontamination --------------------------------------------------------------
 
 
@@ -317,7 +344,7 @@ def test_language_edges(spark, edges, empty):
 # --- 6 near duplicates ----------------------------------------------------------------------
 
 
-def brute_components(rows):
+def brute_components(rows, share=85):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -333,7 +360,7 @@ def brute_components(rows):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             both = len(sets[i] & sets[j])
-            if sets[i] and both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and both and 100 * both >= share * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
@@ -375,14 +402,15 @@ def test_near_duplicates_over_many_tiles(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
-def test_index_finds_all_pairs_within_the_radius():
+@pytest.mark.parametrize("scheme", [near.LINKS_85, near.LINKS_80])
+def test_index_finds_all_pairs_within_the_radius(scheme):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 16, (200, near.SYMBOLS)).astype(np.uint16)
     b = a.copy()
     for row in b:
-        at = rng.choice(near.SYMBOLS, near.RADIUS, replace=False)
+        at = rng.choice(near.SYMBOLS, scheme.radius, replace=False)
         row[at] ^= 1
-    assert ((near.keys(a) == near.keys(b)).any(1)).all()
+    assert ((near.keys(a, scheme) == near.keys(b, scheme)).any(1)).all()
 
 
 def test_near_duplicates_edges(spark, edges, empty):
@@ -393,7 +421,48 @@ def test_near_duplicates_edges(spark, edges, empty):
     assert all(r.kept and r.component_id is None for r in out if r.doc_id is None)
     kept = near.keep_one(edges)
     assert kept.columns == edges.columns and 2 not in {r.doc_id for r in kept.collect()}
-    assert near.components(empty).count() == 0
+    assert near.components(empty).count() == near.keep_one(empty).count() == 0
+
+
+def test_repeated_doc_ids_lose_no_text(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(3, a), (7, a + " end"), (7, b), (9, b), (5, c), (5, c), (5, None), (6, ""), (6, ""), (None, a), (12, None), (12, "one two")]
+    df = spark.createDataFrame([(i, t, k, "x", True) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, h int, first string, maybe boolean")
+    got = [(r.doc_id, r.component_id, r.kept) for r in near.components(df).collect()]
+    assert sorted(got, key=repr) == sorted([(3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), *[(5, 5, True)] * 3, (6, 6, True), (6, 6, True), (None, None, True), (12, 12, True), (12, 12, True)], key=repr)
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns
+    kept = sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr)
+    # 7 stays with the text that only 9 shares; the repeated row of 5 stays once
+    assert kept == sorted([(3, a), (7, b), (5, c), (5, None), (6, ""), (6, ""), (None, a), (12, None), (12, "one two")], key=repr)
+
+
+def test_near_duplicates_of_the_pipeline_take_four_fifths(spark):
+    rng, rows = random.Random(41), []
+    for g in range(40):
+        base = prose(rng, 100).split()
+        w = list(base)
+        for at in rng.sample(range(5, 95), 1 + g % 4):
+            w[at] = f"other{g}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(w))]
+    want = {i for i, (_, _, kept) in brute_components(rows, 80).items() if kept}
+    assert 40 < len(want) < 80
+    assert {r.doc_id for r in near.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
+def test_sieve_clears_only_what_is_not_wanted(spark):
+    rows, wanted = spark.range(2000).withColumnRenamed("id", "k"), spark.range(0, 2000, 7).withColumnRenamed("id", "k")
+    out = {r.k: r.maybe for r in sieve(rows, wanted, ["k"], bits=1 << 13).collect()}
+    assert len(out) == 2000 and all(out[k] for k in range(0, 2000, 7)) and sum(out.values()) < 400
+
+
+def test_lookup_of_hot_and_missing_keys(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 2 else None, i) for i in range(60)] + [(77, 100)], "k bigint, v bigint")
+    found = spark.createDataFrame([(0, "a", 500), (1, "b", 1), (2, "c", 1)], "k bigint, x string, n bigint")
+    out = sorted([(r.v, r.x) for r in lookup(rows, found, ["k"], 100_000, "left").collect()])
+    assert out == [(i, "abc"[i % 3] if i % 2 else None) for i in range(60)] + [(100, None)]
+    assert lookup(rows, found, ["k"], 100_000).count() == 30
 
 
 def test_components_of_paths_and_stars(spark):
@@ -579,7 +648,3 @@ def test_licence_fragments_are_those_of_known_sentences():
 def test_licence_edges(edges, empty):
     assert edges.count() == licenses.scan(edges).where("licenses = ''").count()
     assert licenses.scan(empty).count() == 0
-
-
-def test_free_name():
-    assert free_name("score", ["Score", "score_"]) == "score__"

@@ -45,7 +45,7 @@ def test_stages_take_effect_one_after_the_other(spark, folder):
     assert not any(i is not None and i % 8 == 5 and i < 160 for i in good)
     assert sum(i % 8 != 5 for i in range(160)) - sum(i is not None and i < 160 for i in good) < 25
     assert set(identified) == {i for i, t in good.items() if any(c.isalpha() for c in t or "")}
-    alone = brute_components(identified.items())
+    alone = brute_components(identified.items(), 80)
     assert set(distinct) == {i for i, (_, _, k) in alone.items() if k}
     assert set(clean) == {i for i in distinct if i % 10 != 2 or i % 8 == 5}
     pieces = corpus_pipeline.packed(spark, docs, folder).collect()
