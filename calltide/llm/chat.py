@@ -6,15 +6,20 @@ normalised form and joined, within their conversation, to the messages that
 wrote them: the latest earlier turn with their whole run, or with that passage, or with
 its first line, unquoted. A message replies to the latest turn that its first-level
 quotes come from, else to the turn before it. Conversations are then built
-without the quotes in the order of their turns, which replies don't change,
-in segments of SEGMENT turns; ``replies`` names what each turn replies to.
+without the quotes in the order of the replies: by the turn that is answered, then
+by their own turn. So a message always comes after what it answers, and the
+answers to a message stand together. They come in segments of SEGMENT messages; ``replies``
+names each turn and what it replies to, in that order.
 
-The as-of join and the numbering work in blocks of BLOCK turns with what the
-earlier blocks carry over, so that no task holds a conversation, however long.
+Messages are cut once, and the pieces written: keys of 64 bits for passages, and the
+body. Linking and numbering read the narrow columns only. The as-of join
+and the numbering work in blocks of BLOCK turns with what the
+earlier blocks carry over, so that no task holds a conversation, however long,
+nor all answers to one message.
 
 Defined cases: a missing or empty text is a message without passages and with
 an empty body; a missing role is `user`; rows without conv_id or turn can't be
-placed and are left out; rows that repeat a turn stand in it by role and text,
+placed and are left out; rows that repeat a turn stand in it by role and hash of the text,
 equal rows once; a quote of nothing known is dropped from the body and counted
 as not linked; ties go to the latest turn.
 """
@@ -24,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCK, SEGMENT = 4096, 256
 #: Leading quote marks, and control signs that part passages and lines while a message is cut.
 MARKS = r"^[ ]?(?:>[ ]?)+"
@@ -50,16 +57,23 @@ def _run(lines: Column) -> Column:
     return F.replace(lines, F.lit(BLANK), F.lit(LINE))
 
 
+def _key(lines: Column) -> Column:
+    return F.xxhash64(F.lower(F.translate(lines, LINE, " ")))
+
+
+MESSAGE = ["conv_id", "turn", "role", "id"]
+
+
 def cut(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body and the quoted passages of each distinct message."""
-    known = messages.select(
+    """MESSAGE columns, body, the keys of what each row wrote, and the level and keys (run, passage, first line) of what it quotes."""
+    raw = messages.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).where("conv_id is not null and turn is not null").distinct()
-    raw = known.select("conv_id", "turn", "role", "text", passages(F.col("text")).alias("raw"))
+    ).where("conv_id is not null and turn is not null")
+    raw = raw.select("conv_id", "turn", "role", F.md5("text").alias("id"), passages(F.col("text")).alias("raw"))
     # gap is true after a blank line; raw is a column, as what a lambda names is worked out for each element
     after = F.transform("raw", lambda x, i: F.struct(x["level"].alias("level"), x["line"].alias("line"), F.coalesce(F.get("raw", i - 1)["line"] == "", F.lit(False)).alias("gap")))
-    with_lines = raw.select("conv_id", "turn", "role", "text", F.filter(after, lambda x: x["line"] != "").alias("lines"))
+    with_lines = raw.select(*MESSAGE, F.filter(after, lambda x: x["line"] != "").alias("lines"))
 
     def marked(x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.element_at("lines", F.greatest(i, F.lit(1)))["level"])  # element_at counts from 1
@@ -69,72 +83,87 @@ def cut(messages: DataFrame) -> DataFrame:
     runs = F.filter(F.split(F.array_join(F.transform("lines", marked), ""), PASSAGE), lambda p: p != "")
     parts = F.transform(runs, lambda p: F.struct(F.split(p, LEVEL)[0].cast("int").alias("level"), F.split(p, LEVEL)[1].alias("lines")))
     own = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["lines"])
-    quoted = lambda p: F.transform(F.split(p["lines"], BLANK), lambda x: F.struct(p["level"].alias("level"), x.alias("lines"), _run(p["lines"]).alias("run")))
-    return with_lines.select("conv_id", "turn", "role", "text", parts.alias("parts")).select(
-        "conv_id", "turn", "role", "text",
-        F.translate(_run(F.array_join(own, "\n")), LINE, "\n").alias("body"),
-        own.alias("own"),
-        F.flatten(F.transform(F.filter("parts", lambda p: p["level"] > 0), quoted)).alias("quotes"),
-    )
+    units = F.flatten(F.transform("own", lambda p: F.concat(F.array(_run(p)), F.split(p, BLANK), F.split(_run(p), LINE))))
 
+    def quoted(p: Column) -> Column:
+        run = _key(_run(p["lines"]))
+        return F.transform(F.split(p["lines"], BLANK), lambda x: F.struct(p["level"].alias("level"), F.array(run, _key(x), _key(F.split(x, LINE)[0])).alias("keys")))
 
-def _key(lines: Column) -> Column:
-    return F.md5(F.lower(F.translate(lines, LINE, " ")))
+    return with_lines.select(*MESSAGE, parts.alias("parts")).select(*MESSAGE, "parts", own.alias("own")).select(
+        *MESSAGE, F.translate(_run(F.array_join("own", "\n")), LINE, "\n").alias("body"),
+        F.array_distinct(F.transform(units, _key)).alias("wrote"),
+        F.flatten(F.transform(F.filter("parts", lambda p: p["level"] > 0), quoted)).alias("quotes"),
+    )
 
 
-def links(pieces: DataFrame) -> DataFrame:
-    """(conv_id, turn, key, origin): the latest earlier turn that wrote what a turn quotes."""
-    units = F.explode(F.array_distinct(F.flatten(F.transform("own", lambda p: F.concat(F.array(_run(p)), F.split(p, BLANK), F.split(_run(p), LINE))))))
-    wrote = pieces.select("conv_id", "turn", units.alias("unit")).select("conv_id", _key(F.col("unit")).alias("key"), "turn").distinct()
-    quoted = pieces.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.explode(F.array(F.col("q.run"), F.col("q.lines"), F.split("q.lines", LINE)[0])).alias("unit"))
-    quoted = quoted.select("conv_id", _key(F.col("unit")).alias("key"), "turn").distinct()
+def origins(pieces: DataFrame) -> DataFrame:
+    """MESSAGE, at, level, origin: the latest earlier turn that wrote what the passage number ``at`` quotes, if any did."""
+    quoted = pieces.where(F.size("quotes") > 0).select(*MESSAGE, F.posexplode("quotes").alias("at", "q")).distinct()
+    quoted = quoted.select(*MESSAGE, "at", F.col("q.level").alias("level"), F.posexplode("q.keys").alias("way", "key"))
+    wrote = pieces.select("conv_id", "turn", F.explode("wrote").alias("key"))
     block = F.floor(F.col("turn") / BLOCK).alias("block")
     wrote, quoted = wrote.select("*", block), quoted.select("*", block)
-    wrote = wrote.join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
+    wrote = wrote.join(quoted.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").distinct()
     # what earlier blocks carry over: a row a block with something written
     per = wrote.groupBy("conv_id", "key", "block").agg(F.max("turn").alias("last"))
     steps = per.unionByName(quoted.select("conv_id", "key", "block", F.lit(None).cast("bigint").alias("last")).distinct())
     steps = steps.groupBy("conv_id", "key", "block").agg(F.max("last").alias("last"))
     carried = steps.withColumn("carried", F.max("last").over(Window.partitionBy("conv_id", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
-    both = quoted.withColumn("wrote", F.lit(None).cast("bigint")).unionByName(wrote.withColumn("wrote", F.col("turn")))
-    w = Window.partitionBy("conv_id", "key", "block").orderBy("turn", F.col("wrote").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("near", F.max("wrote").over(w)).where("wrote is null").join(carried, ["conv_id", "key", "block"], "left")
-    return found.select("conv_id", "turn", "key", F.coalesce("near", "carried").alias("origin")).where("origin is not null")
+    both = quoted.withColumn("made", F.lit(None).cast("bigint")).unionByName(wrote.withColumn("made", F.col("turn")), allowMissingColumns=True)
+    w = Window.partitionBy("conv_id", "key", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("near", F.max("made").over(w)).where("made is null").join(carried, ["conv_id", "key", "block"], "left").withColumn("origin", F.coalesce("near", "carried"))
+    # the run, else the passage, else its first line
+    return found.groupBy(*MESSAGE, "at", "level").agg(F.min_by("origin", F.when(F.col("origin").isNotNull(), F.col("way"))).alias("origin"))
+
+
+def replies(pieces: DataFrame) -> DataFrame:
+    """MESSAGE, reply_to, n_quotes, n_linked of each distinct message."""
+    summary = origins(pieces).groupBy(*MESSAGE).agg(F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("linked_turn"))
+    known = pieces.select(*MESSAGE).distinct()
+    # the turn before each, by blocks
+    turns = pieces.select("conv_id", "turn").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
+    per = turns.groupBy("conv_id", "block").agg(F.max("turn").alias("last"))
+    per = per.select("conv_id", "block", F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")).alias("carried"))
+    turns = turns.withColumn("near", F.lag("turn").over(Window.partitionBy("conv_id", "block").orderBy("turn"))).join(per, ["conv_id", "block"])
+    turns = turns.select("conv_id", "turn", F.coalesce("near", "carried").alias("before"))
+    out = known.join(summary, MESSAGE, "left").join(turns, ["conv_id", "turn"])
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(*MESSAGE, F.coalesce("linked_turn", "before").alias("reply_to"), count("n_quotes"), count("n_linked"))
+
+
+def ordered(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``position``: their number in the conversation by reply_to (none first), turn, role and id."""
+    first = F.lit(-(1 << 62)).cast("bigint")
+    m = messages.withColumns({"answered": F.coalesce("reply_to", first), "later": F.floor(F.col("turn") / BLOCK)})
+    m = m.withColumn("block", F.floor(F.col("answered") / BLOCK))
+    group = ["conv_id", "block", "answered", "later"]
+    per = m.groupBy(*group).agg(F.count("*").alias("n"))
+    blocks = per.groupBy("conv_id", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("conv_id", "block", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("block")) - F.col("n")).alias("before_block"))
+    w = Window.partitionBy("conv_id", "block").orderBy("answered", "later")
+    per = per.select(*group, (F.sum("n").over(w) - F.col("n")).alias("before_group")).join(blocks, ["conv_id", "block"])
+    m = m.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy("turn", "role", "id"))).join(per, group)
+    return m.select(*messages.columns, (F.col("before_block") + F.col("before_group") + F.col("rn") - 1).cast("bigint").alias("position"))
 
 
 def linked_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, position, reply_to, n_quotes, n_linked of each distinct message."""
-    pieces = cut(messages)
-    quotes = pieces.select("conv_id", "turn", "role", "text", F.posexplode("quotes").alias("at", "q"))
-    quotes = quotes.select("conv_id", "turn", "role", "text", "at", F.col("q.level").alias("level"), _key(F.col("q.run")).alias("run"), _key(F.col("q.lines")).alias("whole"), _key(F.split("q.lines", LINE)[0]).alias("head"))
-    known = links(pieces)
-    for name in ("run", "whole", "head"):
-        quotes = quotes.join(known.select("conv_id", "turn", F.col("key").alias(name), F.col("origin").alias(f"{name}_origin")), ["conv_id", "turn", name], "left")
-    quotes = quotes.withColumn("origin", F.coalesce("run_origin", "whole_origin", "head_origin"))
-    summary = quotes.groupBy("conv_id", "turn", "role", "text").agg(
-        F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("linked_turn"))
-    # numbers of the distinct turns, and the turn before each, by blocks
-    turns = pieces.select("conv_id", "turn").distinct().withColumn("block", F.floor(F.col("turn") / BLOCK))
-    per = turns.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
-    w = Window.partitionBy("conv_id").orderBy("block")
-    per = per.select("conv_id", "block", (F.sum("n").over(w) - F.col("n")).alias("first"), F.lag("last").over(w).alias("carried"))
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn")
-    turns = turns.withColumn("rn", F.row_number().over(inside)).withColumn("near", F.lag("turn").over(inside)).join(per, ["conv_id", "block"])
-    turns = turns.select("conv_id", "turn", (F.col("first") + F.col("rn") - 1).alias("position"), F.coalesce("near", "carried").alias("before"))
-    out = pieces.select("conv_id", "turn", "role", "text", "body").join(summary, ["conv_id", "turn", "role", "text"], "left").join(turns, ["conv_id", "turn"])
-    return out.select(
-        "conv_id", "turn", "role", "text", "body", "position", F.coalesce("linked_turn", "before").alias("reply_to"),
-        F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"))
+    """MESSAGE, reply_to, n_quotes, n_linked, position and body of each message, repeated rows as often as they stand there."""
+    pieces = written(cut(messages), "pieces")
+    return ordered(replies(pieces)).join(pieces.select(*MESSAGE, "body"), MESSAGE)
 
 
 def conversations(messages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """(conv_id, segment, n_messages, n_quotes, n_linked, replies, chat): text in turn order of ``segment`` turns at a time."""
+    """(conv_id, segment, n_messages, n_quotes, n_linked, replies, chat): text in reply order, ``segment`` messages at a time."""
     m = linked_messages(messages).withColumn("segment", F.floor(F.col("position") / segment).cast("bigint"))
     chat = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "body", F.lit("\n<|end|>\n"))
     reply = F.concat(F.col("turn").cast("string"), F.lit(">"), F.coalesce(F.col("reply_to").cast("string"), F.lit("-")))
-    row = F.struct("turn", "role", "text", chat.alias("chat"), reply.alias("reply"))
-    g = m.groupBy("conv_id", "segment").agg(F.count("*").alias("n_messages"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(row)).alias("rows"))
-    return g.select("conv_id", "segment", "n_messages", "n_quotes", "n_linked", F.array_join("rows.reply", " ").alias("replies"), F.array_join("rows.chat", "").alias("chat"))
+    row = F.struct("position", "n_quotes", "n_linked", reply.alias("reply"), chat.alias("chat"))
+    # a set, so that repeated rows count once
+    g = m.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_set(row)).alias("rows"))
+    total = lambda name: F.aggregate("rows", F.lit(0).cast("bigint"), lambda n, x: n + x[name])
+    return g.select(
+        "conv_id", "segment", F.size("rows").cast("bigint").alias("n_messages"), total("n_quotes").alias("n_quotes"), total("n_linked").alias("n_linked"),
+        F.array_join("rows.reply", " ").alias("replies"), F.array_join("rows.chat", "").alias("chat"))
 
 
 SQL = rf"""
@@ -149,31 +178,34 @@ lines AS (
   SELECT id, pos, length(replace(regexp_extract(line, '^[ ]?(?:>[ ]?)+'), ' ', '')) AS level,
          trim(regexp_replace(regexp_replace(line, '^[ ]?(?:>[ ]?)+', ''), '[ \t\r\f]+', ' ', 'g')) AS line
   FROM raw),
-full_lines AS (SELECT * FROM lines WHERE line <> ''),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - row_number() OVER (PARTITION BY id, level ORDER BY pos) AS run FROM full_lines),
+gaps AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY id ORDER BY pos) = '', false)::INT AS gap FROM lines),
+full_lines AS (SELECT * FROM gaps WHERE line <> ''),
+runs AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) - row_number() OVER (PARTITION BY id, level ORDER BY pos) AS run FROM full_lines),
+numbered AS (SELECT *, sum(gap) OVER (PARTITION BY id, level, run ORDER BY pos) AS passage FROM runs),
+whole AS (SELECT id, level, run, lower(string_agg(line, ' ' ORDER BY pos)) AS run_key FROM numbered GROUP BY id, level, run),
 parts AS (
-  SELECT id, level, run, min(pos) AS pos, md5(lower(string_agg(line, ' ' ORDER BY pos))) AS whole, md5(lower(arg_min(line, pos))) AS head
-  FROM numbered GROUP BY id, level, run),
+  SELECT id, level, run, passage, lower(string_agg(line, ' ' ORDER BY pos)) AS key, lower(arg_min(line, pos)) AS head
+  FROM numbered GROUP BY id, level, run, passage),
 wrote AS (
-  SELECT conv_id, turn, whole AS key FROM parts JOIN messages USING (id) WHERE level = 0
-  UNION SELECT conv_id, turn, md5(lower(line)) FROM full_lines JOIN messages USING (id) WHERE level = 0),
-quotes AS (SELECT p.*, conv_id, turn FROM parts p JOIN messages USING (id) WHERE level > 0),
+  SELECT conv_id, turn, run_key AS key FROM whole JOIN messages USING (id) WHERE level = 0
+  UNION SELECT conv_id, turn, key FROM parts JOIN messages USING (id) WHERE level = 0
+  UNION SELECT conv_id, turn, lower(line) FROM full_lines JOIN messages USING (id) WHERE level = 0),
+quotes AS (SELECT p.*, run_key, conv_id, turn FROM parts p JOIN whole USING (id, level, run) JOIN messages USING (id) WHERE level > 0),
 origins AS (
-  SELECT q.id, q.level, q.pos,
-         coalesce((SELECT max(w.turn) FROM wrote w WHERE w.conv_id = q.conv_id AND w.key = q.whole AND w.turn < q.turn),
+  SELECT q.id, q.level,
+         coalesce((SELECT max(w.turn) FROM wrote w WHERE w.conv_id = q.conv_id AND w.key = q.run_key AND w.turn < q.turn),
+                  (SELECT max(w.turn) FROM wrote w WHERE w.conv_id = q.conv_id AND w.key = q.key AND w.turn < q.turn),
                   (SELECT max(w.turn) FROM wrote w WHERE w.conv_id = q.conv_id AND w.key = q.head AND w.turn < q.turn)) AS origin
   FROM quotes q),
 summary AS (SELECT id, count(*) AS n_quotes, count(origin) AS n_linked, max(CASE WHEN level = 1 THEN origin END) AS linked_turn FROM origins GROUP BY id),
-turns AS (
-  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before
-  FROM (SELECT DISTINCT conv_id, turn FROM messages)),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM messages)),
 bodies AS (SELECT id, string_agg(line, chr(10) ORDER BY pos) AS body FROM full_lines WHERE level = 0 GROUP BY id),
-built AS (
-  SELECT m.*, position // {SEGMENT} AS segment, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
-         coalesce(linked_turn, before) AS reply_to, coalesce(body, '') AS body
-  FROM messages m JOIN turns USING (conv_id, turn) LEFT JOIN summary USING (id) LEFT JOIN bodies USING (id))
-SELECT conv_id, segment::BIGINT AS segment, count(*)::BIGINT AS n_messages, sum(n_quotes)::BIGINT AS n_quotes, sum(n_linked)::BIGINT AS n_linked,
-       string_agg(turn || '>' || coalesce(reply_to::VARCHAR, '-'), ' ' ORDER BY turn, role, text) AS replies,
-       string_agg('<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
-FROM built GROUP BY conv_id, segment
+linked AS (
+  SELECT m.*, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(linked_turn, before) AS reply_to, coalesce(body, '') AS body
+  FROM messages m JOIN turns USING (conv_id, turn) LEFT JOIN summary USING (id) LEFT JOIN bodies USING (id)),
+built AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY reply_to NULLS FIRST, turn, role, md5(text)) - 1 AS position FROM linked)
+SELECT conv_id, (position // {SEGMENT})::BIGINT AS segment, count(*)::BIGINT AS n_messages, sum(n_quotes)::BIGINT AS n_quotes, sum(n_linked)::BIGINT AS n_linked,
+       string_agg(turn || '>' || coalesce(reply_to::VARCHAR, '-'), ' ' ORDER BY position) AS replies,
+       string_agg('<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10), '' ORDER BY position) AS chat
+FROM built GROUP BY conv_id, position // {SEGMENT}
 """

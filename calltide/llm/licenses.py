@@ -56,6 +56,13 @@ SENTENCES = {
     "cc0": ["licensed under cc0 1 0", "released under the cc0 1 0 public domain license", "this license dedicates the work to the public domain under cc0 1 0"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+    "gpl2-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "lgpl21-redistribute": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3-redistribute": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "epl2-short": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0", "licensed under the eclipse public license 2 0"],
     "reserved": ["all rights reserved under copyright", "copyright all rights reserved"],
 }
 #: Rules in their order: licence, category, identifiers (fixed values).
@@ -69,6 +76,10 @@ RULES = [
     ("GPL-3.0-or-later", "copyleft", ["gpl3-short", "or-later"]),
     ("GPL-3.0-or-later", "copyleft", ["gpl-redistribute"]),
     ("GPL-2.0-or-later", "copyleft", ["gpl2-short", "or-later"]),
+    ("GPL-2.0-or-later", "copyleft", ["gpl2-redistribute"]),
+    ("LGPL-2.1-or-later", "copyleft", ["lgpl21-redistribute"]),
+    ("LGPL-3.0-or-later", "copyleft", ["lgpl3-redistribute"]),
+    ("AGPL-3.0-or-later", "copyleft", ["agpl3-redistribute"]),
     ("BSD-3-Clause", "permissive", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", "permissive", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
     ("MIT", "permissive", ["mit-short"]),
@@ -81,6 +92,9 @@ RULES = [
     ("BSD-2-Clause", "permissive", ["bsd2-short"]),
     ("MPL-2.0", "copyleft", ["mpl2-short"]),
     ("ISC", "permissive", ["isc-grant"]),
+    ("Zlib", "permissive", ["zlib-grant"]),
+    ("BSL-1.0", "permissive", ["boost-grant"]),
+    ("EPL-2.0", "copyleft", ["epl2-short"]),
     ("CC-BY-NC-4.0", "noncommercial", ["cc-by-nc"]),
     ("CC-BY-SA-4.0", "copyleft", ["cc-by-sa"]),
     ("CC-BY-ND-4.0", "restricted", ["cc-by-nd"]),
@@ -89,14 +103,18 @@ RULES = [
     ("Unlicense", "public-domain", ["unlicense"]),
     ("Proprietary", "restricted", ["reserved"]),
 ]
-#: Every known sentence has one of these stems; texts without any have no known sentence.
-STEMS = ["licen", "copyright", "permission", "redistribut", "public domain", "warrant", "free software"]
+#: Every known sentence has one of these in a word (which no line end can part); texts without any have no known sentence.
+STEMS = ["licen", "copyright", "permission", "redistribut", "unencumbered", "warrant"]
 CUTS = {"sentences": r"\n[ \t\r]*\n|[.!?;:][ \t\r\n]", "lines": r"\n|[.!?;:][ \t\r]"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 IDENTIFIER = {s: k for k, v in SENTENCES.items() for s in v}
 #: Real wordings that CUTS part.
 WORDINGS = {
     "gpl-redistribute": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
+    "gpl2-redistribute": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 2 of the license, or (at your option) any later version"],
+    "lgpl21-redistribute": ["this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 2.1 of the license, or (at your option) any later version"],
+    "lgpl3-redistribute": ["this library is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
+    "agpl3-redistribute": ["this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version"],
     "mpl2-short": ["this source code form is subject to the terms of the mozilla public license, v. 2.0"],
 }
 
@@ -174,12 +192,13 @@ def sql() -> str:
     """The same scan in SQL for DuckDB."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{q(s)}: {q(k)}" for s, k in IDENTIFIER.items()) + "}"
-    likely = " OR ".join(f"contains(low, {q(s)})" for s in STEMS)
-    ways = ", ".join(
-        f"CASE WHEN {likely} THEN coalesce(array_to_string(list_transform(list_filter(list_transform(string_split_regex(low, {q(cut)}), "
-        f"lambda s: {known}[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL), lambda x: ' ' || x || ' '), ''), '') ELSE '' END AS {how}"
-        for how, cut in CUTS.items()
-    )
+    normal = lambda x: f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
+    lines = f"list_filter(list_transform(string_split_regex(s, {q(CUTS['lines'])}), lambda x: {normal('x')}), lambda x: x <> '')"
+
+    def identifier(x: str, after: str) -> str:
+        parts = "".join(f"WHEN {x} = {q(first)} AND (({after}).whole = {q(rest)} OR ({after}).lines[1] = {q(rest)}) THEN {q(k)} " for (first, rest), k in FRAGMENTS.items())
+        return f"(CASE {parts}ELSE {known}[{x}] END)"
+
     steps, last = [], "s0"
     for i, (_, _, ids) in enumerate(RULES):
         p = "".join(f" {x} " for x in ids)
@@ -190,8 +209,14 @@ def sql() -> str:
     kind = " ".join(f"WHEN n{i} > 0 THEN {q(r[1])}" for i, r in enumerate(RULES))
     return f"""
 WITH base AS (SELECT doc_id, translate(coalesce(text, ''), {q(UPPER)}, {q(LOWER)}) AS low FROM documents),
-cut AS (SELECT doc_id, {ways} FROM base),
-picked AS (SELECT doc_id, CASE WHEN length(regexp_replace(lines, '[^ ]', '', 'g')) > length(regexp_replace(sentences, '[^ ]', '', 'g')) THEN lines ELSE sentences END AS remaining FROM cut),
+cut AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(low, {q(CUTS["sentences"])}), lambda s: {{'whole': {normal("s")}, 'lines': {lines}}}), lambda p: p.whole <> '') AS parts
+  FROM base),
+told AS (
+  SELECT doc_id, flatten(list_transform(parts, lambda p, i: CASE WHEN {identifier("p.whole", "parts[i + 1]")} IS NOT NULL THEN [{identifier("p.whole", "parts[i + 1]")}]
+    ELSE list_transform(p.lines, lambda y, j: {identifier("y", "CASE WHEN j = len(p.lines) THEN parts[i + 1] END")}) END)) AS ids
+  FROM cut),
+picked AS (SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(ids, lambda x: x IS NOT NULL), lambda x: ' ' || x || ' '), ''), '') AS remaining FROM told),
 s0 AS (SELECT *, length(regexp_replace(remaining, '[^ ]', '', 'g')) // 2 AS n_sentences FROM picked),
 {", ".join(steps)},
 named AS (SELECT *, list_filter([{names}], lambda x: x IS NOT NULL) AS l FROM {last})

@@ -33,8 +33,8 @@ from .common import held_out, written
 SYMBOLS = b"!#$%&*<>{}[]\\^~=+@_"
 PUNCTUATION = b".,;:?"
 N_FEATURES = 13
-#: Least variance of a standardised statistic.
-FLOOR = 1e-6
+#: Least variance of a statistic, and of any direction of the standardised ones.
+FLOOR = 1e-4
 PRODUCTS = [(i, j) for i in range(N_FEATURES) for j in range(i + 1)]
 
 
@@ -118,13 +118,15 @@ class Model:
                 s[i, j] = s[j, i] = sums[c, 1 + N_FEATURES + p]
             scatter[c] = s - n[c] * np.outer(mean[c], mean[c])
         pooled = (scatter[0] + scatter[1]) / total
-        scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))  # the identity is that of standardised statistics
+        scale = np.sqrt(np.maximum(np.diag(pooled), FLOOR))  # the identity is that of standardised statistics
         self.parts = []
         for c in (0, 1):
             cov = (1 - to_pooled) * scatter[c] / n[c] + to_pooled * pooled
             cov = cov / np.outer(scale, scale)
+            cov = (1 - to_identity) * cov + to_identity * np.trace(cov) / N_FEATURES * np.eye(N_FEATURES)
             # the floor keeps a factor where nothing varies, as with learning texts that are all empty
-            cov = (1 - to_identity) * cov + (to_identity * np.trace(cov) / N_FEATURES + FLOOR) * np.eye(N_FEATURES)
+            spread, axes = np.linalg.eigh(cov)
+            cov = (axes * np.maximum(spread, FLOOR)) @ axes.T
             factor = np.linalg.cholesky(cov)
             self.parts.append((mean[c], np.linalg.inv(factor) / scale, np.log(np.diag(factor)).sum()))
         self.prior = np.log(n[1] / n[0])

@@ -3,7 +3,8 @@
 A text is cut before each single space that no other white space follows, which
 the vocabulary's own pre-tokenizer always does too; so the pieces can be encoded one by
 one, and the ids of a piece that comes again are taken from a bounded cache.
-Special token strings in a text are ordinary text.
+A text with the string of an added token goes to the library as a whole, so the
+ids are always those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class Encoder(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.merge = self.tokenizer.model.tokenize
         self.signs = cache(self.ids)
@@ -63,6 +64,8 @@ class Encoder(dict):
         """The ids of a whole text."""
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if RUNS.search(text):
             return b"".join([self[x[1:]] if x[0] == " " and x[1:2].strip() else self.ids(x) for x in PIECE.findall(text)])
         first, *rest = text.split(" ")
