@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -279,11 +280,15 @@ def test_chat_blocks_do_not_change_links(spark, monkeypatch):
 # --- 4 and 7 tokens ---------------------------------------------------------------------
 
 
-def reference_ids(text):
+@cache
+def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_path())
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokens.default_path())
+
+
+def reference_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_equals_the_library():
