@@ -4,19 +4,25 @@ A passage of a document leaks an item of L words if some run of its words has
 an edit distance (on words) to the item of at most ``floor(L / 5)``, that is a
 similarity of 0.8 or more.
 
-Such a passage shares with the item, unchanged, one of its runs of
-``ceil((L - d) / (d + 1))`` words (the pigeonhole principle), so windows of the
-item's size are laid only where such a run occurs. The CGK random walk embeds
-window and item: it writes the word it stands on and goes on, or stays, as a
-hash of the step and the word says, so that edit distance becomes Hamming
-distance. Bit sampling LSH then hashes ``POSITIONS`` sampled steps of the embeddings,
-in as many repetitions as the target recall needs, given the share of equal
-steps that random edits of the items themselves leave. Windows that agree with their item in any
-repetition are verified: the edit distance of the item to any run of words
-around the window, exactly.
-
-Each document is looked at on its own, against the items in blocks of
-BLOCK items at most, so nothing is shuffled but the (rare) leaks.
+The CGK random walk embeds items and windows of their size: it writes the word
+it stands on and goes on, or stays, as a hash of the walk, the step and the word
+says, so that edit distance becomes Hamming distance. Bit sampling LSH hashes
+POSITIONS sampled steps of a walk into a bucket, in as many repetitions as the
+target recall needs; there are WALKS independent walks for them. The share of
+equal steps that random edits of the items themselves leave, at the most edits allowed, gives the
+number of repetitions for each length. The buckets of the items are the source of
+candidates: each window is looked up in the buckets of its length, and what it meets there is
+verified: the edit distance of the item to any run of words around the window, exactly.
+
+Which windows are embedded at all is told by a prefilter that loses none: a
+passage within d edits of L words holds, unchanged, one of the item's runs of
+``ceil((L - d) / (d + 1))`` words (the pigeonhole principle). So windows of L
+words are laid only where such a run of any item of L words stands, at
+the place in the window that it has in the item.
+
+Each document is looked at on its own, against the items in blocks bounded in
+items and characters, so nothing is shuffled but the (rare) leaks. Only bucket
+keys of a block are kept, not embeddings; these are made for a bounded number of windows at a time.
 
 Defined cases: words are runs, in lower case, of letters, digits and whatever is not ASCII; items
 without words leak nowhere; missing and empty texts leak nothing; an item with
@@ -28,7 +34,6 @@ a missing item_id or doc_id is reported as such.
 from __future__ import annotations
 
 from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,9 +43,14 @@ from pyspark.sql import functions as F
 
 #: ASCII signs part words as white space does.
 SPACES = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
-BLOCK = 20_000
+#: Items, and characters of them, that are held at once, about.
+BLOCK, BLOCK_CHARS = 20_000, 8 << 20
 RECALL = 0.99
-WALKS, POSITIONS = 4, 3
+WALKS, POSITIONS = 32, 2
+#: Steps that are sampled, for each word of the window; hardly a walk ends before.
+REACH = 1.8
+#: Steps of embeddings, and bucket keys, that are held at once.
+STEPS, KEYS = 4 << 20, 1 << 20
 END = np.uint64(0)
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -93,74 +103,95 @@ def distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items: their words, runs, embeddings and LSH positions."""
+    """A block of items: their words, the runs that mark windows, and the buckets of their embeddings."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None], recall: float = RECALL, seed: int = 11):
         found = [(i, h) for i, t in zip(ids, texts, strict=True) if len(h := word_hashes(t))]
         self.ids, self.words = [i for i, _ in found], [h for _, h in found]
         self.size = np.array([len(h) for h in self.words], np.int64)
         self.most = self.size // 5
-        runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for k, (h, d) in enumerate(zip(self.words, self.most, strict=True)):
+        runs: dict[int, list[np.ndarray]] = {}
+        for h, d in zip(self.words, self.most, strict=True):
             n = -(-(len(h) - int(d)) // (int(d) + 1))
             r = run_hashes(h, n)
-            runs.setdefault(n, []).append((r, np.full(len(r), k), np.arange(len(r))))
+            runs.setdefault(n, []).append(np.stack([r, np.full(len(r), len(h), np.uint64), np.arange(len(r), dtype=np.uint64)]))
         self.runs = {}
         for n, parts in runs.items():
-            r, k, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(r, kind="stable")
+            r, size, at = np.unique(np.concatenate(parts, axis=1), axis=1)  # sorted by r
             maybe = np.zeros(1 << 20, bool)
             maybe[(r >> np.uint64(44)).astype(np.int64)] = True
-            self.runs[n] = (r[order], k[order], at[order], maybe)
-        rng = np.random.default_rng(seed)
-        self.flat = np.concatenate([*self.words, np.empty(0, np.uint64)])
-        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1].astype(np.int64)
-        if not self.ids:
-            return
-        self.steps = 2 * int(self.size.max())
-        self.seeds = rng.integers(1, 1 << 63, (WALKS, self.steps), dtype=np.uint64)
-        ends = self.start + self.size
-        self.embedded = [self._walk(s, self.flat, self.start, ends, self.size) for s in self.seeds]
-        self.repeats = self._repeats(rng, recall)
-        #: For each repetition its walk and its positions as shares of an item's 2 L steps.
-        self.samples = [(q % WALKS, rng.random(POSITIONS)) for q in range(self.repeats)]
-
-    def _walk(self, seeds: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The embeddings of the windows of ``size`` words at ``start`` (words from ``end`` on are not theirs), a row a step."""
-        out = np.zeros((len(seeds), len(start)), np.uint64)
-        at, stop = start.copy(), np.minimum(start + size, end)
-        for j, s in enumerate(seeds):
-            live = at < stop
-            if not live.any():
-                break
+            self.runs[n] = (r, size.astype(np.int64), at.astype(np.int64), maybe)
+        self.positions, self.buckets = {}, {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            flat, start = np.concatenate([self.words[k] for k in own]), np.arange(len(own)) * size
+            rng = np.random.default_rng((seed, size))
+            steps = max(1, int(REACH * size))
+            self.positions[size] = np.sort(rng.integers(steps, size=(self.repeats(flat, size, rng, recall), POSITIONS)), axis=1)
+            keys, item = [], []
+            for at, k in self.keys(size, flat, start, start + size):
+                keys.append(k.ravel())
+                item.append(np.tile(own[at : at + k.shape[1]], len(k)))
+            keys, item = np.concatenate(keys), np.concatenate(item)
+            order = np.argsort(keys, kind="stable")
+            order = order[keys[order] != END]
+            self.buckets[size] = (keys[order], item[order].astype(np.int32))
+
+    @staticmethod
+    def walk(steps: int, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The embeddings, by walk and step, of the windows from ``start`` to ``end``."""
+        seeds = (np.arange(WALKS, dtype=np.uint64)[:, None] + np.uint64(1)) * _MIX
+        out = np.zeros((WALKS, steps, len(start)), np.uint64)
+        at = np.tile(start, (WALKS, 1))
+        for j in range(steps):
+            live = at < end
             x = np.where(live, h[np.minimum(at, len(h) - 1)], END)
-            out[j] = x
-            at += ((((x ^ s) * _MIX) >> np.uint64(40)) & np.uint64(1)).astype(np.int64) * live
+            out[:, j] = x
+            turn = (x ^ seeds ^ np.uint64((j + 1) * int(_ODD) % (1 << 64))) * _MIX
+            turn ^= turn >> np.uint64(32)
+            at += (((turn * _ODD) >> np.uint64(63)).astype(np.int64)) * live
         return out
 
-    def _repeats(self, rng: np.random.Generator, recall: float) -> int:
-        """Repetitions for the recall, from the share of steps that stay equal under the most edits allowed (the lower tenth over items)."""
-        shares = []
-        for k in rng.permutation(len(self.ids))[:200]:
-            w, d = self.words[k].tolist(), int(self.most[k])
+    def repeats(self, flat: np.ndarray, size: int, rng: np.random.Generator, recall: float, tries: int = 24) -> int:
+        """Repetitions for the recall, from the share of sampled steps that stay equal under the most edits allowed (the lower tenth over items)."""
+        steps, texts = max(1, int(REACH * size)), []
+        picked = rng.integers(len(flat) // size, size=tries)
+        for k in picked:
+            w, d = flat[k * size : (k + 1) * size].tolist(), size // 5
             for _ in range(d):
                 at, kind = int(rng.integers(len(w))), int(rng.integers(3))
                 w[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(1 << 62))]
-            h, n = np.array(w, np.uint64), 2 * int(self.size[k])
-            one = np.array([0])
-            a = self._walk(self.seeds[0][:n], h, one, np.array([len(h)]), self.size[k : k + 1])
-            shares.append((a[:, 0] == self.embedded[0][:n, k]).mean())
-        equal = max(0.05, float(np.quantile(shares, 0.1))) ** POSITIONS
-        return int(np.clip(np.ceil(np.log(1 - recall) / np.log1p(-equal)) if equal < 1 else 1, WALKS, 2000))
-
-    def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(document, item, distance, start word) of each leak in a batch, the closest for each pair."""
-        if not self.ids:
-            return []
-        first = np.concatenate([[0], np.cumsum([len(h) for h in docs])]).astype(np.int64)
-        h = np.concatenate([*docs, np.empty(0, np.uint64)])
-        found = []
-        for n, (runs, item, offset, maybe) in self.runs.items():
+            texts.append(np.array((w + rng.integers(1 << 62, size=size).tolist())[:size], np.uint64))
+        start = np.arange(tries) * size
+        shares = []
+        for some in range(0, tries, max(1, STEPS // (WALKS * steps))):
+            part = slice(some, some + max(1, STEPS // (WALKS * steps)))
+            a = self.walk(steps, np.concatenate(texts), start[part], start[part] + size)
+            b = self.walk(steps, flat, picked[part] * size, picked[part] * size + size)
+            shares.append(((a == b) & (a != END)).mean(axis=(0, 1)))
+        equal = max(0.5 / steps, float(np.quantile(np.concatenate(shares), 0.1))) ** POSITIONS
+        return WALKS if equal >= 1 else max(WALKS, int(np.ceil(np.log(1 - recall) / np.log1p(-equal))))
+
+    def keys(self, size: int, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For bounded parts of the windows: where the part begins, and bucket keys by repetition and window; END where a walk had ended."""
+        pos = self.positions[size]
+        steps, own = int(pos.max()) + 1, np.arange(len(pos)) % WALKS
+        n = max(1, min(STEPS // (WALKS * steps), KEYS // len(pos)))
+        for at in range(0, len(start), n):
+            words = self.walk(steps, h, start[at : at + n], end[at : at + n])
+            key = np.arange(1, len(pos) + 1, dtype=np.uint64)[:, None] * _ODD
+            key, whole = np.repeat(key, words.shape[2], axis=1), True
+            for p in range(POSITIONS):
+                x = words[own, pos[:, p]]
+                whole = whole & (x != END)
+                key = (key ^ x) * _MIX
+                key ^= key >> np.uint64(29)
+            yield at, np.where(whole, np.maximum(key, np.uint64(1)), END)
+
+    def windows(self, docs: list[np.ndarray], h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(size, document, start) of the windows where an item of that size may leak."""
+        found = [np.empty((3, 0), np.int64)]
+        for n, (runs, size, offset, maybe) in self.runs.items():
             r = run_hashes(h, n)
             at = np.flatnonzero(maybe[(r >> np.uint64(44)).astype(np.int64)])
             low, high = np.searchsorted(runs, r[at], "left"), np.searchsorted(runs, r[at], "right")
@@ -171,38 +202,47 @@ class Items:
             at, low, n_hits, doc = at[inside], low[inside], n_hits[inside], doc[inside]
             many = np.repeat(np.arange(len(at)), n_hits)
             e = low[many] + np.arange(len(many)) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits)
-            found.append(np.stack([doc[many], item[e], np.maximum(at[many] - offset[e], first[doc[many]])]))
-        windows = np.unique(np.concatenate(found, axis=1), axis=1)
+            found.append(np.stack([size[e], doc[many], np.maximum(at[many] - offset[e], first[doc[many]])]))
+        return np.unique(np.concatenate(found, axis=1), axis=1)
+
+    def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(document, item, distance, start word) of each leak in a batch, the closest for each pair."""
+        if not self.ids:
+            return []
+        first = np.concatenate([[0], np.cumsum([len(h) for h in docs])]).astype(np.int64)
+        h = np.concatenate([*docs, np.empty(0, np.uint64)])
+        sizes, doc, start = self.windows(docs, h, first)
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        for at in range(0, windows.shape[1], 50_000):
-            self._verify(docs, h, first, windows[:, at : at + 50_000], out)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            buckets, item = self.buckets[size]
+            for at, keys in self.keys(size, h, start[own], np.minimum(start[own] + size, first[doc[own] + 1])):
+                low, high = np.searchsorted(buckets, keys.ravel(), "left"), np.searchsorted(buckets, keys.ravel(), "right")
+                n_hits = high - low  # END is in no bucket
+                many = np.repeat(np.arange(len(low)), n_hits)
+                e = low[many] + np.arange(len(many)) - np.repeat(np.cumsum(n_hits) - n_hits, n_hits)
+                met = np.unique(np.stack([own[at + many % keys.shape[1]], item[e].astype(np.int64)]), axis=1)
+                for w, k in met.T.tolist():
+                    self._verify(docs, int(doc[w]), k, int(start[w] - first[doc[w]]), out)
         return [(d, k, *v) for (d, k), v in out.items()]
 
-    def _verify(self, docs: list[np.ndarray], h: np.ndarray, first: np.ndarray, windows: np.ndarray, out: dict) -> None:
-        doc, item, start = windows
-        size = self.size[item]
-        near = np.zeros(len(doc), bool)
-        steps = 2 * int(size.max())
-        for walk in range(WALKS):
-            same = self._walk(self.seeds[walk][:steps], h, start, first[doc + 1], size) == self.embedded[walk][:steps, item]
-            for w, share in self.samples:
-                if w == walk:
-                    pos = (share[:, None] * (2 * size)).astype(np.int64)
-                    near |= np.logical_and.reduce(same[pos, np.arange(len(doc))])
-        for d, k, s in zip(doc[near].tolist(), item[near].tolist(), (start - first[doc])[near].tolist(), strict=True):
-            most, n = int(self.most[k]), int(self.size[k])
-            if out.get((d, k), (1,))[0] == 0:
-                continue
-            low = max(0, s - most)
-            dist, end = distance_within(self.words[k], docs[d][low : s + n + most])
-            if dist <= most and (dist, low) < out.get((d, k), (most + 1, 0)):
-                out[d, k] = (dist, max(0, low + end - n))
+    def _verify(self, docs: list[np.ndarray], d: int, k: int, start: int, out: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds the pair if the item is close enough to some run of words around the window; the closest place stays."""
+        if out.get((d, k), (1,))[0] == 0:
+            return
+        most, n = int(self.most[k]), int(self.size[k])
+        low = max(0, start - most)
+        dist, end = distance_within(self.words[k], docs[d][low : start + n + most])
+        place = max(0, low + end - n)
+        if dist <= most and (dist, place) < out.get((d, k), (most + 1, 0)):
+            out[d, k] = (dist, place)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The items in blocks of at most BLOCK (by hash of item_id and text), so that no more is held or sent at once."""
+    """The items in blocks (by hash of item_id and text), so that no more is held or sent at once."""
     own = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = max(1, -(-own.count() // (BLOCK // 2)))
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n = max(1, -(-size.n // (BLOCK // 2)), -(-size.chars // (BLOCK_CHARS // 2)))
     for part in range(n):
         t = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part).orderBy("item_id", "text").toArrow()
         yield Items(t.column("item_id").to_pylist(), t.column("text").to_pylist())

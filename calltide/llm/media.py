@@ -3,9 +3,10 @@
 Each text becomes an image of 8-bit samples, 192 to a row, stored losslessly
 as PNG. Tasks write the images into archives in the shared folder. An archive
 is a row of blocks, each with its own directory of members (id, offset,
-length, checksum), and ends with the list of its blocks. The data source reads
-that list alone to plan partitions as byte ranges of whole blocks; a partition reads the directories of
-its blocks, then streams the members in Arrow batches. A member whose bytes do
+length, checksum), and ends with the list of its blocks. The tasks report byte ranges of
+whole blocks, which the manifest of the folder lists, so that the data source plans
+its partitions without opening an archive. A partition goes from block to block of its range: it reads the
+directory of a block, then streams the members in Arrow batches. A member whose bytes do
 not fit its checksum is read again by its offset, with a fresh handle, without
 its neighbours.
 
@@ -117,6 +118,15 @@ class _Archive:
         self.spans.append((self.at, offset - self.at))
         self.at, self.entries, self.body, self.held = offset, [], [], 0
 
+    def ranges(self, least: int) -> list[tuple[int, int]]:
+        """(start, end) of stretches of whole blocks, each of ``least`` bytes or more but for the last."""
+        out, start = [], 0
+        for at, length in self.spans:
+            if at + length - start >= least:
+                out.append((start, at + length))
+                start = at + length
+        return out + ([(start, self.at)] if start < self.at else [])
+
     def close(self) -> None:
         self.flush()
         footer = b"".join(SPAN.pack(*s) for s in self.spans)
@@ -124,8 +134,8 @@ class _Archive:
         self.out.close()
 
 
-def write_archives(documents: DataFrame, folder: str) -> None:
-    """Writes the texts as images, an archive a task, and then the manifest of the archives."""
+def write_archives(documents: DataFrame, folder: str, least: int = RANGE) -> None:
+    """Writes the texts as images, an archive a task, and then the manifest: the archives and their ranges of ``least`` bytes or more."""
     store, path = _opened(folder)
     store.create_dir(path, recursive=True)
 
@@ -140,51 +150,36 @@ def write_archives(documents: DataFrame, folder: str) -> None:
                 n += 1
         if archive:
             archive.close()
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["archive", "members"])
+            ranges = np.array(archive.ranges(least), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64()), pa.array([ranges.tobytes()])], names=["archive", "members", "ranges"])
 
     texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    done = texts.mapInArrow(run, "archive string, members bigint").collect()  # a row a task
+    done = texts.mapInArrow(run, "archive string, members bigint, ranges binary").collect()  # a row a task, 16 bytes a range
+    rows = sorted((r.archive, np.frombuffer(r.ranges, "<i8").reshape(-1, 2).tolist()) for r in done)
     with store.open_output_stream(f"{path}/manifest.json") as out:
-        out.write(json.dumps(sorted(r.archive for r in done)).encode())
+        out.write(json.dumps(rows).encode())
 
 
 class ByteRange(InputPartition):
     """Whole blocks of one archive."""
 
-    def __init__(self, archive: str, spans: list[tuple[int, int]]):
-        self.archive, self.spans = archive, spans
+    def __init__(self, archive: str, start: int, end: int):
+        self.archive, self.start, self.end = archive, start, end
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.range = options["path"], int(options.get("rangebytes", RANGE))
+        self.folder = options["path"]
 
     def partitions(self) -> list[ByteRange]:
         store, path = _opened(self.folder)
         with store.open_input_file(f"{path}/manifest.json") as f:
             archives = json.loads(f.read())
-        out: list[ByteRange] = []
-        for archive in archives:
-            store, path = _opened(archive)
-            with store.open_input_file(path) as f:
-                size = f.size()
-                n, footer, magic = TAIL.unpack(f.read_at(TAIL.size, size - TAIL.size))
-                if magic != MAGIC:
-                    raise ValueError(f"{archive} is not whole")
-                raw = f.read_at(footer, size - TAIL.size - footer)
-            spans = [SPAN.unpack_from(raw, i * SPAN.size) for i in range(n)]
-            own: list[tuple[int, int]] = []
-            for span in spans:
-                own.append(span)
-                if sum(length for _, length in own) >= self.range:
-                    out.append(ByteRange(archive, own))
-                    own = []
-            if own:
-                out.append(ByteRange(archive, own))
-        return out or [ByteRange("", [])]
+        return [ByteRange(archive, *own) for archive, ranges in archives for own in ranges] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        for at, _ in partition.spans:
+        at = partition.start
+        while at < partition.end:
             store, path = _opened(partition.archive)
             with store.open_input_file(path) as f:
                 n, directory = HEAD.unpack(f.read_at(HEAD.size, at))
@@ -192,6 +187,7 @@ class ArchiveReader(DataSourceReader):
                 media = []
                 for known, doc_id, n_bytes, offset, length, crc in entries:
                     media.append((doc_id if known else None, n_bytes, self.member(partition.archive, f, offset, length, crc)))
+            at += HEAD.size + directory + sum(length for *_, length, _ in entries)
             for i in range(0, n, 256):
                 some = media[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.binary())], names=["doc_id", "n_bytes", "media"])

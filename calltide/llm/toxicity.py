@@ -5,12 +5,14 @@ first 4 and 5 letters of longer words). Features are kept whose document
 frequencies differ between the labels by a G statistic of LEAST_G or more.
 For each learning document that has identity terms, one of its sentences gets
 the terms swapped for others of their group; the squared change of the
-sentence's score is part of the loss, so that naming a group does not move a
+sentence's score (as log odds) is part of the loss, so that naming a group does not move a
 score. Sentences without such a term get one put in, against the same sentence
 with another of the group, as long as fewer than MIN_PAIRS real swaps occur.
 
-It is fitted on a bounded sample of labelled rows: per label the SAMPLE rows
-lowest by hash of their doc_id. Everything else covers all rows.
+It is fitted on a bounded sample of labelled rows: per label the SAMPLE doc_ids
+lowest by hash, each with one text (the lowest by hash, where rows that repeat the doc_id have several).
+Everything else covers all rows. Words are gathered and counted in tasks; the driver receives the
+kept features (FEATURES at most) and, for each learning row, the numbers of those it has, never a text.
 
 Defined cases: a missing or empty text has no words and gets the score of the
 intercept; rows are scored one by one, so repeated rows score alike; without
@@ -20,19 +22,21 @@ rows); a doc_id with contradicting labels is not learned from.
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import drop_written, held_out, written
 
-#: Rows per label that are learned from, at most.
+#: Rows per label that are learned from, and features, at most.
 SAMPLE = 5_000
+FEATURES = 20_000
 MIN_PAIRS = 400
 #: Likelihood ratio statistic (chance level under 1e-5) from which on a feature is kept.
 LEAST_G = 20.0
@@ -65,40 +69,24 @@ def words(text: str | None) -> set[str]:
     return stemmed(set(WORD.findall((text or "").lower())))
 
 
-def selected(toxic: Counter, clean: Counter, n1: int, n0: int) -> set[str]:
-    """Features whose shares of the n1 toxic and n0 clean documents differ by LEAST_G or more."""
-    names = list(toxic.keys() | clean.keys())
-    a, b = (np.array([c[x] for x in names], float) for c in (toxic, clean))
-    share = (a + b) / (n1 + n0)
-
-    def term(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.where(seen > 0, seen, 1) / np.where(expected > 0, expected, 1))
-
-    g = 2 * (term(a, n1 * share) + term(b, n0 * share) + term(n1 - a, n1 * (1 - share)) + term(n0 - b, n0 * (1 - share)))
-    return {names[i] for i in np.flatnonzero(g >= LEAST_G)}
-
-
 def swapped(own: list[str], seed: int) -> list[str]:
     """The words with each identity term replaced by the next of its group (by ``seed``)."""
     return [g[(g.index(w) + 1 + seed % (len(g) - 1)) % len(g)] if (g := GROUP.get(w)) else w for w in own]
 
 
-def pairs(texts: list[str], rng: np.random.Generator) -> list[tuple[set[str], set[str]]]:
-    """Sentences and their counterparts with other identity terms."""
-    out, plain = [], []
-    for text in texts:
-        sentences = [WORD.findall(s) for s in SENTENCE.split((text or "").lower()) if s.strip()]
-        named = [s for s in sentences if any(w in GROUP for w in s)]
-        if named:
-            s = named[int(rng.integers(len(named)))]
-            out.append((set(s), set(swapped(s, int(rng.integers(1 << 30))))))
-        elif sentences:
-            plain.append(sentences[int(rng.integers(len(sentences)))])
-    for s in plain[: max(0, MIN_PAIRS - len(out))]:
-        g = IDENTITY[int(rng.integers(len(IDENTITY)))]
-        a, b = rng.choice(len(g), 2, replace=False)
-        out.append(({*s, g[a]}, {*s, g[b]}))
-    return [(stemmed(a), stemmed(b)) for a, b in out]
+def counterpart(text: str | None, seed: int) -> tuple[bool, list[str], list[str]]:
+    """Whether a sentence of the text names a group, and the features that it has and its counterpart with other terms has not, and the other way round."""
+    rng = random.Random(seed)
+    sentences = [WORD.findall(s) for s in SENTENCE.split((text or "").lower()) if s.strip()]
+    named = [s for s in sentences if any(w in GROUP for w in s)]
+    if named:
+        s = rng.choice(named)
+        a, b = set(s), set(swapped(s, rng.randrange(1 << 30)))
+    else:
+        s, (x, y) = rng.choice(sentences or [[]]), rng.sample(rng.choice(IDENTITY), 2)
+        a, b = {*s, x}, {*s, y}
+    a, b = stemmed(a), stemmed(b)
+    return bool(named), sorted(a - b), sorted(b - a)
 
 
 class Model:
@@ -113,77 +101,113 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _csr(docs: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    cols = [np.fromiter(sorted(index[w] for w in d if w in index), np.int64) for d in docs]
-    ends = np.cumsum([0, *map(len, cols)])
-    return (np.concatenate(cols) if cols else np.empty(0, np.int64)), ends
+class Learning(NamedTuple):
+    """What is learned from: features by number; of each row the numbers it has and its label; of each pair those of either side; the odds of label 1 in all rows."""
+
+    names: list[str]
+    rows: list[np.ndarray]
+    labels: list[int]
+    pairs: list[tuple[np.ndarray, np.ndarray]]
+    odds: float | None
+
 
+def gradient(w: np.ndarray, bias: float, rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], swap: float, l2: float) -> tuple[np.ndarray, float]:
+    """Of the mean log loss of the rows, ``swap`` times the mean squared change of the pairs, and ``l2`` / 2 times the squared weights."""
+    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    z = bias + np.bincount(row, weights=w[flat], minlength=len(rows))
+    error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(rows)
+    grad = np.bincount(flat, weights=error[row], minlength=len(w)) + l2 * w
+    for a, b in pairs if swap else ():
+        change = 2 * swap * (w[a].sum() - w[b].sum()) / len(pairs)
+        grad[a] += change
+        grad[b] -= change
+    return grad, float(error.sum())
 
-def train(texts: list[str], labels: list[int], odds: float | None = None, swap: float = 1.0, l2: float = 1e-6, epochs: int = 30, rate: float = 0.5, batch: int = 256, seed: int = 7) -> Model:
-    """AdaGrad over small batches; ``l2`` weighs the squared weights, ``swap`` the counterfactual penalty.
 
-    ``odds``: of label 1 among all learning rows, if the sample has others; the intercept is moved to them.
-    """
-    y = np.array(labels, float)
+def train(data: Learning, swap: float = 1.0, l2: float = 1e-6, epochs: int = 30, rate: float = 0.5, batch: int = 256, seed: int = 7) -> Model:
+    """AdaGrad over small batches; the intercept is moved to the odds in all learning rows."""
+    y = np.array(data.labels, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     rng = np.random.default_rng(seed)
-    df = [Counter(w for t, label in zip(texts, labels, strict=True) if label == k for w in words(t)) for k in (0, 1)]
-    twins = pairs(texts, rng)
-    named = {w for a, b in twins for w in a ^ b}
-    index = {w: i for i, w in enumerate(sorted(selected(df[1], df[0], int(y.sum()), int((1 - y).sum())) | named))}
-    del df
-    cols, ends = _csr([words(t) & index.keys() for t in texts], index)
-    ca, ea = _csr([a - b for a, b in twins], index)
-    cb, eb = _csr([b - a for a, b in twins], index)
-    w, g2 = np.zeros(len(index)), np.full(len(index), 1e-8)
-    bias, b2 = float(np.log(y.mean() / (1 - y.mean()))), 1e-8
+    w, g2 = np.zeros(len(data.names)), np.full(len(data.names), 1e-8)
+    own = float(np.log(y.mean() / (1 - y.mean())))
+    bias, b2 = own, 1e-8
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             rows = order[at : at + batch]
-            own = [cols[ends[r] : ends[r + 1]] for r in rows]
-            flat, row = np.concatenate(own), np.repeat(np.arange(len(rows)), [len(x) for x in own])
-            z = bias + np.bincount(row, weights=w[flat], minlength=len(rows))
-            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[rows]) / len(rows)
-            grad = np.bincount(flat, weights=error[row], minlength=len(w)) + l2 * w
-            if twins and swap:
-                for k in rng.integers(len(twins), size=32):
-                    a, b = ca[ea[k] : ea[k + 1]], cb[eb[k] : eb[k + 1]]
-                    change = 2 * swap * (w[a].sum() - w[b].sum()) / 32
-                    grad[a] += change
-                    grad[b] -= change
+            some = [data.pairs[k] for k in rng.integers(len(data.pairs), size=32)] if data.pairs else []
+            grad, step = gradient(w, bias, [data.rows[r] for r in rows], y[rows], some, swap, l2)
             g2 += grad**2
-            step = rate / np.sqrt(g2)
-            w -= step * grad
-            b2 += error.sum() ** 2
-            bias -= rate / np.sqrt(b2) * error.sum()
-    names = sorted(index, key=index.get)
-    if odds:
-        bias += float(np.log(odds) - np.log(y.mean() / (1 - y.mean())))
-    return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, bias)
-
-
-def sample(documents: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, size: int = SAMPLE) -> tuple[list[str], list[int], float | None]:
-    """Texts and labels that are learned from: at most ``size`` per label, lowest by hash of doc_id; and the odds of label 1 in all rows."""
+            w -= rate / np.sqrt(g2) * grad
+            b2 += step**2
+            bias -= rate / np.sqrt(b2) * step
+    if data.odds:
+        bias += float(np.log(data.odds)) - own
+    return Model({data.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, bias)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features and the counterpart of each row."""
+    for b in batches:
+        found = [(sorted(words(t)), *counterpart(t, seed)) for t, seed in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        texts = [pa.array([x[i] for x in found], pa.list_(pa.string())) for i in (0, 2, 3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x[1] for x in found], pa.bool_()), *texts], names=["doc_id", "label", "h", "named", "own", "here", "there"])
+
+
+def learning(documents: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, size: int = SAMPLE) -> Learning:
+    """Gathers what is learned from: at most ``size`` doc_ids per label, lowest by hash."""
     known = (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), mod, rest))
         .groupBy("doc_id").agg(F.min("toxic").cast("int").alias("label"), F.max("toxic").alias("other"))
-        .where("label = other").select("doc_id", "label", F.xxhash64("doc_id").alias("h"))
+        .where("label = other").select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", F.xxhash64("doc_id").alias("h"))
     )
     n = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy("h", "doc_id").limit(size)
         picked = part if picked is None else picked.unionByName(part)
-    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * size rows
-    words_of = found.where(F.col("text").isNotNull()).orderBy("h", "doc_id", "text").limit(4 * size).select("text", "label").toArrow()
-    return words_of.column("text").to_pylist(), words_of.column("label").to_pylist(), n[1] / n[0] if len(n) == 2 else None
+    picked = written(picked, "picked")  # at most 2 * size rows
+    texts = documents.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id")).where("text is not null").withColumn("t", F.xxhash64("text"))
+    one = written(texts.select("doc_id", "t").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "h").agg(F.min("t").alias("t")), "picked")
+    found = texts.join(F.broadcast(one), ["doc_id", "t"]).select("text", "doc_id", "label", "h")
+    gathered = found.mapInArrow(_gathered, "doc_id bigint, label int, h bigint, named boolean, own array<string>, here array<string>, there array<string>")
+    rows = written(gathered.dropDuplicates(["doc_id"]), "learning")
+
+    seen = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    counts = rows.select("label", F.explode("own").alias("name")).groupBy("name").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+    kept = counts.withColumn("g", _g(seen.get(1, 0), seen.get(0, 0))).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "name").limit(FEATURES)
+    named = rows.select(F.explode(F.concat("here", "there")).alias("name")).distinct()  # identity terms and their stems
+    names = sorted({r.name for r in kept.select("name").collect()} | {r.name for r in named.collect()})
+    index = {x: i for i, x in enumerate(names)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [pa.array([np.array([index[x] for x in own if x in index], "<i4").tobytes() for own in b.column(i).to_pylist()], pa.binary()) for i in (3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], names=["label", "h", "named", "own", "here", "there"])
+
+    found = rows.select("label", "h", "named", "own", "here", "there").mapInArrow(numbered, "label int, h bigint, named boolean, own binary, here binary, there binary")
+    t = found.toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    drop_written(rows)
+    own, here, there = ([np.frombuffer(x, "<i4").astype(np.int64) for x in t.column(c).to_pylist()] for c in ("own", "here", "there"))
+    is_named = t.column("named").to_pylist()
+    pairs = [(here[i], there[i]) for i, x in enumerate(is_named) if x]
+    pairs += [(here[i], there[i]) for i, x in enumerate(is_named) if not x][: max(0, MIN_PAIRS - len(pairs))]
+    return Learning(names, own, t.column("label").to_pylist(), pairs, n[1] / n[0] if len(n) == 2 else None)
+
+
+def _g(n1: int, n0: int) -> Column:
+    """The G statistic of a feature that a of n1 toxic and b of n0 other rows have."""
+    a, b, n1, n0 = F.col("a"), F.col("b"), F.lit(float(n1)), F.lit(float(n0))
+    share = (a + b) / (n1 + n0)
+    term = lambda seen, expected: F.when((seen > 0) & (expected > 0), seen * F.log(seen / expected)).otherwise(0.0)
+    return 2 * (term(a, n1 * share) + term(b, n0 * share) + term(n1 - a, n1 * (1 - share)) + term(n0 - b, n0 * (1 - share)))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    return train(*sample(documents, labels))
+    return train(learning(documents, labels))
 
 
 def classify(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:

@@ -1,6 +1,9 @@
 """Each training-data operator against brute force, exact round trips and the defined edge cases."""
 
 import hashlib
+import json
+import math
+import pickle
 import random
 import re
 import zlib
@@ -171,6 +174,65 @@ def test_bit_parallel_distance_is_exact():
         assert decontaminate.distance_within(np.array(item, np.uint64), np.array(words, np.uint64))[0] == edit_distance_to_run(item, words)
 
 
+def edited(rng, w, n, front=False):
+    w = list(w)
+    for _ in range(n):
+        at, kind = rng.randrange(max(1, len(w) // 3) if front else len(w)), rng.randrange(3)
+        w[at : at + (kind != 0)] = [] if kind == 1 else [f"new{rng.randrange(10**6)}"]
+    return w
+
+
+@pytest.mark.parametrize("front", [False, True])
+def test_decontamination_recall_at_the_most_edits(front):
+    rng = random.Random(19)
+    wide = [f"w{i}" for i in range(4000)]
+    found = asked = 0
+    for size in (6, 15, 33, 60, 150):
+        items = [[rng.choice(wide) for _ in range(size)] for _ in range(30)]
+        block = decontaminate.Items(list(range(30)), [" ".join(w) for w in items])
+        docs = [[*rng.choices(wide, k=40), *edited(rng, items[k % 30], size // 5, front), *rng.choices(wide, k=40)] for k in range(60)]
+        got = {(d, k) for d, k, *_ in block.leaks([decontaminate.word_hashes(" ".join(d)) for d in docs])}
+        asked += len(docs)
+        found += sum((k, k % 30) in got for k in range(60))
+        assert all(edit_distance_to_run(items[k], docs[d]) <= size // 5 for d, k in got)
+    assert found >= 0.97 * asked
+
+
+def test_windows_are_laid_at_every_passage_within_the_edits():
+    rng = random.Random(23)
+    wide = [f"w{i}" for i in range(4000)]
+    for size in (5, 9, 24, 60):
+        items = [[rng.choice(wide) for _ in range(size)] for _ in range(20)]
+        block = decontaminate.Items(list(range(20)), [" ".join(w) for w in items])
+        docs = [[*rng.choices(wide, k=rng.randrange(20)), *edited(rng, items[k], size // 5), *rng.choices(wide, k=9)] for k in range(20)]
+        hashes = [decontaminate.word_hashes(" ".join(d)) for d in docs]
+        first = np.cumsum([0, *map(len, hashes)])
+        laid = {(s, d) for s, d, _ in block.windows(hashes, np.concatenate(hashes), first).T.tolist()}
+        assert {(size, d) for d in range(20)} <= laid
+
+
+def test_a_very_long_item_costs_what_its_words_do():
+    rng = random.Random(29)
+    wide = [f"w{i}" for i in range(9000)]
+    items = [[rng.choice(wide) for _ in range(20)] for _ in range(300)] + [[rng.choice(wide) for _ in range(4000)]]
+    block = decontaminate.Items(list(range(301)), [" ".join(w) for w in items])
+    assert len(pickle.dumps(block)) < 12 << 20
+    docs = [[*rng.choices(wide, k=30), *edited(rng, items[300], 700)], edited(rng, items[7], 3)]
+    got = {(d, k) for d, k, *_ in block.leaks([decontaminate.word_hashes(" ".join(d)) for d in docs])}
+    assert got == {(0, 300), (1, 7)}
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(37)
+    items = [(k, prose(rng, 12)) for k in range(30)]
+    docs = [(i, prose(rng, 10) + " " + items[i % 30][1] + " " + prose(rng, 10)) for i in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(decontaminate.leaks(df, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 1200)
+    assert sorted(decontaminate.leaks(df, bench).collect()) == whole and {(i, i % 30) for i in range(60)} <= {(r.doc_id, r.item_id) for r in whole}
+    assert decontaminate.keep_clean(df, bench).count() == 0
+
+
 def test_decontamination_edges(spark, edges, empty):
     bench = spark.createDataFrame([(7, "one two three"), (7, "one two three"), (None, "word"), (9, None)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(edges, bench).collect()}
@@ -580,15 +642,17 @@ def test_media_round_trip(spark, edges, empty):
     assert media.media_columns(empty).count() == 0
 
 
-def test_media_members_are_read_again_one_by_one(tmp_path):
+def test_media_members_are_read_again_one_by_one(tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 1500)
     path = tmp_path / "a.arc"
     archive = media._Archive(str(path))
     images = [media.to_image(media.payload_of(f"text {i}" * 50)[1]) for i in range(20)]
     for i, x in enumerate(images):
         archive.add(i, 1, x)
     archive.close()
-    (tmp_path / "manifest.json").write_text(f'["{path}"]')
+    (tmp_path / "manifest.json").write_text(json.dumps([[str(path), archive.ranges(1)]]))
     reader = media.ArchiveReader({"path": str(tmp_path)})
+    assert len(reader.partitions()) == len(archive.spans)
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert [r["media"] for r in rows] == images and [r["doc_id"] for r in rows] == list(range(20))
 
@@ -602,6 +666,31 @@ def test_media_members_are_read_again_one_by_one(tmp_path):
         reader.member(str(path), Flaky(), at, len(images[3]), 1)
 
 
+def test_media_ranges_cover_the_blocks_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 400)
+    archive = media._Archive(str(tmp_path / "a.arc"))
+    for i in range(50):
+        archive.add(i, 1, bytes(97))
+    archive.close()
+    ends = [0, *(a + n for a, n in archive.spans)]
+    for least in (1, 1000, 3000, 1 << 30):
+        own = archive.ranges(least)
+        assert [a for a, _ in own] == [0, *(b for _, b in own[:-1])] and own[-1][1] == ends[-1] and {x for r in own for x in r} <= set(ends)
+        assert all(b - a >= least for a, b in own[:-1])
+
+
+def test_media_feature_equals_plain_sums():
+    rng = random.Random(4)
+    for payload in (b" " * 192, bytes(rng.randrange(256) for _ in range(960)), media.payload_of(prose(rng, 90))[1]):
+        n, counts = len(payload), {b: payload.count(b) for b in set(payload)}
+        mean = sum(payload) / n
+        std = math.sqrt(sum(c * (b - mean) ** 2 for b, c in counts.items()) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) + 0.0
+        step = n // 8
+        bits = "".join("1" if sum(payload[i * step : (i + 1) * step]) / step >= mean else "0" for i in range(8))
+        assert media.feature(payload) == f"mean={mean:.4f};std={std:.4f};entropy={entropy:.4f};hash={bits}"
+
+
 # --- 9 toxicity -------------------------------------------------------------------------------
 
 
@@ -623,7 +712,7 @@ def test_toxicity_learns_words_and_leaves_groups_alone(spark):
     held = [r for r in out.values() if r.held_out]
     assert {r.doc_id for r in held} == {i for i in range(900) if crc(i, 3) == 1}
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.98
-    free = toxicity.train(*toxicity.sample(df, lab), swap=0.0)
+    free = toxicity.train(toxicity.learning(df, lab), swap=0.0)
     gap = lambda m: abs(m.weights.get("women", 0) + m.weights.get("wome-", 0) - m.weights.get("men", 0))
     assert gap(model) < gap(free) and model.score("the women and the muslims are here") < 0.5
 
@@ -633,7 +722,48 @@ def test_toxicity_edges(spark, edges, empty):
     out = toxicity.classify(edges, toxicity.fit(edges, labels)).collect()
     assert len(out) == edges.count() and all(0 <= r.score <= 1 for r in out)
     assert toxicity.classify(empty, toxicity.fit(empty, labels)).count() == 0
-    assert toxicity.train([], []).score("x") < 0.01
+    assert toxicity.train(toxicity.Learning([], [], [], [], None)).score("x") < 0.01
+
+
+def test_toxicity_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(12, rng.integers(1, 8), replace=False)) for _ in range(20)]
+    pairs = [(rng.choice(12, 2, replace=False), rng.choice(12, 1)) for _ in range(5)]
+    y, w, bias = rng.integers(0, 2, 20).astype(float), rng.normal(0, 1, 12), 0.3
+
+    def loss(w, bias):
+        p = np.array([1 / (1 + np.exp(-bias - w[r].sum())) for r in rows])
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.7 * np.mean([(w[a].sum() - w[b].sum()) ** 2 for a, b in pairs]) + 0.05 * (w**2).sum()
+
+    grad, step = toxicity.gradient(w, bias, rows, y, pairs, 0.7, 0.1)
+    for i in range(12):
+        e = np.eye(12)[i] * 1e-5
+        assert grad[i] == pytest.approx((loss(w + e, bias) - loss(w - e, bias)) / 2e-5, abs=1e-6)
+    assert step == pytest.approx((loss(w, bias + 1e-5) - loss(w, bias - 1e-5)) / 2e-5, abs=1e-6)
+
+
+def test_toxicity_learns_from_the_rows_lowest_by_hash(spark):
+    rng = random.Random(6)
+    rows = [(i, ("grobian women " if i % 4 == 0 else "") + prose(rng, 12)) for i in range(400)]
+    rows += [(9, "a second text"), (9, rows[9][1]), (None, "lost"), (12, None)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(8, 0), (None, 1)]
+    df, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    data = toxicity.learning(df, lab, size=50)
+    order = {r.id: r.h for r in spark.range(400).selectExpr("id", "xxhash64(id) as h").collect()}
+    want = {k: sorted((i for i in range(400) if i != 8 and (i % 4 == 0) == k and crc(i, 3) != 1), key=order.get)[:50] for k in (False, True)}
+    assert [sum(x == k for x in data.labels) for k in (0, 1)] == [50, 50]
+    picked = {i: t for i, t in rows[:400] if i in want[False] + want[True]}
+    plain = {w: [sum(w in toxicity.words(t) for i, t in picked.items() if (i % 4 == 0) == k) for k in (False, True)] for t in picked.values() for w in toxicity.words(t)}
+
+    def g(b, a):
+        share, parts = (a + b) / 100, []
+        for seen, of in ((a, 50 * share), (b, 50 * share), (50 - a, 50 * (1 - share)), (50 - b, 50 * (1 - share))):
+            parts.append(seen * math.log(seen / of) if seen else 0)
+        return 2 * sum(parts)
+
+    kept = {w for w, (b, a) in plain.items() if 9 not in picked and g(b, a) >= toxicity.LEAST_G}
+    assert 9 in picked or kept == {x for x in data.names if x in plain and g(*plain[x]) >= toxicity.LEAST_G}
+    assert "grobian" in data.names and all(len(set(x)) == len(x) for x in data.rows) and data.odds == pytest.approx(sum(1 for i in range(400) if i != 8 and i % 4 == 0 and crc(i, 3) != 1) / sum(1 for i in range(400) if i % 4 and crc(i, 3) != 1))
 
 
 # --- 10 licences ------------------------------------------------------------------------------
