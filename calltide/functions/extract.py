@@ -1,16 +1,12 @@
-"""Rule extractors: call signal, decision fields, deadlines, tolerant JSON.
+"""Rule extractors: call signal, categories, report buckets, disciplines, tolerant JSON.
 
-The call signal is a sum of native pattern tests. The decision fields need the
-place of a match (its sentence decides whether it counts), so they run on
-Arrow batches in Python; ``decision_fields`` reads a text once for all of them.
+The call signal is a sum of native pattern tests.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
-from datetime import date, timedelta
 from functools import cache
 
 import pandas as pd
@@ -18,11 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .dates import MONTH_OF, NAMES, mentions_upcoming_year, upcoming
+from .dates import mentions_upcoming_year, upcoming
 
 #: An ASCII word boundary, which Java's own is not.
 BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-MOST = 200_000
 #: Phrases that announce a call (fixed patterns).
 CALL_TERMS = [
     r"\bcall (?:for|to) (?:entr|submission|film|work|project|application|artist|proposal)",
@@ -66,7 +61,10 @@ CLOSED = (
     r"|\bno longer accepting\b|\bbando scaduto\b|\bconvocatoria cerrada\b|\binscri(?:ç|c)(?:õ|o)es encerradas\b|\bappel clos\b|\bbewerbungsfrist (?:ist )?abgelaufen\b|募集は終了|마감되었습니다|已截止"
 )
 #: AI film making, named as such (fixed pattern).
-AI_FILM = r"\bAI[- ](?:film|movie|video|short|cinema|generated|filmmak|animation|music video|creators?|storytell)|\bgenerative (?:AI|video|film|cinema)|\bAI[- ]assisted\b|\bmade with AI\b|\bartificial intelligence (?:film|cinema|video)|\bintelligenza artificiale\b|\bintelligence artificielle\b|\bKI[- ](?:Film|Kurzfilm)"
+AI_FILM = (
+    r"\bAI[- ](?:film|movie|video|short|cinema|generated|filmmak|animation|music video|creators?|storytell|ad\b|advert)|\bgenerative (?:AI|video|film|cinema)|\bAI[- ]assisted\b|\bmade with AI\b|\bartificial intelligence (?:film|cinema|video)"
+    r"|\b(?:cine|cortos?|cortometrajes?|película|festival)\b[^.\n]{0,40}\b(?:IA|inteligencia artificial)\b|\bintelligenza artificiale\b|\bintelligence artificielle\b|\bKI[- ](?:Film|Kurzfilm)|AI映画|AI영화|AI 영화|AI电影|AI短片"
+)
 
 
 @cache
@@ -84,12 +82,13 @@ def java(pattern: str, fold: bool = True) -> str:
 
 @cache
 def compiled(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace(r"\b", BOUNDARY), re.IGNORECASE)
+    return re.compile(pattern.replace(r"\b", BOUNDARY).replace(r"\w", "[A-Za-z0-9_]").replace(r"\d", "[0-9]"), re.IGNORECASE)
 
 
-def call_signal(text: Column, now: Column, lenient: bool = False) -> Column:
-    """(pass, score, terms, dates, next_date, upcoming_year, closed) of a page's text."""
-    body = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, MOST))  # the patterns are in lower case
+def call_signal(text: Column, now: Column, lenient: bool = False, most: int | None = None) -> Column:
+    """(pass, score, terms, dates, next_date, upcoming_year, closed) of a page's text; ``most`` characters of it are read, all if None."""
+    text = F.coalesce(text, F.lit(""))
+    body = F.lower(text if most is None else F.substring(text, 1, most))  # the patterns are in lower case
 
     def facts(b: Column) -> Column:
         terms = sum((F.when(b.rlike(java(p, False)), 1).otherwise(0) for p in CALL_TERMS), F.lit(0))
@@ -108,7 +107,12 @@ def call_signal(text: Column, now: Column, lenient: bool = False) -> Column:
 
 
 def is_ai_film(text: Column) -> Column:
-    return F.coalesce(F.substring(text, 1, MOST).rlike(java(AI_FILM)), F.lit(False))
+    return F.coalesce(text.rlike(java(AI_FILM)), F.lit(False))
+
+
+def is_ai_source(family: Column, categories: Column) -> Column:
+    """A registered source of its own for AI film."""
+    return F.coalesce(family == "ai-creative-tech", F.lit(False)) | F.coalesce(F.array_contains(categories, "ai-film"), F.lit(False))
 
 
 def category_for(category: Column, title: Column, tags: Column) -> Column:
@@ -131,9 +135,13 @@ CATEGORY_GROUPS = [
     ("Experimental / new media", r"\b(?:media art|new media|moving image|video art|digital art|experimental|art science|technology prize)\b"), ("AI / generative film", r"\b(?:ai|generative|human ai|artificial intelligence)\b"), ("Film festivals / competitions", r"\b(?:festival|short film|filmmaking|film competition)\b"),
 ]
 GEOGRAPHY_GROUPS = [
-    ("USA / Canada", r"\b(?:usa|united states|canada|north america)\b"), ("Latin America / Caribbean", r"\b(?:mexico|latin america|south america|central america|caribbean|argentina|brazil|brasil|chile|colombia|cuba|peru|uruguay|venezuela)\b"),
-    ("Middle East", r"\b(?:mena|middle east|qatar|uae|united arab emirates|iran|iraq|israel|jordan|lebanon|saudi arabia)\b"), ("Oceania", r"\b(?:australia|new zealand|oceania|pacific islands?)\b"), ("Africa", r"\b(?:africa|algeria|egypt|ethiopia|ghana|kenya|morocco|nigeria|senegal|south africa|tunisia)\b"),
-    ("Asia", r"\b(?:asia|japan|china|hong kong|india|indonesia|korea|malaysia|philippines|singapore|taiwan|thailand|vietnam)\b"), ("Europe", r"\b(?:europe|eu|uk|united kingdom|england|scotland|ireland|italy|france|germany|spain|portugal|austria|belgium|denmark|finland|greece|netherlands|norway|poland|sweden|switzerland)\b"),
+    ("USA / Canada", r"\b(?:usa|united states|canada|north america)\b"),
+    ("Latin America / Caribbean", r"\b(?:mexico|latin america|south america|central america|caribbean|argentina|bolivia|brazil|brasil|chile|colombia|costa rica|cuba|ecuador|guatemala|panama|paraguay|peru|puerto rico|uruguay|venezuela)\b"),
+    ("Middle East", r"\b(?:mena|middle east|qatar|uae|united arab emirates|bahrain|iran|iraq|israel|jordan|kuwait|lebanon|oman|palestine|saudi arabia|syria|yemen)\b"),
+    ("Oceania", r"\b(?:australia|new zealand|oceania|pacific islands?)\b"),
+    ("Africa", r"\b(?:africa|algeria|angola|cameroon|egypt|ethiopia|ghana|kenya|morocco|nigeria|senegal|south africa|tunisia|uganda|zimbabwe)\b"),
+    ("Asia", r"\b(?:asia|japan|china|hong kong|india|indonesia|korea|malaysia|philippines|singapore|taiwan|thailand|vietnam)\b"),
+    ("Europe", r"\b(?:europe|eu|uk|united kingdom|england|scotland|wales|ireland|italy|france|germany|spain|portugal|austria|belgium|bulgaria|croatia|czech|denmark|finland|greece|hungary|iceland|netherlands|norway|poland|romania|serbia|slovakia|slovenia|sweden|switzerland)\b"),
     ("Global / International", r"\bglobal\b|\binternational\b"),
 ]
 
@@ -157,160 +165,18 @@ def currency(c: Column) -> Column:
     return F.when(t.rlike("^[A-Z]{3}$"), t)
 
 
-def discipline(text: Column) -> Column:
-    """film, all, other or none: what a page is about (fixed patterns)."""
-    film = r"\b(?:films?|filmmak\w*|cinema\w*|moving[- ]images?|audiovisual|documentar(?:y|ies)|animation|animated|video[- ]?art\w*|media[- ]arts?|screenwrit\w*|cortometr\w*|kurzfilm\w*)\b"
-    every = r"\b(?:all|any|every)\s+(?:artistic\s+)?(?:disciplines?|media|mediums|art\s+forms?|fields)\b|\b(?:inter|multi|trans|cross)[- ]?disciplinary\b"
-    other = r"\b(?:illustrat\w*|literature|literary|poetry|painting|sculpture|ceramics|architecture|photograph\w*|comics?|manga)\b"
-    return F.when(text.rlike(java(film)), "film").when(text.rlike(java(every)), "all").when(text.rlike(java(other)), "other").otherwise("none")
-
-
-# --- decision fields, in Python on Arrow batches ---------------------------
-
-CODE = r"\\\"|\"\s*:\s*[\[{\"]|[{}\[\]]{2,}|</?[a-z][a-z0-9]*>"
-FILM = r"\b(?:films?|shorts?|works?|entr(?:y|ies)|submissions?|runtime|run\s+time|running\s+time|length|duration|videos?|pieces?|projects?|cortometragg\w*|cortometraj\w*|kurzfilm\w*|durata|duraci\w*|dur[ée]e)\b"
-MINUTES = r"(?:minutes?|mins?\.?|minuti|minutos|minuten|分|분)"
-#: Ways to state a runtime; the fourth number says whether the sentence must speak of films (fixed patterns).
-RUNTIME = [
-    (rf"(?:max(?:imum)?\.?|maximal[e]?|massima|m[aá]xima)\s+(?:film\s+)?(?:length|duration|running\s*time|runtime|durata|duraci[oó]n|dur[ée]e|l[äa]nge|laufzeit)(?:\s+(?:is|of|de|di|von))?\s*[:\-–]?\s*(\d{{1,3}})\s*{MINUTES}", False),
-    (rf"(?:length|duration|running\s*time|runtime|durata|duraci[oó]n|dur[ée]e|l[äa]nge)\s*[:\-–]?\s*(?:max(?:imum)?\.?|up\s+to|no\s+(?:longer|more)\s+than|under|less\s+than|massim[ao]|m[aá]xim[ao])\s*[:\-–]?\s*(\d{{1,3}})\s*{MINUTES}", False),
-    (rf"(?:not\s+(?:to\s+)?exceed|up\s+to|no\s+longer\s+than|shorter\s+than|less\s+than|under|non\s+superiore\s+a|no\s+m[aá]s\s+de|hasta|bis\s+zu)\s+(\d{{1,3}})\s*{MINUTES}", True),
-    (rf"(\d{{1,3}})\s*{MINUTES}\s*(?:max(?:imum)?\b|or\s+(?:less|shorter|under)|in\s+length\s+or\s+less)", True),
-    (rf"(?:between\s+)?(\d{{1,3}})\s*(?:and|to|-|–|—|e|y|et|und)\s*(\d{{1,3}})\s*{MINUTES}", True),
-    (r"최대\s*(\d{1,3})\s*분|(\d{1,3})\s*分以内", False),
-]
-FREE = r"\b(?:free\s+(?:to\s+enter|entry|submissions?|of\s+charge\s+to\s+(?:enter|submit|apply))|no\s+(?:entry|submission|application)\s+fees?|(?:entry|submission|application)\s+(?:is|are)\s+free|free\s+of\s+charge|inscripci[oó]n\s+gratuita|iscrizione\s+gratuita|participation\s+gratuite|kostenlos|geb[üu]hrenfrei)\b"
-FEE = r"(?:fees?|quota\s+(?:di\s+)?iscrizione|tasa\s+de\s+inscripci[oó]n|frais\s+d'inscription|teilnahmegeb[üu]hr|einreichgeb[üu]hr)\s*[:\-–]?\s*(?:(?:is|of|:|de|di)\s*)?(?:(€|\$|£|¥|₩|EUR|USD|GBP|CAD|AUD)\s?(\d{1,4}(?:[.,]\d{1,2})?)|(\d{1,4}(?:[.,]\d{1,2})?)\s?(€|\$|£|EUR|USD|GBP|CAD|AUD|euros?|dollars?))"
-WAIVER = r"\b(?:free|waived|no\s+fee|gratuit[ae]?|gratis)\s+(?:for|per|para|pour|f[üu]r)\s+"
-SYMBOLS = {"€": "EUR", "$": "USD", "£": "GBP", "¥": "JPY", "₩": "KRW", "EURO": "EUR", "EUROS": "EUR", "DOLLAR": "USD", "DOLLARS": "USD"}
-AI = r"(?:\bai\b|\ba\.i\.|\bartificial\s+intelligence\b|\bgenerative\b|\bgen[- ]?ai\b|\bai[- ]generated\b|\bintelligenza\s+artificiale\b|\binteligencia\s+artificial\b|\bk[üu]nstliche\s+intelligenz\b)"
-POLICY = [
-    ("required", r"\b(?:non[- ]ai|without\s+ai|traditionally\s+filmed|live[- ]action)\b[^.\n]{0,80}\b(?:not\s+(?:be\s+)?(?:accepted|allowed|permitted|eligible)|prohibited)"),
-    ("restricted", rf"(?<!non-)(?<!non )(?:{AI})[^.\n]{{0,60}}\b(?:not\s+(?:be\s+)?(?:accepted|allowed|permitted|eligible)|prohibited|forbidden|banned|disqualif)"),
-    ("restricted", rf"\b(?:no|not\s+accept(?:ing)?|do\s+not\s+accept|does\s+not\s+accept|exclud(?:e|es|ing))\b[^.\n]{{0,40}}(?:{AI})"),
-    ("required", rf"(?:made|created|produced|generated)\s+(?:entirely|fully|primarily|mainly|predominantly|exclusively)?\s*(?:with|using|by)\s+(?:{AI})|must\s+(?:be\s+created\s+with|use|incorporate)\s+(?:{AI})"),
-    ("allowed", rf"(?:{AI})[^.\n]{{0,50}}\b(?:accepted|allowed|permitted|welcome|eligible)\b|\b(?:accept|welcome|allow)s?\b[^.\n]{{0,30}}(?:{AI})[- ](?:assisted|generated|made)"),
-]
-PREMIERE = [
-    ("none", r"\b(?:no\s+premiere\s+(?:status|requirements?)|premiere\s+status\s+(?:is\s+)?not\s+(?:required|necessary)|(?:regardless\s+of|no\s+restrictions?\s+on)\s+premiere)\b"),
-    ("world", r"\bworld\s+premi[eè]res?\b|\bprima\s+mondiale\b|\bestreno\s+mundial\b|\bweltpremiere\b|\buraufführung\b"),
-    ("international", r"\binternational\s+premi[eè]res?\b|\bprima\s+internazionale\b|\bestreno\s+internacional\b"),
-    ("european", r"\beuropean\s+premi[eè]res?\b|\bprima\s+europea\b|\bestreno\s+europeo\b"),
-    ("national", r"\b(?:national|country|italian|uk|british|french|spanish|german|us)\s+premi[eè]res?\b|\bestreno\s+nacional\b"),
-]
-PREMIERE_RULE = r"requir|must|only|eligib|accept|premi[eè]re\s+status|obbligatori|exig|vorausgesetzt"
-PREMIERE_NOT = r"\b(?:not|no|doesn'?t|don'?t|without|regardless)\b[^.\n]{0,40}premi[eè]re|premi[eè]re[^.\n]{0,30}\b(?:not\s+(?:required|necessary|needed)|optional)\b"
-ELIGIBLE = [
-    r"\bopen\s+to\s+(?:all\s+)?(?:filmmakers|artists|applicants|creators|directors|students|anyone|everyone|participants)[^.\n]{0,90}",
-    r"\b(?:open\s+(?:worldwide|internationally|to\s+all\s+countries|to\s+all\s+nationalities)|no\s+nationality\s+restrictions?)\b",
-    r"\b(?:must\s+be|applicants?\s+must\s+be)\s+(?:a\s+)?(?:resident|citizen|national|based|living|registered)s?\b[^.\n]{0,80}",
-    r"\b(?:aged|age\s+limit|between\s+the\s+ages\s+of|under\s+the\s+age\s+of|over\s+the\s+age\s+of)\s*[:\-–]?\s*\d{2}[^.\n]{0,40}",
-]
-CLOSING = r"(?:final\s+)?deadline|entries\s+close|submissions?\s+close|applications?\s+close|closing\s+date|due\s+date|apply\s+by|submit\s+by|scadenza|fecha\s+l[ií]mite|plazo|prazo(?:\s+final)?|date\s+limite|cl[ôo]ture|einsendeschluss|einreichschluss|bewerbungsschluss|anmeldeschluss|締切|마감|截止"
-FOREIGN = r"\b(?:updated|posted|published|modified|notif\w*|results?|announce\w*|ceremony|screenings?|winners?|festival\s+dates?)\b"
-DATE_FORMS = [
-    (r"(20\d{2})[-./](\d{1,2})[-./](\d{1,2})", (1, 2, 3)),
-    (rf"(\d{{1,2}})(?:st|nd|rd|th|er|º|°)?\.?\s+(?:de\s+)?({NAMES})\.?,?\s+(?:de\s+)?(20\d{{2}})", (3, 2, 1)),
-    (rf"({NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(20\d{{2}})", (3, 1, 2)),
-]
+#: What a page is about: film, every discipline, another one (fixed patterns).
+PAGE_FILM = r"\b(?:films?|filmmak\w*|cinema\w*|moving[- ]images?|audiovisual|documentar(?:y|ies)|animation|animated|video[- ]?art\w*|media[- ]arts?|screenwrit\w*|short\s+films?|cortometr\w*|largometr\w*|court[- ]m[ée]trage\w*|kurzfilm\w*|documentaire|documental)\b|映像|映画|영화|영상|电影|影像"
+ALL_DISCIPLINES = (
+    r"\b(?:all|any|every)\s+(?:artistic\s+)?(?:disciplines?|media|mediums|art\s+forms?|fields)\b|\b(?:inter|multi|trans|cross)[- ]?disciplinary\b|\bartists?\s+(?:of|from|working\s+in)\s+(?:all|any)\s+(?:disciplines?|media|fields)\b"
+    r"|\btutte\s+le\s+discipline\b|\btodas\s+las\s+disciplinas\b|\btoutes\s+(?:les\s+)?disciplines\b|\balle\s+(?:künstlerischen\s+)?(?:disziplinen|sparten)\b"
+)
+OTHER_DISCIPLINE = r"\b(?:illustrat\w*|literature|literary|poetry|painting|sculpture|ceramics|architecture|photograph\w*|comics?|manga)\b|イラスト|文学|絵画|写真"
 
 
-def snippet(text: str, at: int, length: int) -> str:
-    """The sentence around a match, of at most 60 characters on either side."""
-    head, tail = text[max(0, at - 60) : at], text[at + length : at + length + 60]
-    cut = max(head.rfind(x) for x in "\n.!?;")
-    stop = re.search(r"[\n.!?;]", tail)
-    return (head[cut + 1 :] + text[at : at + length] + tail[: stop.end() if stop else len(tail)]).strip()[:240]
-
-
-def runtime(text: str) -> tuple[int, int | None, str] | None:
-    """(most, least, quote) minutes."""
-    for i, (pattern, films) in enumerate(RUNTIME):
-        m = compiled(pattern).search(text)
-        if not m:
-            continue
-        n = [int(x) for x in m.groups() if x]
-        if i == 4 and not (len(n) == 2 and n[0] < n[1]):
-            continue
-        most, quote = n[-1] if i == 4 else n[0], snippet(text, m.start(), len(m[0]))
-        if 0 < most <= 600 and not compiled(CODE).search(quote) and (not films or compiled(FILM).search(quote)):
-            return most, n[0] if i == 4 else None, quote
-    return None
-
-
-def fee(text: str) -> tuple[float, str | None, str] | None:
-    """(amount, currency, quote); nothing if the page states several or waives it for some."""
-    free, paid = compiled(FREE).search(text), compiled(FEE).search(text)
-    if paid and (free or compiled(WAIVER).search(text)):
-        return None
-    if free:
-        return 0.0, None, snippet(text, free.start(), len(free[0]))
-    if not paid:
-        return None
-    amounts = {(m[2] or m[3]).replace(",", ".") for m in compiled(FEE).finditer(text)}
-    near = {re.sub(r"\D", "", x) for x in re.findall(r"(?i)(?:€|\$|£)\s?\d{1,4}|\d{1,4}\s?(?:€|EUR|USD|euros?)", text[paid.start() : paid.start() + 300])}
-    quote = snippet(text, paid.start(), len(paid[0]))
-    if len(amounts) > 1 or len(near) > 1 or compiled(CODE).search(quote):
-        return None
-    symbol = (paid[1] or paid[4]).upper()
-    return float((paid[2] or paid[3]).replace(",", ".")), SYMBOLS.get(symbol, symbol), quote
-
-
-def ai_policy(text: str) -> tuple[str, str] | None:
-    for policy, pattern in POLICY:
-        for m in compiled(pattern).finditer(text):
-            quote = snippet(text, m.start(), len(m[0]))
-            if not compiled(CODE).search(quote):
-                return policy, quote
-    return None
-
-
-def premiere(text: str) -> tuple[str, str] | None:
-    """The rule if all statements agree."""
-    found = []
-    for rule, pattern in PREMIERE:
-        for m in compiled(pattern).finditer(text):
-            quote = snippet(text, m.start(), len(m[0]))
-            if compiled(CODE).search(quote) or (rule != "none" and not compiled(PREMIERE_RULE).search(quote)):
-                continue
-            found.append(("none" if rule != "none" and compiled(PREMIERE_NOT).search(quote) else rule, quote))
-    return found[0] if len({r for r, _ in found}) == 1 else None
-
-
-def eligibility(text: str) -> list[str]:
-    out: list[str] = []
-    for pattern in ELIGIBLE:
-        if m := compiled(pattern).search(text):
-            phrase = re.sub(r"\s+", " ", m[0].strip())[:160]
-            if len(phrase) >= 12 and phrase not in out:
-                out.append(phrase)
-    return out[:4]
-
-
-def dates_in(text: str) -> list[tuple[int, int, date]]:
-    """(start, end, date) of the dates in a text."""
-    out = []
-    for pattern, (y, m, d) in DATE_FORMS:
-        for x in compiled(pattern).finditer(text):
-            try:
-                month = int(x[m]) if x[m].isdigit() else MONTH_OF[x[m].lower()]
-                out.append((x.start(), x.end(), date(int(x[y]), month, int(x[d]))))
-            except (ValueError, KeyError):
-                continue
-    return out
-
-
-def deadline(text: str, now: date) -> tuple[date, str] | None:
-    """The latest coming date that follows a closing word within 80 characters, with nothing foreign between."""
-    found = []
-    days = dates_in(text)
-    for word in compiled(CLOSING).finditer(text):
-        after = sorted((s, e, d) for s, e, d in days if word.end() <= s <= word.end() + 80)
-        if after:
-            s, e, d = after[0]
-            if not compiled(FOREIGN).search(text[word.end() : s]) and now <= d <= now + timedelta(days=548):
-                found.append((d, snippet(text, word.start(), e - word.start())))
-    return max(found) if found else None
+def discipline(text: Column) -> Column:
+    """film, all, other or none: what a page is about."""
+    return F.when(text.rlike(java(PAGE_FILM)), "film").when(text.rlike(java(ALL_DISCIPLINES)), "all").when(text.rlike(java(OTHER_DISCIPLINE)), "other").otherwise("none")
 
 
 def tolerant_json(text: str | None) -> list[dict]:
@@ -343,25 +209,6 @@ def tolerant_json(text: str | None) -> list[dict]:
     return [v for v in value if isinstance(v, dict) and v.get("relevant", True)][:5] if isinstance(value, list) else []
 
 
-FIELDS = "max_minutes int, min_minutes int, fee double, fee_currency string, ai_policy string, premiere string, eligibility array<string>, deadline date"
-
-
-def decision_fields(now: date) -> Callable[[Column], Column]:
-    """A function of a text column that gives all decision fields as a struct."""
-
-    @F.pandas_udf(FIELDS)
-    def extract(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts.fillna(""):
-            t = t[:MOST]
-            r, f, p, q, d = runtime(t), fee(t), ai_policy(t), premiere(t), deadline(t, now)
-            rows.append((r and r[0], r and r[1], f and f[0], f and f[1], p and p[0], q and q[0], eligibility(t), d and d[0]))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in FIELDS.split(", ")], dtype=object)
-        return out.astype({"max_minutes": "Int32", "min_minutes": "Int32"})
-
-    return extract
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def json_objects(texts: pd.Series) -> pd.Series:
     """The objects of model answers, each as JSON text."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .url import host
+
 
 def hash_fraction(key: Column, salt: str) -> Column:
     """A number from 0 to 1 out of the first 32 bits of a salted SHA-256."""
@@ -40,23 +42,28 @@ def confidence_score() -> Column:
     return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 3)
 
 
-def team_only() -> Column:
-    tags = F.coalesce("tags", F.lit(""))
-    return tags.startswith("platform:festhome") | tags.startswith("festhome:")
+def team_only(*urls: Column) -> Column:
+    """A tag of the platform whose data are for the team only, or one of ``urls`` there."""
+    own = F.exists(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: (t == "platform:festhome") | t.startswith("festhome:"))
+    for url in urls:
+        own |= F.coalesce(host(url).rlike(r"(?:^|\.)festhome\.com$"), F.lit(False))
+    return own
 
 
 def missing_organizer() -> Column:
     return F.lower(F.trim(F.coalesce("organizer", F.lit("")))).isin("", "unknown", "unknown organizer")
 
 
-def official_page() -> Column:
-    by_own = F.col("official_url").isNotNull() & F.col("official_url_status").isin("verified", "redirected")
+def official_page(url: Column | None = None, url_status: Column | None = None) -> Column:
+    """The record has a verified page of its own; ``url`` and ``url_status`` stand for its official ones if given."""
+    url, url_status = F.col("official_url") if url is None else url, F.col("official_url_status") if url_status is None else url_status
+    by_own = url.isNotNull() & url_status.isin("verified", "redirected")
     by_source = (F.col("source_type") == "official") & F.col("source_url_status").isin("verified", "redirected")
     return F.coalesce(by_own, F.lit(False)) | F.coalesce(by_source, F.lit(False))
 
 
-def blockers(status: Column, now: Column) -> Column:
-    """The codes, in order, of what keeps a record from being published with a status."""
+def blockers(status: Column, now: Column, url: Column | None = None, url_status: Column | None = None) -> Column:
+    """The codes, in order, of what keeps a record from being published with a status (and official page, if given)."""
     rolling = F.col("deadline_status") == "rolling"
     passed = F.col("deadline") <= now
     unconfirmed = status.isin("open", "closing-soon") & ~rolling & (F.col("deadline").isNull() | (F.col("deadline_status") != "confirmed"))
@@ -64,7 +71,7 @@ def blockers(status: Column, now: Column) -> Column:
         F.when(~status.isin("verified", "open", "closing-soon"), "status-not-public"),
         F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "missing-title"),
         F.when(missing_organizer(), "missing-organizer"),
-        F.when(~official_page(), "no-verified-official-page"),
+        F.when(~official_page(url, url_status), "no-verified-official-page"),
         F.when(F.col("has_conflict"), "unresolved-conflict"),
         F.when(passed, "deadline-passed").when(unconfirmed, "deadline-not-confirmed"),
         F.when((status == "closing-soon") & F.col("deadline").isNull(), "closing-soon-without-deadline"),

@@ -1,13 +1,15 @@
-"""Canonical dedupe, preferred-record merge and record matching."""
+"""Canonical dedupe and preferred-record merge."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import title_similarity
+from .graph import components
 
 
 def canonical_key(name: Column, organizer: Column, year: Column, edition: Column, location: Column) -> Column:
@@ -20,45 +22,43 @@ def fuzzy_key(name: Column, year: Column, location: Column) -> Column:
     return F.concat_ws("|", T.identity_text(name), F.coalesce(year.cast("string"), F.lit("year-unknown")), T.identity_text(F.coalesce(location, F.lit("location-unknown"))))
 
 
-def blocks(rows: DataFrame, rounds: int = 20) -> DataFrame:
-    """A block per connected component of equal canonical or equal fuzzy keys (rows need seq, canonical, fuzzy).
+def blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (seq, canonical, fuzzy, ...) with a block: the connected component of equal canonical or equal fuzzy keys.
 
-    Minimum labels are passed along both keys until they settle; what a fold
-    has to see together is in one block, and blocks stay as small as their keys.
+    What a fold has to see together is in one block, and blocks stay as small as their keys.
     """
-    now = rows.withColumn("block", F.col("seq"))
-    for _ in range(rounds):
-        before = now.select("seq", F.col("block").alias("old"))
-        for key in ("canonical", "fuzzy"):
-            low = now.groupBy(key).agg(F.min("block").alias("low"))
-            now = now.join(low, key).withColumn("block", F.least("block", "low")).drop("low")
-        now = now.checkpoint() if now.sparkSession.conf.get("spark.checkpoint.dir", None) else now
-        if not now.join(before, "seq").where("block <> old").head(1):
-            return now
-    raise RuntimeError("blocks did not settle")
+    edges = None
+    for key in ("canonical", "fuzzy"):
+        low = rows.groupBy(key).agg(F.min("seq").alias("b"))
+        own = rows.select(F.col("seq").alias("a"), key).join(low, key).where("a <> b").select("a", "b")
+        edges = own if edges is None else edges.unionByName(own)
+    found = components(edges).select(F.col("node").alias("seq"), F.col("component").alias("found"))
+    return rows.join(found, "seq", "left").withColumn("block", F.coalesce("found", "seq")).drop("found")
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of rows (block, seq, canonical, fuzzy) that come sorted by block and seq; only the keys of a block's founders are held."""
+    last, by_canonical, by_fuzzy = None, {}, {}
+    for b in batches:
+        groups = []
+        for block, seq, canonical, fuzzy in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if block != last:
+                last, by_canonical, by_fuzzy = block, {}, {}
+            group = by_canonical.get(canonical, by_fuzzy.get(fuzzy))
+            if group is None:
+                group = by_canonical[canonical] = by_fuzzy[fuzzy] = seq
+            groups.append(group)
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(groups, pa.int64())], names=["seq", "grp"])
 
 
 def fold_duplicates(rows: DataFrame) -> DataFrame:
-    """(seq, group, merged) for rows with seq, canonical, fuzzy and confidence: an ordered fold, block by block.
+    """``rows`` (seq, canonical, fuzzy, ...) with grp, the seq of the founder of their group: an ordered fold, block by block.
 
     A row joins the group of its canonical key, else that of its fuzzy key; only
-    founders register their keys, so the relation is not transitive. A group's base is
-    its surest row, the earlier on ties.
+    founders register their keys, so the relation is not transitive.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        by_canonical, by_fuzzy, out = {}, {}, []
-        for seq, canonical, fuzzy in zip(pdf.seq, pdf.canonical, pdf.fuzzy, strict=True):
-            group = by_canonical.get(canonical, by_fuzzy.get(fuzzy))
-            if group is None:
-                group = by_canonical[canonical] = by_fuzzy[fuzzy] = seq
-            out.append((seq, group))
-        return pd.DataFrame(out, columns=["seq", "grp"])
-
-    blocked = blocks(rows)
-    groups = blocked.groupBy("block").applyInPandas(fold, "seq bigint, grp bigint")
-    return groups.join(rows, "seq")
+    sent = blocks(rows).select("block", F.col("seq").cast("bigint").alias("seq"), "canonical", "fuzzy").repartition("block").sortWithinPartitions("block", "seq")
+    return sent.mapInArrow(_fold, "seq bigint, grp bigint").join(rows, "seq")
 
 
 def merge_groups(grouped: DataFrame, fields: list[str], arrays: dict[str, int]) -> DataFrame:
@@ -68,38 +68,3 @@ def merge_groups(grouped: DataFrame, fields: list[str], arrays: dict[str, int])
     known = [F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields]
     united = [F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(a)))), 1, n).alias(a) for a, n in arrays.items()]
     return grouped.groupBy("grp").agg(F.count("*").alias("records"), F.max_by("seq", best).alias("base"), *known, *united)
-
-
-def benchmark_pairs(items: DataFrame, records: DataFrame) -> DataFrame:
-    """Candidate pairs with method and confidence, by equality on blocking keys (each accepting tier needs one of them).
-
-    Both sides have id, title, organizer, location, year, url_key and host. Tiers: the same URL with the same
-    title; organizer and title; organizer, place and similar title of the same year.
-    """
-
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "title", "organizer", "location", "year", "url_key", "host")], T.match_text(F.col("title")).alias(f"{side}_t"), T.match_text(F.col("organizer")).alias(f"{side}_o"), T.match_text(F.col("location")).alias(f"{side}_g"))
-
-    a, b = keyed(items, "a"), keyed(records, "b")
-    pairs = None
-    for on in (["url_key"], ["o", "t"], ["o", "g"]):
-        same = a.join(b, [F.col(f"a_{k}") == F.col(f"b_{k}") for k in on])
-        pairs = same if pairs is None else pairs.unionByName(same)
-    pairs = pairs.dropDuplicates(["a_id", "b_id"]).where(F.col("a_year").isNull() | F.col("b_year").isNull() | (F.col("a_year") == F.col("b_year")))
-    c = F.col
-    same = lambda k: F.coalesce((c(f"a_{k}") == c(f"b_{k}")) & (c(f"a_{k}").cast("string") != ""), F.lit(False))
-    point = lambda k, v: F.when(same(k), v).otherwise(0.0)
-    method = F.when(same("url_key") & same("t"), "canonical_url").when(same("o") & same("t") & same("year"), "organizer_series_year").when(same("t") & same("o") & same("g"), "title_organizer_geography")
-    pairs = pairs.withColumn("method", method)
-    # only what no other tier takes is compared letter by letter, and of that what its words leave a chance:
-    # 0.55 * 1 + 0.45 * dice >= 0.94 needs a dice of 0.866
-    words = lambda x: F.array_distinct(F.filter(F.split(T.event_series(c(x)), " "), lambda t: t != ""))
-    rest = pairs.where(c("method").isNull() & same("o") & (same("year") | same("g")) & (T.dice(words("a_title"), words("b_title")) >= 0.866))
-    rest = rest.withColumn("similarity", F.round(title_similarity(c("a_title"), c("b_title")), 6)).where("similarity >= 0.94").withColumn("method", F.lit("fuzzy"))
-    pairs = pairs.where("method is not null").withColumn("similarity", F.lit(1.0)).unionByName(rest)
-    confidence = (
-        F.when(c("method") == "canonical_url", F.least(F.lit(0.999), F.lit(0.97) + 0.012 + point("year", 0.008) + point("o", 0.004))).when(c("method") == "organizer_series_year", 0.955)
-        .when(c("method") == "title_organizer_geography", 0.935).otherwise(F.least(F.lit(0.929), 0.88 + 0.5 * (c("similarity") - 0.94)))
-    )
-    order = F.when(c("method") == "canonical_url", 4).when(c("method") == "organizer_series_year", 3).when(c("method") == "title_organizer_geography", 2).otherwise(1)
-    return pairs.withColumns({"confidence": F.round(confidence, 6), "method_no": order}).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "method", "confidence", "method_no")

@@ -7,7 +7,6 @@ order of partitions.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,20 +140,3 @@ def link_scores(links: DataFrame, positive: list[str], negative: list[str], stro
 def window_of(rows: DataFrame, keys: list[str], order: list[Column], offset: int, limit: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of each key."""
     return top_per(rows, keys, order, offset + limit).where(F.col("rank") > offset)
-
-
-def greedy_one_to_one(pairs: DataFrame, group: str) -> DataFrame:
-    """Greedy assignment of pairs (a, b, confidence, method_no) within each group, the best first, each a and b once."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "method_no", "a", "b"], ascending=[False, False, True, True])
-        used_a, used_b, out = set(), set(), []
-        for g, a, b, c in zip(pdf[group], pdf.a, pdf.b, pdf.confidence, strict=True):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                out.append((g, a, b, c))
-        return pd.DataFrame(out, columns=[group, "a", "b", "confidence"])
-
-    kind = dict(pairs.dtypes)[group]
-    return pairs.groupBy(group).applyInPandas(fold, f"{group} {kind}, a bigint, b bigint, confidence double")

@@ -52,7 +52,10 @@ def job_auto_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ranking.keepers(rows, "canonical_key").select("canonical_key", F.col("id").alias("keeper"))
     rows = rows.where("review_decision = 'pending'").join(keep, "canonical_key")
     k = F.col("id")
-    d = review.auto_review(moment(NOW), k % 7 != 3, k % 11 == 5, k % 5 != 1, k % 4 != 3, k != F.col("keeper"))
+    page = F.struct(
+        (k % 7 != 3).alias("ok"), F.lit(200).alias("http_status"), F.col("official_url").alias("final_url"), (k % 11 == 5).alias("closed"), (k % 5 != 1).alias("call_signal"), (k % 4 != 3).alias("date_found"), F.lit(False).alias("open_found"), F.lit(True).alias("film"),
+        F.lit(False).alias("all_disciplines"), F.lit(False).alias("other_only"), (k % 29 == 3).alias("directory"), (k % 6 != 1).alias("year_found"), F.lit(None).cast("string").alias("organizer"))
+    d = review.auto_review(moment(NOW), page, k != F.col("keeper"), F.lit(False))
     return rows.withColumn("d", d).select("id", "d.decision", "d.target", F.array_join("d.reasons", ",").alias("reasons"))
 
 

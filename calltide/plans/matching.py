@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..functions import fields, review
 from ..functions import text as T
-from ..functions import url as U
 from ..functions.similarity import jaro_winkler_udf
 from ..operators import dedupe as ops
-from ..operators import metrics, ranking
-from .base import OPPORTUNITIES, moment, opportunities, query, table
+from ..operators import matching as match
+from ..operators import metrics
+from . import cases
+from .base import OPPORTUNITIES, moment, opportunities, query, spread, table
 from .text import identity_sql, match_sql
 
 _NOTICE = """concat(title, '. Submissions are now open. ', CASE id % 5 WHEN 0 THEN 'The call is now closed. ' WHEN 1 THEN 'Open call, see rules and regulations. ' WHEN 2 THEN 'Convocatoria abierta. ' ELSE '' END,
@@ -37,12 +39,36 @@ def call_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices(spark, sf_dir).withColumn("s", s).select("id", "s.terms", "s.dates", "s.closed", "s.score", "s.pass")
 
 
-@query(f"""WITH {_NOTICES} SELECT id, CASE WHEN id % 3 = 0 THEN 15 END::INT AS max_minutes, CASE id % 4 WHEN 0 THEN 20.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE END AS fee, CASE WHEN id % 4 = 0 THEN 'EUR' END AS fee_currency, CASE WHEN id % 6 = 0 THEN 'restricted' END AS ai_policy,
-CASE WHEN id % 6 = 1 THEN 'Open to all filmmakers of the world' ELSE '' END AS eligibility, CASE WHEN discovered_at >= TIMESTAMP '2000-01-01' AND discovered_at <= TIMESTAMP '2000-01-01' + INTERVAL 548 DAY THEN strftime(discovered_at, '%Y-%m-%d') END AS deadline FROM notices""")
+_FIELD_NAMES = "deadline, max_minutes, min_minutes, fee, fee_currency, ai_policy, premiere, eligibility"
+_FIELD_CASES = cases.values(_FIELD_NAMES, [want for _, want in cases.FIELDS])
+_TYPED = "deadline::VARCHAR AS deadline, max_minutes::INT AS max_minutes, min_minutes::INT AS min_minutes, fee::DOUBLE AS fee, fee_currency::VARCHAR AS fee_currency, ai_policy::VARCHAR AS ai_policy, premiere::VARCHAR AS premiere, eligibility"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cases.dealt(spark, spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("id")), [given for given, _ in cases.FIELDS], "t string, title string")
+    return rows.withColumn("d", fields.decision_fields(date(2026, 9, 28))(F.col("t"), F.col("title")))
+
+
+@query(f"WITH {_FIELD_CASES} SELECT o_orderkey AS id, {_TYPED} FROM orders JOIN cases ON o_orderkey % {len(cases.FIELDS)} = k")
 def decision_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts of a call, one pass over each text."""
-    out = notices(spark, sf_dir).withColumn("d", X.decision_fields(date(2000, 1, 1))(F.col("t")))
-    return out.select("id", "d.max_minutes", "d.fee", "d.fee_currency", "d.ai_policy", F.array_join("d.eligibility", "|").alias("eligibility"), F.col("d.deadline").cast("string").alias("deadline"))
+    """X3 X4 X5 X6 X7 X8 DT6 DT19: the facts of a call, one pass over each text that has any."""
+    out = _facts(spark, sf_dir).select("id", "d.*").withColumns({"eligibility": F.array_join("eligibility", "|"), "deadline": F.col("deadline").cast("string")})
+    return out.select("id", *_FIELD_NAMES.split(", "))
+
+
+@query(f"""WITH {_FIELD_CASES}, f AS (SELECT o_orderkey AS id, {_TYPED}, CASE o_orderkey % 4 WHEN 0 THEN '2026-12-24' END AS old_deadline, CASE o_orderkey % 3 WHEN 0 THEN 'rolling' ELSE 'unknown' END AS old_status, CASE WHEN o_orderkey % 5 = 0 THEN 99 END AS old_minutes, CASE o_orderkey % 3 WHEN 1 THEN 'unclear' WHEN 2 THEN 'allowed' END AS old_policy, o_orderkey % 2 = 0 AS had FROM orders JOIN cases ON o_orderkey % {len(cases.FIELDS)} = k),
+n AS (SELECT *, old_deadline IS NULL AND old_status <> 'rolling' AND deadline IS NOT NULL AS d, old_minutes IS NULL AND max_minutes IS NOT NULL AS m, fee IS NOT NULL AS e, old_policy IS DISTINCT FROM 'allowed' AND ai_policy IS NOT NULL AS p, NOT had AND eligibility <> '' AS g, premiere IS NOT NULL AS r FROM f)
+SELECT id, CASE WHEN d THEN deadline ELSE old_deadline END AS deadline, CASE WHEN d THEN 'confirmed' ELSE old_status END AS deadline_status, CASE WHEN m THEN max_minutes ELSE old_minutes END AS max_minutes, fee, CASE WHEN e THEN fee_currency END AS fee_currency, CASE WHEN p THEN ai_policy ELSE old_policy END AS ai_policy, CASE WHEN g THEN eligibility WHEN had THEN 'members' ELSE '' END AS eligibility, premiere,
+concat_ws(',', CASE WHEN d THEN 'deadline' END, CASE WHEN m THEN 'max_minutes' END, CASE WHEN e THEN 'fee' END, CASE WHEN p THEN 'ai_policy' END, CASE WHEN g THEN 'eligibility' END, CASE WHEN r THEN 'premiere' END) AS filled FROM n""")
+def enriched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a page fill what a record lacks, and replace nothing."""
+    k = F.col("id")
+    known = {
+        "deadline": F.when(k % 4 == 0, F.lit(date(2026, 12, 24))), "deadline_status": F.when(k % 3 == 0, "rolling").otherwise("unknown"), "max_minutes": F.when(k % 5 == 0, 99), "fee": F.lit(None).cast("double"), "fee_currency": F.lit(None).cast("string"),
+        "ai_policy": F.when(k % 3 == 1, "unclear").when(k % 3 == 2, "allowed"), "premiere": F.lit(""), "eligibility": F.when(k % 2 == 0, F.array(F.lit("members"))).otherwise(F.array().cast("array<string>")),
+    }
+    out = _facts(spark, sf_dir).select("id", fields.filled(known, F.col("d")).alias("r")).select("id", "r.*")
+    return out.select("id", F.col("deadline").cast("string").alias("deadline"), "deadline_status", "max_minutes", "fee", "fee_currency", "ai_policy", F.array_join("eligibility", "|").alias("eligibility"), F.when(F.col("premiere") != "", F.col("premiere")).alias("premiere"), F.concat_ws(",", "filled").alias("filled"))
 
 
 @query(f"""WITH {OPPORTUNITIES} SELECT id, regexp_matches(title, '\\bAI[- ]film', 'i') AS ai_film, CASE WHEN category = 'AI film festival' THEN category WHEN regexp_matches(lower(title), 'grant|fund') THEN 'Grant' WHEN regexp_matches(lower(title), 'residen') THEN 'Residency'
@@ -54,14 +80,56 @@ def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", X.is_ai_film(F.col("title")).alias("ai_film"), X.category_for(given, F.col("title"), F.lit("")).alias("category"))
 
 
-@query(f"""WITH {OPPORTUNITIES}, t AS (SELECT id, {match_sql("category || ' ' || title")} AS c FROM opportunities) SELECT id, CASE WHEN regexp_matches(c, '\\b(?:residency|artist in residence|research residency)\\b') THEN 'Residencies' WHEN regexp_matches(c, '\\b(?:grant|fund|funding|commission)\\b') THEN 'Grants / funding / commissions'
+@query(f"""WITH {OPPORTUNITIES}, {cases.values("geography", [want for _, want in cases.GEOGRAPHY])}, t AS (SELECT id, {match_sql("category || ' ' || title")} AS c FROM opportunities) SELECT id, CASE WHEN regexp_matches(c, '\\b(?:residency|artist in residence|research residency)\\b') THEN 'Residencies' WHEN regexp_matches(c, '\\b(?:grant|fund|funding|commission)\\b') THEN 'Grants / funding / commissions'
 WHEN regexp_matches(c, '\\b(?:lab|fellowship)\\b') THEN 'Labs / fellowships' WHEN regexp_matches(c, '\\b(?:brand|advertising|creator challenge|hackathon)\\b') THEN 'Platform / branded challenges' WHEN regexp_matches(c, '\\bai\\b') THEN 'AI / generative film' WHEN regexp_matches(c, '\\b(?:festival|short film|filmmaking|film competition)\\b') THEN 'Film festivals / competitions' ELSE 'Other' END AS grp,
-CASE WHEN id % 4 = 0 THEN 'Europe' WHEN id % 4 = 1 THEN 'Asia' WHEN id % 4 = 2 THEN 'Unknown' ELSE 'Other / Unclassified' END AS geography FROM t""")
+geography FROM t JOIN cases ON id % {len(cases.GEOGRAPHY)} = k""")
 def report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report buckets of categories and places."""
-    rows = opportunities(spark, sf_dir, "id", "title", "category")
-    place = F.when(F.col("id") % 4 == 0, "Roma, Italy").when(F.col("id") % 4 == 1, "Seoul, KOREA").when(F.col("id") % 4 == 2, "").otherwise("Atlantis")
-    return rows.select("id", X.grouped(T.match_text(F.concat_ws(" ", "category", "title")), X.CATEGORY_GROUPS, "Other").alias("grp"), X.grouped(T.match_text(place), X.GEOGRAPHY_GROUPS, "Other / Unclassified").alias("geography"))
+    """Report buckets of categories and places, each place of the rules among them."""
+    rows = cases.dealt(spark, opportunities(spark, sf_dir, "id", "title", "category"), [given for given, _ in cases.GEOGRAPHY], "place string")
+    return rows.select("id", X.grouped(T.match_text(F.concat_ws(" ", "category", "title")), X.CATEGORY_GROUPS, "Other").alias("grp"), X.grouped(T.match_text(F.col("place")), X.GEOGRAPHY_GROUPS, "Other / Unclassified").alias("geography"))
+
+
+@query(f"WITH {cases.values('discipline, ai_film', [want for _, want in cases.SUBJECTS])} SELECT c_custkey AS id, discipline, ai_film, c_custkey % 4 = 1 OR c_custkey % 3 = 1 AS ai_source FROM customer JOIN cases ON c_custkey % {len(cases.SUBJECTS)} = k")
+def page_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages are about, and the sources of AI film."""
+    k = F.col("id")
+    rows = cases.dealt(spark, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), [given for given, _ in cases.SUBJECTS], "t string")
+    family = F.when(k % 4 == 1, "ai-creative-tech").when(k % 4 == 2, "film-funding")
+    kinds = F.when(k % 3 == 1, F.array(F.lit("grants"), F.lit("ai-film"))).when(k % 3 == 2, F.array(F.lit("grants")))
+    return rows.select("id", X.discipline(F.col("t")).alias("discipline"), X.is_ai_film(F.col("t")).alias("ai_film"), X.is_ai_source(family, kinds).alias("ai_source"))
+
+
+@query(f"WITH {cases.values('title, public, unresolved', [want for _, want in cases.TITLES])} SELECT o_orderkey AS id, title, public, unresolved FROM orders JOIN cases ON o_orderkey % {len(cases.TITLES)} = k")
+def public_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX18 TX19: titles cleaned, and the names under which records are public."""
+    rows = cases.dealt(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), [given for given, _ in cases.TITLES], "raw string, organizer string")
+    return rows.withColumn("p", T.public_title(F.col("raw"), F.col("organizer"))).select("id", T.clean_title(F.col("raw"), F.col("organizer")).alias("title"), F.col("p.title").alias("public"), "p.unresolved")
+
+
+@query(f"""WITH {cases.values("title, public, unresolved", [want for _, want in cases.TITLES])}, r AS (SELECT o_orderkey AS id, public, unresolved, k FROM orders JOIN cases ON o_orderkey % {len(cases.TITLES)} = k), raw(k, title) AS (VALUES {", ".join(f"({k}, {cases.quoted(g[0])})" for k, (g, _) in enumerate(cases.TITLES))})
+SELECT id, CASE WHEN NOT unresolved AND public <> '' AND public IS DISTINCT FROM raw.title THEN public END AS title, NULL::VARCHAR AS category FROM r JOIN raw USING (k)""")
+def name_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the name of a published record changes."""
+    rows = cases.dealt(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), [given for given, _ in cases.TITLES], "title string, organizer string")
+    return rows.withColumn("c", review.name_changes(F.col("title"), F.col("organizer"), F.lit("Residency"))).select("id", "c.title", "c.category")
+
+
+def _reviewed() -> list[tuple]:
+    """Record, page, duplicate and quote of each review case."""
+    out = []
+    for (record, page, duplicate, quote), _ in cases.REVIEWS:
+        out.append((*(cases.RECORD | record).values(), None if page is None else tuple((cases.CHECK | page).values()), duplicate, quote))
+    return out
+
+
+@query(f"WITH {cases.values('decision, target, reasons, title, organizer, category', [want for _, want in cases.REVIEWS])} SELECT o_orderkey AS id, decision, target::VARCHAR AS target, reasons, title::VARCHAR AS title, organizer::VARCHAR AS organizer, category::VARCHAR AS category FROM orders JOIN cases ON o_orderkey % {len(cases.REVIEWS)} = k")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-3 R4: the automatic review of records and of what their pages show."""
+    page = "page struct<" + ", ".join(x.replace(" ", ": ") for x in review.PAGE.split(", ")) + ">"
+    rows = cases.dealt(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), _reviewed(), f"{cases.REVIEW_RECORD}, {page}, duplicate boolean, quote boolean")
+    d = review.auto_review(moment("2026-10-01 00:00:00"), F.col("page"), F.col("duplicate"), F.col("quote"))
+    rows = rows.withColumn("deadline", F.col("deadline").cast("timestamp_ntz")).select("id", d.alias("d"))
+    return rows.select("id", "d.decision", "d.target", F.array_join("d.reasons", ",").alias("reasons"), "d.title", "d.organizer", "d.category")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN o_totalprice END AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'EUR' WHEN o_orderkey % 3 = 1 THEN 'USD' END AS currency FROM orders""")
@@ -107,40 +175,96 @@ def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("tags", F.array_join("tags", "|"))
 
 
-_SIDES = """items AS (SELECT c_custkey AS id, concat('Festival ', c_mktsegment) AS title, concat('Org ', (c_custkey % 40)::VARCHAR) AS organizer, concat('Place ', (c_nationkey % 5)::VARCHAR) AS location, (1995 + c_custkey % 3)::INT AS year, concat('s', (c_custkey % 400)::VARCHAR, '.example.org/a') AS url_key FROM customer),
-records AS (SELECT s_suppkey AS id, concat('Festival ', CASE s_suppkey % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' WHEN 2 THEN 'AUTOMOBILE' WHEN 3 THEN 'FURNITURE' ELSE 'HOUSEHOLD' END) AS title, concat('Org ', (s_suppkey % 60)::VARCHAR) AS organizer, concat('Place ', (s_nationkey % 5)::VARCHAR) AS location, (1995 + s_suppkey % 3)::INT AS year, concat('s', s_suppkey::VARCHAR, '.example.org/a') AS url_key FROM supplier)"""
-_PAIRS = f"""{_SIDES}, pairs AS (SELECT a.id AS a, b.id AS b, a.url_key = b.url_key AS u, lower(a.title) = lower(b.title) AS t, a.organizer = b.organizer AS o, a.location = b.location AS g FROM items a JOIN records b ON a.year = b.year AND (a.url_key = b.url_key OR a.organizer = b.organizer)),
-scored AS (SELECT a, b, CASE WHEN u AND t THEN 'canonical_url' WHEN o AND t THEN 'organizer_series_year' END AS method, CASE WHEN u AND t THEN least(0.999::DOUBLE, round(0.97::DOUBLE + 0.012::DOUBLE + 0.008::DOUBLE + CASE WHEN o THEN 0.004::DOUBLE ELSE 0 END, 6)) WHEN o AND t THEN 0.955::DOUBLE END AS confidence FROM pairs)"""
+#: Customers as benchmark rows and suppliers as found records; the names of the columns differ as those of two sources would.
+ITEM = [
+    ("id", "c_custkey"),
+    ("canonical_name", "concat(CASE c_custkey % 4 WHEN 0 THEN 'The ' ELSE '' END, 'Great ', lower(c_mktsegment), ' Short Film Prize of the Northern Harbour ', cast(c_custkey % 25 AS string), ' Shore', CASE c_custkey % 6 WHEN 5 THEN ' 2026' ELSE '' END)"),
+    ("organizer", "CASE c_custkey % 9 WHEN 8 THEN '' ELSE concat('Org ', cast(c_custkey % 20 AS string)) END"),
+    ("edition", "CASE c_custkey % 7 WHEN 3 THEN 'Third' END"),
+    ("edition_year", "CASE c_custkey % 5 WHEN 0 THEN cast(2025 + c_custkey % 2 AS int) END"),
+    ("call_year", "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 4 THEN NULL ELSE cast(2026 AS int) END"),
+    ("country", "concat('Place ', cast(c_nationkey % 4 AS string))"),
+    ("category", "CASE c_custkey % 3 WHEN 0 THEN 'Short film festival' WHEN 1 THEN '' ELSE 'Grant' END"),
+    ("discovery_tier", "CASE c_custkey % 4 WHEN 0 THEN 'CORE' WHEN 1 THEN 'MAINSTREAM' WHEN 2 THEN 'HIDDEN' ELSE 'LONG_TAIL' END"),
+    ("source_url", "CASE c_custkey % 8 WHEN 0 THEN concat('https://filmfreeway.com/p', cast(c_custkey % 50 AS string)) WHEN 1 THEN concat('http://www.host', cast(c_custkey % 20 AS string), '.org/') ELSE concat('https://host', cast(c_custkey % 20 AS string), '.org/call/', cast(c_custkey % 25 AS string), '/?utm_source=x') END"),
+]
+RECORD = [
+    ("id", "s_suppkey"),
+    ("title", "concat(CASE s_suppkey % 4 WHEN 1 THEN 'The ' ELSE '' END, 'Great ', element_at(array('building','machinery','automobile','furniture','household'), cast(1 + s_suppkey % 5 AS int)), ' Short Film Prize of the Northern ', CASE s_suppkey % 3 WHEN 0 THEN 'Harbor ' ELSE 'Harbour ' END, cast(s_suppkey % 25 AS string), ' Shore')"),
+    ("organization", "concat('ORG ', cast(s_suppkey % 20 AS string))"),
+    ("cycle", "CASE s_suppkey % 7 WHEN 3 THEN 'third' END"),
+    ("opportunity_year", "CASE s_suppkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '2024' ELSE 'Call of 2026' END"),
+    ("location", "concat('PLACE ', cast(s_nationkey % 4 AS string))"),
+    ("type", "CASE s_suppkey % 3 WHEN 0 THEN 'Short film festival' WHEN 1 THEN '' ELSE 'Grant' END"),
+    ("url", "CASE s_suppkey % 8 WHEN 0 THEN concat('https://filmfreeway.com/p', cast(s_suppkey % 50 AS string)) WHEN 1 THEN concat('https://host', cast(s_suppkey % 20 AS string), '.org/') ELSE concat('see https://host', cast(s_suppkey % 20 AS string), '.org/call/', cast(s_suppkey % 25 AS string)) END"),
+]
+_SEGMENT = "CASE s_suppkey % 5 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' WHEN 2 THEN 'automobile' WHEN 3 THEN 'furniture' ELSE 'household' END"
+
+
+def _view(name: str, columns: list[tuple[str, str]], of: str) -> str:
+    body = ", ".join(f"{e} AS {n}" for n, e in columns)
+    return f"{name} AS (SELECT {body} FROM {of})".replace("element_at(array('building','machinery','automobile','furniture','household'), cast(1 + s_suppkey % 5 AS int))", _SEGMENT)
+
+
+_URL = "regexp_replace(regexp_replace(regexp_extract({}, 'https?://(.*)', 1), '^www\\.', ''), '(?:/\\?utm_source=x)$', '')"
+_WORDS = "list_distinct(list_filter(string_split({}, ' '), lambda x: x <> ''))"
+_SERIES = "trim(regexp_replace(regexp_replace(regexp_replace({}, '\\b(?:19|20)[0-9]{{2}}\\b', ' ', 'g'), '\\b[0-9]{{1,3}}(?:st|nd|rd|th)\\b', ' ', 'g'), ' +', ' ', 'g'))"
+_PREFIX = "CASE WHEN substring(x, 1, 4) = substring(y, 1, 4) THEN 4 WHEN substring(x, 1, 3) = substring(y, 1, 3) THEN 3 WHEN substring(x, 1, 2) = substring(y, 1, 2) THEN 2 WHEN substring(x, 1, 1) = substring(y, 1, 1) THEN 1 ELSE 0 END"
+_PAIRS = f"""{_view("items", ITEM, "customer")}, {_view("records", RECORD, "supplier")},
+i AS (SELECT id AS a, lower(canonical_name) AS t, {_SERIES.format("lower(canonical_name)")} AS s, lower(organizer) AS o, lower(country) AS g, lower(edition) AS e, edition_year AS ey, coalesce(edition_year, call_year, CASE WHEN c_2026 THEN 2026 END) AS y, list_distinct(list_filter([edition_year, call_year, CASE WHEN c_2026 THEN 2026 END], lambda x: x IS NOT NULL)) AS ys, category AS k, {_URL.format("source_url")} AS u FROM (SELECT *, contains(canonical_name, '2026') AS c_2026 FROM items)),
+r AS (SELECT id AS b, lower(title) AS t, {_SERIES.format("lower(title)")} AS s, lower(organization) AS o, lower(location) AS g, lower(cycle) AS e, regexp_extract(opportunity_year, '(20[0-9]{{2}})', 1)::INT AS y, type AS k, {_URL.format("url")} AS u FROM (SELECT * REPLACE (coalesce(opportunity_year, '0') AS opportunity_year) FROM records WHERE opportunity_year IS NOT NULL) UNION ALL SELECT id, lower(title), {_SERIES.format("lower(title)")}, lower(organization), lower(location), lower(cycle), NULL, type, {_URL.format("url")} FROM records WHERE opportunity_year IS NULL),
+p AS (SELECT a, b, i.s AS x, r.s AS y, coalesce(i.e = r.e, false) AS ee, coalesce(i.e = r.e, false) OR coalesce(list_contains(i.ys, r.y), false) OR coalesce(i.y = r.y, false) AS ye, i.y <> r.y AS differ, i.u = r.u AS u, i.u AS url, regexp_extract(i.u, '^([^/]*)', 1) AS h, i.t = r.t AS t, i.s = r.s AS s, i.o = r.o AND i.o <> '' AS o, i.g = r.g AS g, i.k = r.k AND i.k <> '' AS k, regexp_extract(i.u, '^([^/]*)', 1) = regexp_extract(r.u, '^([^/]*)', 1) AND NOT regexp_matches(i.u, '^filmfreeway') AS own FROM i CROSS JOIN r),
+q AS (SELECT *, url LIKE '%/' AS root, h = 'filmfreeway.com' AS shared FROM p WHERE NOT (NOT ye AND coalesce(differ, false))),
+m AS (SELECT *, CASE WHEN u AND (CASE WHEN shared THEN t OR (s AND o) ELSE t OR s OR (o AND g AND ye) END) AND (NOT root OR (o AND (t OR s))) THEN 'canonical_url' WHEN o AND s AND ye THEN 'organizer_event_series_edition' WHEN t AND o AND g AND ye THEN 'title_organizer_geography_year' END AS method,
+0.55::DOUBLE * (jaro_similarity(x, y) + ({_PREFIX}) * 0.1::DOUBLE * (1 - jaro_similarity(x, y))) + 0.45::DOUBLE * 2 * len(list_intersect({_WORDS.format("x")}, {_WORDS.format("y")})) / (len({_WORDS.format("x")}) + len({_WORDS.format("y")})) AS sim FROM q),
+scored AS (SELECT a, b, coalesce(method, CASE WHEN sim >= 0.94::DOUBLE AND (o OR own) AND (ye OR g) AND o::INT + own::INT + ye::INT + g::INT + k::INT >= 2 THEN 'fuzzy_secondary' END) AS method, t, s, o, ee, ye, sim FROM m),
+pairs AS (SELECT a, b, method, round(CASE method WHEN 'canonical_url' THEN least(0.999::DOUBLE, 0.97::DOUBLE + CASE WHEN t OR s THEN 0.012::DOUBLE ELSE 0 END + CASE WHEN ye THEN 0.008::DOUBLE ELSE 0 END + CASE WHEN o THEN 0.004::DOUBLE ELSE 0 END) WHEN 'organizer_event_series_edition' THEN CASE WHEN ee THEN 0.965::DOUBLE ELSE 0.955::DOUBLE END WHEN 'title_organizer_geography_year' THEN 0.935::DOUBLE ELSE least(0.929::DOUBLE, 0.88::DOUBLE + (sim - 0.94::DOUBLE) * 0.5::DOUBLE) END, 4) AS confidence FROM scored WHERE method IS NOT NULL)"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(*[F.expr(e).alias(n) for n, e in ITEM])
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(*[F.expr(e).alias(n) for n, e in RECORD])
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, method, confidence FROM pairs")
+def benchmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-7 J13 R14 TX13 W18 JM7: candidate pairs of a benchmark and the records, of all tiers, by blocking keys."""
+    return match.candidates(match.normalized(_items(spark, sf_dir)), match.normalized(_records(spark, sf_dir))).select("a", "b", "method", "confidence")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    text = lambda x: x.cast("string")
+#: Rows whose fields stand under other names, or in nested objects.
+_RAW = """CASE c_custkey % 4 WHEN 0 THEN concat('{"event_series": "Inner ', cast(c_nationkey AS string), '", "organisation": "Nested House", "year": 2024, "officialUrl": "https://www.nested.org/a/"}') WHEN 1 THEN 'no json' WHEN 2 THEN '{"deadline": "until 5 May 2023", "Opportunità": "Bando"}' END"""
 
-    def side(df: DataFrame, k: str, title: str, orgs: int, nation: str, hosts: int) -> DataFrame:
-        n = F.col(k)
-        return df.select(n.alias("id"), F.expr(title).alias("title"), F.concat(F.lit("Org "), text(n % orgs)).alias("organizer"), F.concat(F.lit("Place "), text(F.col(nation) % 5)).alias("location"), (1995 + n % 3).cast("int").alias("year"),
-                         U.match_key(F.concat(F.lit("https://www.s"), text(n % hosts), F.lit(".example.org/a/?utm_source=x"))).alias("url_key"), F.lit("").alias("host"))
 
-    items = side(c, "c_custkey", "concat('Festival ', c_mktsegment)", 40, "c_nationkey", 400)
-    records = side(s, "s_suppkey", "concat('Festival ', element_at(array('BUILDING','MACHINERY','AUTOMOBILE','FURNITURE','HOUSEHOLD'), cast(1 + s_suppkey % 5 AS int)))", 60, "s_nationkey", 1_000_000)
-    return ops.benchmark_pairs(items, records)
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'named ' || c_nationkey WHEN c_custkey % 4 = 2 THEN 'bando' ELSE '' END AS title_key, CASE WHEN c_custkey % 4 = 0 THEN 'nested house' ELSE '' END AS organizer_key,
+CASE WHEN c_custkey % 3 = 0 THEN 'named ' || c_nationkey WHEN c_custkey % 4 = 0 THEN 'inner ' || c_nationkey ELSE '' END AS series_key, CASE c_custkey % 4 WHEN 0 THEN 2024 WHEN 2 THEN 2023 END::INT AS year, CASE WHEN c_custkey % 5 = 0 THEN 'festhome.com/f/1' WHEN c_custkey % 4 = 0 THEN 'nested.org/a' ELSE '' END || CASE WHEN c_custkey % 5 = 0 AND c_custkey % 4 = 0 THEN ' nested.org/a' ELSE '' END AS urls,
+CASE WHEN c_custkey % 5 = 0 THEN 'structured/festhome' WHEN c_custkey % 4 = 0 THEN 'direct/official-or-publisher' ELSE 'unknown' END AS family FROM customer""")
+def benchmark_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-9: fields by their aliases, in the row and in nested objects."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit("Named "), F.col("c_nationkey").cast("string"))).alias("name"), F.expr(_RAW).alias("raw_payload"), F.when(k % 5 == 0, F.array(F.lit("https://festhome.com/f/1/"), F.lit("ftp://x"))).alias("sourceUrl"))
+    n = match.normalized(rows)
+    return n.select("id", "title_key", "organizer_key", "series_key", "year", F.array_join("urls", " ").alias("urls"), F.col("source_family").alias("family"))
 
 
-@query(f"WITH {_PAIRS} SELECT a, b, method, confidence FROM scored WHERE method IS NOT NULL")
-def benchmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M-7 J13 R14 TX13 W18: candidate pairs of a benchmark and the records, by blocking keys."""
-    return _pairs(spark, sf_dir).where("method <> 'fuzzy'").select("a", "b", "method", "confidence")
+@query()
+def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-8 M-9 E1 R15 JB12: one-to-one matches over all candidates, the misses with their reasons, and the recall by tier and place with its gates (tested against brute force)."""
+    items = _items(spark, sf_dir)
+    _, outcomes = match.match(match.normalized(items), match.normalized(_records(spark, sf_dir)))
+    rows = items.select(F.col("id").alias("a"), F.col("discovery_tier").alias("category"), F.col("country").alias("place")).join(outcomes, "a")
+    return metrics.grouped_recall(rows.withColumn("hit", F.col("b").isNotNull()), ["category", "place"], "hit")
 
 
 @query()
-def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M-8 M-9 E1 R15 JB12: greedy one-to-one matches and the recall per organizer group (tested against brute force)."""
-    pairs = _pairs(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), (F.col("s_suppkey") % 3).alias("g")), "b")
-    best = ranking.greedy_one_to_one(pairs, "g")
-    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("category"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("place"))
-    hit = items.join(best.select("a", F.lit(True).alias("hit")).distinct(), "a", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return metrics.grouped_recall(hit, ["category", "place"], "hit")
+def benchmark_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M-8: the items without a match, by reason (tested against brute force)."""
+    _, outcomes = match.match(match.normalized(_items(spark, sf_dir)), match.normalized(_records(spark, sf_dir)))
+    return outcomes.groupBy(F.coalesce("reason", F.lit("matched")).alias("outcome")).agg(F.count("*").alias("items"))
 
 
 @query(f"""WITH {OPPORTUNITIES}, k AS (SELECT id, canonical_key, deadline, sha256(title) AS h FROM opportunities), d AS (SELECT canonical_key, count(*) AS n, count(DISTINCT h) AS titles FROM k GROUP BY 1)

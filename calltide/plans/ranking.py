@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import catalogue as cat
+from ..operators import graph
 from ..operators import ranking as ops
 from .base import NOW, OPPORTUNITIES, SOURCES, moment, opportunities, query, sources, table
 
@@ -164,6 +165,7 @@ SELECT g, count(*) > 0 AS some FROM p GROUP BY g""")
 def matching_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M-8 (greedy step): every group of candidate pairs gets an assignment."""
     p = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("g"), F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max(1 - F.col("l_discount")).alias("confidence"), F.max("l_linenumber").alias("method_no"))
-    return ops.greedy_one_to_one(p, "g").groupBy("g").agg((F.count("*") > 0).alias("some"))
+    p = p.withColumns({"down": -F.col("confidence"), "method_down": -F.col("method_no")})
+    return graph.assign(p, ["g", "a"], ["g", "b"], ["down", "method_down"]).groupBy("g").agg((F.count("*") > 0).alias("some"))
 
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from calltide.functions import dates as D
 from calltide.functions import extract as X
+from calltide.functions import fields
 from calltide.functions import html as H
 from calltide.functions import review
 from calltide.functions import text as T
 from calltide.functions import url as U
 from calltide.functions.similarity import jaro_winkler
-from calltide.operators import catalogue, dedupe, joins, ranking, state
+from calltide.operators import catalogue, dedupe, graph, joins, matching, state
+from calltide.plans import cases
 from calltide.plans.base import moment
 from calltide.sources import readers, sinks
 from calltide.streaming import state as streaming
@@ -34,7 +36,7 @@ def one(spark, *columns):
     [("Films up to 15 minutes are welcome.", 15), ("Maximum length: 20 min", 20), ("It is a 10-15 minutes walk", None), ("Entries between 3 and 12 minutes", 12), ("durata massima 15 minuti", 15), ("Short films, 10 minutes or less", 10), ("no runtime here", None)],
 )
 def test_runtime(text, most):
-    found = X.runtime(text)
+    found = fields.runtime(text)
     assert (found and found[0]) == most
 
 
@@ -43,7 +45,7 @@ def test_runtime(text, most):
     [("Entry fee: €25 per film.", (25.0, "EUR")), ("Entry is free.", (0.0, None)), ("Fee €10, free for students", None), ("Early fee: $10. Late fee: $20", None), ("fee: 15 euros", (15.0, "EUR")), ("a cup 3 EUR", None)],
 )
 def test_fee(text, want):
-    found = X.fee(text)
+    found = fields.fee(text)
     assert (found and found[:2]) == want
 
 
@@ -52,21 +54,32 @@ def test_fee(text, want):
     [("AI-generated works are not accepted.", "restricted"), ("Films made with AI only.", "required"), ("AI tools are welcome.", "allowed"), ("Non-AI footage is not permitted.", "required"), ("We are retaining the mailed copies.", None)],
 )
 def test_ai_policy(text, want):
-    found = X.ai_policy(text)
+    found = fields.ai_policy(text)
     assert (found and found[0]) == want
 
 
 def test_premiere_rules_must_agree():
-    assert X.premiere("A world premiere is required.")[0] == "world"
-    assert X.premiere("We do not require a world premiere.")[0] == "none"
-    assert X.premiere("World premiere required. European premiere required for shorts.") is None
+    assert fields.premiere("A world premiere is required.")[0] == "world"
+    assert fields.premiere("We do not require a world premiere.")[0] == "none"
+    assert fields.premiere("World premiere required. European premiere required for shorts.") is None
 
 
 def test_deadline_takes_the_latest_coming_date():
     now = date(2026, 9, 1)
-    assert X.deadline("Early deadline: 15 September 2026. Final deadline: October 15, 2026.", now)[0] == date(2026, 10, 15)
-    assert X.deadline("Deadline updated 3 October 2026", now) is None
-    assert X.deadline("Deadline: 31 February 2027", now) is None and X.deadline("Deadline: 1 May 2020", now) is None
+    assert fields.deadline("Early deadline: 15 September 2026. Final deadline: October 15, 2026.", now)[0] == date(2026, 10, 15)
+    assert fields.deadline("Deadline updated 3 October 2026", now) is None
+    assert fields.deadline("Deadline: 31 February 2027", now) is None and fields.deadline("Deadline: 1 May 2020", now)[0] == date(2020, 5, 1)
+
+
+def test_gates_lose_no_field(spark):
+    rng = random.Random(3)
+    texts = [t for (t, _), _ in cases.FIELDS if t]
+    words = sorted({w for t in texts for w in t.split()} | {"open\u00a0to", "artists", "première", "minutes", "5", "AI", "fee", "€9"})
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(3, 25))) for _ in range(1500)] + [t.upper() for t in texts]
+    asked = [r.a for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(fields.asked_for(F.col("t")).alias("a")).collect()]
+    now = date(2026, 9, 28)
+    assert all(fields.read(t, None, now, a) == fields.read(t, None, now) for t, a in zip(texts, asked, strict=True))
+    assert sum(a < 63 for a in asked) > 100
 
 
 def test_tolerant_json():
@@ -164,10 +177,117 @@ def test_budget_ledger_blocks_in_order(spark):
     assert got == {1: "reserved", 2: "optional-disabled", 3: "reserved", 4: "monthly-hard-cap", 5: "daily-provider-limit", 6: "idempotent-replay"}
 
 
-def test_greedy_assignment_uses_each_side_once(spark):
-    rows = [(1, 1, 1, 0.9, 1), (1, 1, 2, 0.95, 1), (1, 2, 2, 0.94, 1), (1, 2, 1, 0.5, 1), (2, 1, 1, 0.7, 1)]
-    got = {(r.g, r.a, r.b) for r in ranking.greedy_one_to_one(spark.createDataFrame(rows, "g bigint, a bigint, b bigint, confidence double, method_no int"), "g").collect()}
-    assert got == {(1, 1, 2), (1, 2, 1), (2, 1, 1)}
+def test_chains_of_keys_make_one_block(spark):
+    rows = [(i, f"c{(i + 1) // 2}", f"f{i // 2}", 0.5) for i in range(120)] + [(500, "alone", "alone too", 0.1)]
+    df = spark.createDataFrame(rows, "seq bigint, canonical string, fuzzy string, confidence double").repartition(3)
+    assert {r.block for r in dedupe.blocks(df).where("seq < 500").collect()} == {0}
+    got = {r.seq: r.grp for r in dedupe.fold_duplicates(df).collect()}
+    c, f, want = {}, {}, {}
+    for seq, canonical, fuzzy, _ in rows:
+        g = c.get(canonical, f.get(fuzzy))
+        if g is None:
+            g = c[canonical] = f[fuzzy] = seq
+        want[seq] = g
+    assert got == want
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(90)] + [(300 + i, 299) for i in range(1, 50)] + [(400, 401), (401, 402), (402, 400)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(91)}, **{i: 299 for i in [299, *range(301, 350)]}, 400: 400, 401: 400, 402: 400}
+
+
+def greedy(pairs):
+    used_a, used_b, out = set(), set(), []
+    for p in sorted(pairs, key=lambda p: (-p[3], -p[4], p[0], p[1], p[2])):
+        if (p[0], p[1]) not in used_a and (p[0], p[2]) not in used_b:
+            used_a.add((p[0], p[1]))
+            used_b.add((p[0], p[2]))
+            out.append(p[:3])
+    return sorted(out)
+
+
+def test_greedy_assignment_equals_a_fold(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(2), rng.randrange(25), rng.randrange(25), rng.choice([0.5, 0.9, 0.95]), rng.randrange(1, 4)) for _ in range(150)] + [(7, i, i + d, 1 - i / 50 - d / 100, 1) for i in range(20) for d in (0, 1)]
+    rows = [(*k, c, m) for k, (c, m) in {r[:3]: r[3:] for r in rows}.items()]
+    df = spark.createDataFrame([(*r, -r[3], -r[4]) for r in rows], "g bigint, a bigint, b bigint, confidence double, method_no int, down double, method_down int")
+    got = sorted((r.g, r.a, r.b) for r in graph.assign(df, ["g", "a"], ["g", "b"], ["down", "method_down"]).collect())
+    assert got == greedy(rows)
+
+
+# --- matching against all pairs -------------------------------------------------------
+
+
+def matching_rows(seed):
+    rng = random.Random(seed)
+    names = ["Great Northern Harbour Short Film Prize of the Lake", "Great Northern Harbor Short Film Prize of the Lake", "Open Call Lagoon Lab", "Lagoon Lab 2026", "12th Sunrise Residency", "Sunrise Residency"]
+    urls = ["https://www.lab.org/", "https://lab.org/call/?utm_source=a", "http://lab.org/call", "https://filmfreeway.com/Lagoon", "https://prize.net/en/index.html", None]
+
+    def row(i):
+        return (i, rng.choice(names), rng.choice(["Lagoon House", "LAGOON HOUSE", "Other House", ""]), rng.choice([None, None, "Third"]), rng.choice([None, None, 2025, 2026]), rng.choice([None, "2025", "2026", "for 2026"]), rng.choice(["Italy", "italy", "Malta", ""]), rng.choice(["Grant", "Residency", ""]), rng.choice(urls), rng.choice([None, "https://lab.org/call"]), rng.choice([None, None, "The Lagoon Series", "Winter Series"]))
+
+    return [row(i) for i in range(45)], [row(100 + i) for i in range(45)]
+
+
+MATCH_SCHEMA = "id bigint, title string, organizer string, edition string, edition_year int, call_year string, location string, category string, source_url string, official_url string, event_series string"
+
+
+def brute_pairs(items, records):
+    """All pairs by the tiers, from normalized rows."""
+    out, shared = [], lambda h: h == "filmfreeway.com"
+    for a in items:
+        for b in records:
+            same = lambda n: bool(a[n]) and a[n] == b[n]  # noqa: E731, B023
+            edition = same("edition_year") or same("edition")
+            year = edition or bool(set(a.years) & set(b.years)) or same("year")
+            if (a.edition_year and b.edition_year and a.edition_year != b.edition_year) or (not year and a.year and b.year and a.year != b.year):
+                continue
+            t, s, o, g = same("title_key"), same("series_key"), same("organizer_key"), same("geography_key")
+            url = next((u for u in a.urls if u in b.urls), None)
+            if url:
+                host, rest = url.split("/", 1)
+                named = (t or (s and o)) if shared(host) else (t or s or (o and g and year))
+                if named and (rest or (o and (t or s))):
+                    out.append((a.id, b.id, "canonical_url", round(min(0.999, 0.97 + 0.012 * (t or s) + 0.008 * year + 0.004 * o), 4)))
+                    continue
+            own = bool({h for h in a.hosts if not shared(h)} & {h for h in b.hosts if not shared(h)})
+            words = [set(x.series_key.split()) for x in (a, b)]
+            alike = 0.55 * jaro_winkler(a.series_key, b.series_key) + 0.45 * 2 * len(words[0] & words[1]) / max(1, len(words[0]) + len(words[1])) if all(words) else 0
+            if o and s and year:
+                out.append((a.id, b.id, "organizer_event_series_edition", 0.965 if edition else 0.955))
+            elif t and o and g and year:
+                out.append((a.id, b.id, "title_organizer_geography_year", 0.935))
+            elif alike >= 0.94 and (o or own) and (year or g) and o + own + year + g + (a.category_group == b.category_group != "Unknown") >= 2:
+                out.append((a.id, b.id, "fuzzy_secondary", round(min(0.929, 0.88 + (alike - 0.94) * 0.5), 4)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_matching_equals_all_pairs(spark, seed):
+    a, b = (matching.normalized(spark.createDataFrame(rows, MATCH_SCHEMA)).cache() for rows in matching_rows(seed))
+    items, records = a.collect(), b.collect()
+    want = brute_pairs(items, records)
+    got = [(r.a, r.b, r.method, round(r.confidence, 4)) for r in matching.candidates(a, b).collect()]
+    assert sorted(got) == sorted(want) and {m for *_, m, _ in want} == set(matching.METHODS)
+
+    order = sorted(want, key=lambda p: (-p[3], -matching.METHODS[p[2]], p[0], p[1]))
+    lists = {}
+    for p in order:
+        lists.setdefault(("a", p[0]), []).append(p)
+        lists.setdefault(("b", p[1]), []).append(p)
+    near = lambda x: len(x) > 1 and x[0][2] == x[1][2] and x[0][3] - x[1][3] <= 0.006 + 1e-9
+    unclear_b = {k for (side, k), x in lists.items() if side == "b" and near(x)}
+    unclear_a = {k for (side, k), x in lists.items() if side == "a" and near(x) and x[0][2] == "fuzzy_secondary"}
+    for r in records:
+        if ("b", r.id) not in lists and len({i.id for i in items if any("filmfreeway.com" in u and u in r.urls for u in i.urls)}) > 1:
+            unclear_b.add(r.id)
+    clear = [(0, *p) for p in want if p[0] not in unclear_a and p[1] not in unclear_b]
+    taken = {x: y for _, x, y in greedy([(*p[:3], p[4], matching.METHODS[p[3]]) for p in clear])}
+    matches, outcomes = matching.match(a, b)
+    assert {r.a: r.b for r in matches.collect()} == taken
+    reason = lambda k: None if k in taken else "ambiguous_candidates" if k in unclear_a else "candidate_collision_or_ambiguous_record" if ("a", k) in lists else "no_conservative_match"
+    assert {r.a: (r.b, r.reason) for r in outcomes.collect()} == {i.id: (taken.get(i.id), reason(i.id)) for i in items}
 
 
 def test_token_pairs_lose_no_pair(spark):
@@ -185,8 +305,9 @@ def test_auto_review_order(spark):
     names = ["id", *base, "deadline"]
     schema = ", ".join(f"{n} {'bigint' if n == 'id' else 'boolean' if n == 'has_conflict' else 'double' if n == 'confidence' else 'string'}" for n in names)
     df = spark.createDataFrame(rows, schema).withColumn("deadline", F.col("deadline").cast("timestamp_ntz"))
-    yes, no = F.lit(True), F.lit(False)
-    d = review.auto_review(moment("2026-10-01 00:00:00"), yes, no, yes, yes, no)
+    df = df.withColumns({"source_url": F.lit(None).cast("string"), "application_url": F.lit(None).cast("string")})
+    page = F.from_json(F.lit('{"ok": true, "call_signal": true, "date_found": true}'), review.PAGE)
+    d = review.auto_review(moment("2026-10-01 00:00:00"), page, F.lit(False), F.lit(False))
     got = {r.id: r.decision for r in df.select("id", d.alias("d")).select("id", "d.decision").collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
 
