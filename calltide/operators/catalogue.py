@@ -189,3 +189,24 @@ def identity_email(header: Column) -> Column:
     """An address from an identity header, percent-decoded; null unless it has an @."""
     email = F.lower(F.trim(F.try_url_decode(header)))
     return F.when(email.contains("@"), email)
+
+
+def mapped(rows: DataFrame) -> DataFrame:
+    """Stored rows as the catalogue shows them: ids and texts, defaults for what is missing, fields of the payload (JSON) where the column is empty, and the links with their state."""
+    c = F.col
+    payload = lambda name: F.get_json_object("raw_payload", f"$.{name}")
+    safe = lambda u: F.when(u.rlike(r"(?i)^https?://[^\s/]+"), u)
+
+    def link(kind: str) -> Column:
+        has = lambda name: c(f"{kind}_{name}") if f"{kind}_{name}" in rows.columns else F.lit(None).cast("string")
+        url, status, http = safe(F.coalesce(has("url"), payload(f"{kind}_url"))), F.coalesce(has("url_status"), payload(f"{kind}_url_status"), F.lit("unchecked")), has("url_http_status").cast("int")
+        verified = url.isNotNull() & status.isin("verified", "redirected") & F.coalesce(http.between(200, 399), F.lit(False))
+        return F.struct(url.alias("url"), status.alias("status"), http.alias("http_status"), verified.alias("verified")).alias(kind)
+
+    text = lambda name, default: F.coalesce(c(name).cast("string"), F.lit(default)).alias(name)
+    return rows.select(
+        c("id").cast("string").alias("id"), "slug", "title", "organizer", "category", "status", "ai_policy", "deadline", F.coalesce("deadline_status", payload("deadline_status"), F.lit("unknown")).alias("deadline_status"),
+        safe(F.coalesce("deadline_source_url", payload("deadline_source_url"))).alias("deadline_source_url"), "opens_at", c("prize_amount").cast("double").alias("prize_amount"), c("entry_fee_amount").cast("double").alias("entry_fee_amount"), text("location", "Online"),
+        c("max_runtime_minutes").cast("int").alias("max_runtime_minutes"), link("source"), link("official"), link("application"), text("source_type", "community"), F.coalesce(c("confidence").cast("double"), F.lit(0.0)).alias("confidence"), text("summary", ""),
+        F.filter(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: t != "").alias("tags"), "discovered_at", "verified_at", F.coalesce("review_required", F.lit(False)).alias("review_required"), "review_decision", "review_reason", "readiness_score",
+        F.coalesce("has_conflict", F.lit(False)).alias("has_conflict"), "previous_status", "previous_deadline", F.coalesce("featured", F.lit(False)).alias("featured"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import components
+from .graph import components, settled
 
 
 def canonical_key(name: Column, organizer: Column, year: Column, edition: Column, location: Column) -> Column:
@@ -68,3 +68,33 @@ def merge_groups(grouped: DataFrame, fields: list[str], arrays: dict[str, int])
     known = [F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields]
     united = [F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(a)))), 1, n).alias(a) for a, n in arrays.items()]
     return grouped.groupBy("grp").agg(F.count("*").alias("records"), F.max_by("seq", best).alias("base"), *known, *united)
+
+
+def _covers(a: Column, b: Column) -> Column:
+    """The names share 0.6 of the words of the shorter one."""
+    return T.overlap(a, b) >= 0.6
+
+
+def swapped_names(rows: DataFrame) -> DataFrame:
+    """(id, keep): pending rows that repeat another of the same site and deadline day with name and organizer swapped.
+
+    ``rows``: id, title, organizer, host, day, rank, pending. Rows are judged from the highest rank down (then by id): a row
+    repeats a partner of the same or a higher rank that was not itself found to repeat one; the first such is kept.
+    Partners are met by a word that stands in the one's title and the other's organizer.
+    """
+    words = lambda c: F.filter(F.array_distinct(F.split(T.series_key(F.col(c)), " ")), lambda w: F.length(w) > 2)
+    own = rows.select("id", "host", "day", "rank", "pending", words("title").alias("t"), words("organizer").alias("o"))
+    left = own.where("pending").select(*[F.col(c).alias(f"a_{c}") for c in own.columns], F.explode("t").alias("word"))
+    right = own.select(*[F.col(c).alias(f"b_{c}") for c in own.columns], F.explode("o").alias("word"))
+    met = left.join(right, (F.col("a_host") == F.col("b_host")) & (F.col("a_day") == F.col("b_day")) & (left["word"] == right["word"])).where("a_id <> b_id and b_rank >= a_rank").drop("word").dropDuplicates(["a_id", "b_id"])
+    c = F.col
+    pairs = settled(met.where(_covers(c("a_t"), c("b_o")) & _covers(c("b_t"), c("a_o")) & ~_covers(c("a_o"), c("b_o"))).select(c("a_id").alias("id"), c("b_id").alias("keep"), c("b_rank").alias("rank"), ((c("b_rank") == c("a_rank")) & (c("b_id") > c("a_id"))).alias("later")))
+    # a partner that is judged later counts in any case; one that was judged before counts unless it repeats another itself
+    state = settled(pairs.groupBy("id").agg(F.when(F.bool_or("later"), "repeats").alias("state")))
+    while state.where("state is null").head(1):
+        beside = pairs.join(state.select(c("id").alias("keep"), F.coalesce("state", F.lit("open")).alias("partner")), "keep", "left").withColumn("partner", F.coalesce("partner", F.lit("stays")))
+        found = beside.groupBy("id").agg(F.bool_or(c("partner") == "stays").alias("some"), F.bool_and(c("partner") == "repeats").alias("none"))
+        state = settled(state.join(found, "id").select("id", F.coalesce("state", F.when(c("some"), "repeats").when(c("none"), "stays")).alias("state")))
+    gone = state.where("state = 'repeats'").select("id")
+    counted = pairs.join(gone.withColumnRenamed("id", "keep").withColumn("gone", F.lit(True)), "keep", "left").where(c("later") | c("gone").isNull())
+    return counted.join(gone, "id").groupBy("id").agg(F.min_by("keep", F.struct(-c("rank"), c("keep"))).alias("keep"))

@@ -4,21 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_OWN: dict[str, str] = {}
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the session names, which cuts its lineage and survives lost executors.
 
-    Where the session names none, a temporary folder stands in if all runs in one process; on a cluster that is an error.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a temporary one where it names none and all runs in one process, else an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="calltide-")
+        _OWN[context.applicationId] = found
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, which cuts its lineage and survives lost executors."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="calltide-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,15 +1,15 @@
 """Incremental state: URL cache, sightings, claims, budget ledger, checkpoints and merges.
 
-Where a state has a closed form it is an aggregation or a window; where each
-event changes what the next may do (the budget ledger, conflicts) it is an ordered fold of each key,
-on bounded groups.
+Where a state has a closed form (conflicts, too) it is an aggregation or a window; where each
+event changes what the next may do (the budget ledger) it is an ordered fold over
+streamed batches that carries a few numbers for a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,31 +88,39 @@ def budget_ledger(requests: DataFrame, hard: float, soft: float, daily: int) ->
     """Decides requests (key, at, seq, cost, units, optional, idem) one after the other.
 
     A blocked request costs nothing and so changes what the next may do: a true
-    fold, per pool and month (``key``), ordered by time. A repeated idempotency key is a replay.
+    fold, per pool and month (``key``), ordered by time. It streams over sorted batches and
+    carries three numbers; a repeated idempotency key, which is a replay, is found before by a window.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        spent, used, seen, out = 0.0, {}, set(), []
-        for key, seq, day, cost, units, optional, idem in zip(pdf.key, pdf.seq, pdf.day, pdf.cost, pdf.units, pdf.optional, pdf.idem, strict=True):
-            if idem in seen:
-                code = "idempotent-replay"
-            elif cost > 0 and spent + cost > hard:
-                code = "monthly-hard-cap"
-            elif cost > 0 and optional and spent + cost >= soft:
-                code = "optional-disabled"
-            elif used.get(day, 0) + units > daily:
-                code = "daily-provider-limit"
-            else:
-                code = "reserved"
-                spent += cost
-                used[day] = used.get(day, 0) + units
-            seen.add(idem)
-            out.append((key, seq, code, round(spent, 6)))
-        return pd.DataFrame(out, columns=["key", "seq", "decision", "spent"])
-
-    rows = requests.withColumn("day", F.date_format("at", "yyyy-MM-dd"))
-    return rows.groupBy("key").applyInPandas(fold, "key string, seq bigint, decision string, spent double")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, today, spent, used = None, None, 0.0, 0
+        for b in batches:
+            codes, sums = [], []
+            for key, day, cost, units, optional, replay in zip(*(b.column(c).to_pylist() for c in ("key", "day", "cost", "units", "optional", "replay")), strict=True):
+                if key != last:
+                    last, today, spent, used = key, None, 0.0, 0
+                if day != today:
+                    today, used = day, 0
+                if replay:
+                    code = "idempotent-replay"
+                elif cost > 0 and spent + cost > hard:
+                    code = "monthly-hard-cap"
+                elif cost > 0 and optional and spent + cost >= soft:
+                    code = "optional-disabled"
+                elif used + units > daily:
+                    code = "daily-provider-limit"
+                else:
+                    code, spent, used = "reserved", spent + cost, used + units
+                codes.append(code)
+                sums.append(round(spent, 6))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("seq"), pa.array(codes, pa.string()), pa.array(sums, pa.float64())], names=["key", "seq", "decision", "spent"])
+
+    again = F.row_number().over(Window.partitionBy("key", "idem").orderBy("at", "seq")) > 1
+    rows = requests.select(
+        F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), "at", F.date_format("at", "yyyy-MM-dd").alias("day"), F.col("cost").cast("double").alias("cost"), F.col("units").cast("bigint").alias("units"), "optional",
+        again.alias("replay"))
+    dealt = rows.repartition("key").sortWithinPartitions("key", "at", "seq").drop("at")
+    return dealt.mapInArrow(fold, "key string, seq bigint, decision string, spent double")
 
 
 def running_spend(requests: DataFrame) -> DataFrame:
@@ -122,24 +130,19 @@ def running_spend(requests: DataFrame) -> DataFrame:
 
 
 def observe(claims: DataFrame) -> DataFrame:
-    """Folds claims (key, at, seq, priority, value, source) in order; says of each whether it applied and conflicted.
+    """Says of each of the claims (key, at, seq, priority, value, source), taken in order, whether it applied and conflicted, and what holds after it.
 
-    A claim applies if it is the first, stronger (a lower number), or as strong and strictly newer. It
+    A claim applies if it is the first, stronger (a lower number), or as strong and strictly newer. So the one that holds
+    is, of all before, the strongest, then the newest, then the first: a running minimum. A claim
     conflicts if the value that holds when it comes is from another source and distinct.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"])
-        now, out = None, []
-        for key, seq, at, priority, value, source in zip(pdf.key, pdf.seq, pdf["at"], pdf.priority, pdf.value, pdf.source, strict=True):
-            conflict = now is not None and now[3] != source and now[2] != value
-            applied = now is None or priority < now[0] or (priority == now[0] and at > now[1])
-            if applied:
-                now = (priority, at, value, source)
-            out.append((key, seq, applied, conflict, now[2]))
-        return pd.DataFrame(out, columns=["key", "seq", "applied", "conflict", "holds"])
-
-    return claims.groupBy("key").applyInPandas(fold, "key bigint, seq bigint, applied boolean, conflict boolean, holds string")
+    c = F.col
+    rank = F.struct(c("priority"), (-F.unix_micros(c("at").cast("timestamp"))).alias("down"), c("seq"), c("at"), c("value"), c("source"))
+    before = F.min(rank).over(Window.partitionBy("key").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = claims.withColumn("now", before)
+    applied = c("now").isNull() | (c("priority") < c("now.priority")) | ((c("priority") == c("now.priority")) & (c("at") > c("now.at")))
+    conflict = c("now").isNotNull() & ~c("now.source").eqNullSafe(c("source")) & ~c("now.value").eqNullSafe(c("value"))
+    return rows.select("key", "seq", applied.alias("applied"), conflict.alias("conflict"), F.when(applied, c("value")).otherwise(c("now.value")).alias("holds"))
 
 
 def health_after(outcome: Column, failures: Column) -> Column:

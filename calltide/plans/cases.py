@@ -251,3 +251,54 @@ SUBJECTS: list[tuple[tuple, tuple]] = [
     (("An AI advert contest",), ("none", True)), (("an AI ad for films",), ("film", True)), (("AI additions",), ("none", False)), (("Festival de cortos con inteligencia artificial",), ("none", True)), (("cine hecho con IA",), ("none", True)), (("KI-Kurzfilm",), ("film", True)), (("AI映画",), ("film", True)),
     (("Generative video",), ("none", True)), (("made with AI",), ("none", True)), (("intelligence artificielle",), ("none", True)), (("AI-assisted work",), ("none", True)), (("said films",), ("film", False)),
 ]
+
+#: Pages of grants as (text, html, text and URL of a link); then title, opening, closing, closing_quote, status, funder, link.
+GRANTS: list[tuple[tuple, tuple]] = [
+    (("Menu Scheda bando Aperto Apertura sessioni: 01.03.2026 Scadenza  sessioni: 30.04.2026 Contatti dell'ente Regione Puglia Telefono 1", "<h1>Bando <b>Corti</b> &egrave; 2026</h1>", "Link al bando", "https://regione.it/b"), ("Bando Corti 2026", "2026-03-01", "2026-04-30", "Scadenza sessioni: 30.04.2026", "Aperto", "Regione Puglia", "https://regione.it/b")),
+    (("Scheda bando In arrivo Scadenza sessioni: 31.02.2026 Contatti dell'ente Mario Rossi Email a@b", "<title>Fondo | Italia</title>", "LINK AL BANDO", "https://www.italyformovies.it/x"), ("Fondo", _N, _N, "Scadenza sessioni: 31.02.2026", "In arrivo", _N, _N)),
+    (("Chiuso. Contatti dell'ente Cineteca Film Commission Responsabile x", "<h1> </h1><title> Premio </title>", "altro", "https://a.it/"), ("Premio", _N, _N, _N, "Chiuso", "Cineteca Film Commission", _N)),
+    (("", "", "", ""), (_N, _N, _N, _N, _N, _N, _N)),
+    ((_N, _N, _N, _N), (_N, _N, _N, _N, _N, _N, _N)),
+]
+
+#: Leads as (name, URL, title of the result); then whether it is the call's own page.
+LEADS: list[tuple[tuple, tuple]] = [
+    (("AI Horizons Parma", "https://parma360.it/wp-content/uploads/ai-horizons-parma.pdf", ""), (True,)), (("AI Horizons Parma", "https://parma360.it/docs/x.pdf", "Bando Horizons Parma"), (True,)), (("AI Horizons Parma", "https://parma360.it/x/horizons-parma.pdf", ""), (False,)),
+    (("Höhen Kurz Preis", "https://hoehen.de/hohen-kurz-preis", ""), (True,)), (("Aurora Lab", "https://site.org/en/aurora-lab-2026/", ""), (True,)), (("Aurora Lab", "https://site.org/news/aurora-lab/", ""), (False,)), (("Aurora Lab", "https://site.org/2026/03/aurora-lab", ""), (False,)),
+    (("Aurora Lab", "https://site.org/other", "Aurora Lab"), (False,)), (("Aurora Lab", "https://x.blogspot.com/aurora-lab", ""), (False,)), (("Aurora Lab", "https://www.blocked.org/aurora-lab", ""), (False,)), (("Aurora Lab", "not a url", ""), (False,)), (("AI", "https://site.org/ai", ""), (False,)),
+    (("Aurora Lab", _N, _N), (False,)),
+]
+
+_LD = '<script type="application/ld+json">{"@type": "Festival", "name": "Lagoon Film Festival", "organizer": {"name": "Lagoon House"}}</script>'
+#: Pages as (html, text, links as text>url joined by blanks, deadline); then disposition, reason, title, organizer, category, application, remote, status.
+EXTRACTIONS: list[tuple[tuple, tuple]] = [
+    (("<h1>Harbour Film Prize</h1>", "Submissions are open worldwide.", "Apply>https://h.org/apply", _N), ("complete", "VISIBLE_DETAIL_PAGE", "Harbour Film Prize", "Unknown organizer", "Traditional festival", "https://h.org/apply", True, "open")),
+    ((_LD + "<h1>Home</h1>", "Entries are closed.", "", "2026-05-01"), ("complete", "VISIBLE_DETAIL_PAGE", "Lagoon Film Festival", "Lagoon House", "Traditional festival", _N, False, "closed")),
+    (('<meta property="og:site_name" content="Home"><title>Residency of the Lake</title>', "An open call. Submissions are open. Entries are closed.", "", _N), ("complete", "VISIBLE_DETAIL_PAGE", "Residency of the Lake", "Unknown organizer", "Residency", _N, False, _N)),
+    (("<h1>Commercial challenge</h1>", "no", "Register>https://c.org/r", _N), ("complete", "VISIBLE_DETAIL_PAGE", "Commercial challenge", "Unknown organizer", "Advertising competition", "https://c.org/r", False, _N)),
+    (("<h1>AI film awards</h1>", "remote", "", "2026-05-01"), ("complete", "VISIBLE_DETAIL_PAGE", "AI film awards", "Unknown organizer", "AI film festival", _N, True, _N)),
+    (("<h1>Creator challenge</h1>", "x", "", "2026-05-01"), ("complete", "VISIBLE_DETAIL_PAGE", "Creator challenge", "Unknown organizer", "Platform challenge", _N, False, _N)),
+    (("<h1>Fondo de cine, premio</h1>", "x", "", "2026-05-01"), ("complete", "VISIBLE_DETAIL_PAGE", "Fondo de cine, premio", "Unknown organizer", "Grant", _N, False, _N)),
+    (("<h1>Harbour Film Prize</h1>", "Nothing more.", "About>https://h.org/x", _N), ("ambiguous", "NO_APPLICATION_OR_DEADLINE", _N, _N, _N, _N, _N, _N)),
+    (("<h1>Open calls 2026</h1>", "x", "Apply>https://h.org/apply", _N), ("ambiguous", "NO_STRONG_TITLE_SIGNAL", _N, _N, _N, _N, _N, _N)),
+    (("<h1>Our garden</h1>", "x", "Apply>https://h.org/apply", _N), ("ambiguous", "NO_STRONG_TITLE_SIGNAL", _N, _N, _N, _N, _N, _N)),
+    (("<h1>Prize directory</h1>", "x", "Apply>https://h.org/1 Submit>https://h.org/2 Entries>https://h.org/3", _N), ("ambiguous", "MULTI_ITEM_DIRECTORY", _N, _N, _N, _N, _N, _N)),
+    (("<h1>Prizes of the harbour prize</h1>", "x", " ".join(f"Apply>https://h.org/{i}" for i in range(11)), _N), ("ambiguous", "MULTI_ITEM_DIRECTORY", _N, _N, _N, _N, _N, _N)),
+    (("", "", "", _N), ("ambiguous", "NO_STRONG_TITLE_SIGNAL", _N, _N, _N, _N, _N, _N)),
+]
+
+#: Pages as (text, validThrough); then the best deadline on 2026-03-01, its status and method.
+HUNTED: list[tuple[tuple, tuple]] = [
+    (("Deadline: 20 May 2026", "2026-06-01T10:00"), ("2026-05-20", "confirmed", "dated")), (("Deadline: 20 May 2025", "2026-06-01T10:00"), ("2026-06-01", "confirmed", "json-ld")), (("Deadline: 20 May 2025. Deadline: 15 June, edition 2026", _N), ("2026-06-15", "estimated", "year-inferred")),
+    (("Deadline 28 February 2026", _N), ("2026-02-28", "confirmed", "dated")), (("Deadline 27 February 2026", "2026-02-27"), (_N, _N, _N)), (("Deadline: 15 June", _N), (_N, _N, _N)), (("nothing", "soon"), (_N, _N, _N)), ((_N, _N), (_N, _N, _N)),
+]
+
+#: Secrets as pasted, and cleaned.
+SECRETS: list[tuple[tuple, tuple]] = [
+    (("  abc ",), ("abc",)), (('API_KEY = "abc"',), ("abc",)), (("bearer abc",), ("abc",)), (("KEY=Bearer `abc`",), ("abc",)), (("''",), (_N,)), (("",), (_N,)), (("Key=abc",), ("Key=abc",)), ((_N,), (_N,)),
+]
+
+#: Ingest requests as (authorized, body); then status and records accepted.
+INGESTS: list[tuple[tuple, tuple]] = [
+    ((True, '[{"a": 1}, {"b": 2}]'), (200, 2)), ((False, '[{"a": 1}]'), (401, 0)), ((_N, "x"), (401, 0)), ((True, "not json"), (400, 0)), ((True, "[]"), (400, 0)), ((True, '{"a": 1}'), (400, 0)), ((True, "[" + ",".join(["1"] * 250) + "]"), (200, 250)), ((True, "[" + ",".join(["1"] * 251) + "]"), (400, 0)), ((True, _N), (400, 0)),
+]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import base, catalogue, decisions, jobs, matching, metrics, ranking, records, relational, rules, streams, text  # noqa: F401
+from .plans import base, catalogue, control, decisions, jobs, matching, metrics, pages, ranking, records, relational, rules, streams, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -134,12 +134,16 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     return (reader.option("sheet", sheet) if sheet else reader).load(path)
 
 
-def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON files that are an array or wrap one in opportunities, records or data; as variants."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+def records_of(documents: DataFrame) -> DataFrame:
+    """Records (variants) of JSON documents in ``value``: an array, or one in opportunities, records or data."""
+    raw = documents.select(F.try_parse_json("value").alias("v"))
     wraps = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("opportunities", "records", "data")]
-    records = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *wraps)
-    return raw.select(F.explode(records).alias("record"))
+    return raw.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *wraps)).alias("record"))
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of JSON files, each a document of its own."""
+    return records_of(spark.read.text(path, wholetext=True))
 
 
 def bindings(rows: DataFrame) -> DataFrame:
@@ -165,6 +169,46 @@ def rectangular(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(c), F.lit(d)).alias(c) if c in rows.columns and d is not None else F.col(c) if c in rows.columns else F.lit(d).alias(c) for c, d in defaults.items()])
 
 
+#: Sheets of a data set that hold series and portals, and the sheet by which a benchmark is known (fixed values).
+SERIES_SHEETS = ("Dataset", "Editions")
+PORTAL_SHEETS = ("Monitor list", "Local channels", "Sources")
+HELD_OUT_SHEET = "Benchmark_Items"
+
+
+def dataset_rows(sheets: DataFrame, name: str) -> DataFrame:
+    """(kind, dataset, row, cells) of a data set's sheets (sheet, row, cells): series and portals; a workbook of the benchmark is refused."""
+    if sheets.where(F.col("sheet") == HELD_OUT_SHEET).head(1):
+        raise ValueError(f"{name} holds the benchmark, which is no seed")
+    kind = F.when(F.col("sheet").isin(*SERIES_SHEETS), "series").when(F.col("sheet").isin(*PORTAL_SHEETS), "portal")
+    return sheets.where(kind.isNotNull()).select(kind.alias("kind"), F.concat(F.lit(f"{name}#"), "sheet").alias("dataset"), "row", "cells")
+
+
+def inventory(cells: DataFrame) -> DataFrame:
+    """(sheet, nonempty_rows, nonempty_cells, header_row, columns) of (sheet, row, values array): the header is the fullest of the first five rows that are not empty, the first on ties."""
+    rows = cells.withColumn("values", F.filter("values", lambda v: v.isNotNull() & (v != ""))).where(F.size("values") > 0)
+    # the first five rows of a sheet: the five smallest numbers, kept in bounded arrays by task
+    totals = rows.groupBy("sheet").agg(F.count("*").alias("nonempty_rows"), F.sum(F.size("values")).alias("nonempty_cells"))
+    w = Window.partitionBy("sheet").orderBy("row")
+    head = rows.withColumn("rn", F.row_number().over(w)).where("rn <= 5").groupBy("sheet").agg(F.min_by(F.struct("row", "values"), F.struct(-F.size("values"), F.col("row"))).alias("h"))
+    return totals.join(head, "sheet").select("sheet", "nonempty_rows", "nonempty_cells", F.col("h.row").alias("header_row"), F.col("h.values").alias("columns"))
+
+
+#: Templates of curated sources: family, tier, type and minutes between checks, by kind; and the sources as (name, url, kind, categories).
+TEMPLATES = {
+    "site": ("official-site", 2, "official", 4_320), "directory": ("opportunity-directory", 1, "community", 1_440), "fund": ("film-funding", 1, "official", 2_880), "residency": ("media-art-residency", 2, "official", 4_320),
+    "creative": ("ai-creative-tech", 1, "official", 1_440), "festival": ("structured-festival", 1, "community", 1_440), "news": ("news-feed", 3, "press", 720),
+}
+
+
+def catalogue(spark: SparkSession, entries: list[tuple[str, str, str, list[str]]]) -> DataFrame:
+    """Curated sources out of templates: a short constant list of (name, url, kind, categories) makes full source rows; a URL that comes twice counts once."""
+    rows = {url: (name, url, tier, tier, True, type_, family, categories, 360, minutes, 43_200) for name, url, kind, categories in reversed(entries) for family, tier, type_, minutes in [TEMPLATES[kind]]}
+    return spark.createDataFrame(
+        list(rows.values()),
+        "name string, url string, tier int, priority int, enabled boolean, source_type string, source_family string, opportunity_categories array<string>, min_poll_interval_minutes int, poll_interval_minutes int, max_poll_interval_minutes int",
+    )
+
+
 def demo(spark: SparkSession) -> DataFrame:
     """Eight calls for a catalogue without a table."""
     kinds = ["AI film festival", "Traditional festival", "Platform challenge", "Grant", "Residency", "Advertising competition", "AI film festival", "Grant"]

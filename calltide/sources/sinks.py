@@ -49,3 +49,21 @@ def seed(existing: DataFrame, catalogue: DataFrame, key: str, retired: list[str]
     """The catalogue's rows replace those of their keys; retired URLs are disabled."""
     out = existing.join(catalogue.select(key), key, "left_anti").unionByName(catalogue)
     return out.withColumn("enabled", F.col("enabled") & ~F.col(key).isin(retired))
+
+
+def page_provenance(pages: DataFrame, stored: DataFrame) -> DataFrame:
+    """(canonical_key, provenance) of stored rows (canonical_key, source_url) whose page was met again unchanged.
+
+    ``pages``: input_url, final_url and the provenance (an array of entries) of the candidate that led there; a page counts under both URLs.
+    """
+    from ..functions.url import canonical
+
+    each = pages.select(F.explode(F.array_distinct(F.filter(F.array(canonical(F.col("input_url")), canonical(F.col("final_url"))), lambda u: u.isNotNull()))).alias("url"), "provenance")
+    entries = each.select("url", F.explode("provenance").alias("p"))
+    known = stored.select("canonical_key", canonical(F.col("source_url")).alias("url"))
+    return known.join(entries, "url").groupBy("canonical_key", "url").agg(F.array_sort(F.collect_set("p")).alias("provenance"))
+
+
+def store_json(rows: DataFrame, path: str) -> None:
+    """The rows as JSON lines in a folder of the store; an earlier report there is replaced."""
+    rows.write.mode("overwrite").json(path)

@@ -207,6 +207,30 @@ def greedy(pairs):
     return sorted(out)
 
 
+def test_swapped_names_equal_a_fold(spark):
+    rng = random.Random(5)
+    names = ["Lagoon Prize", "Harbour House", "Lagoon Prize Extra", "Harbour House Malta", "Winter Lab", ""]
+    rows = [(i, rng.choice(names), rng.choice(names), rng.choice("ab"), rng.choice(["2026-01-01", "2026-01-02"]), float(rng.randrange(3)), rng.random() < 0.8) for i in range(70)]
+    words = lambda t: {w for w in t.lower().split() if len(w) > 2}
+    covers = lambda a, b: bool(words(a) and words(b)) and len(words(a) & words(b)) / min(len(words(a)), len(words(b))) >= 0.6
+    swap = lambda x, y: covers(x[1], y[2]) and covers(y[1], x[2]) and not covers(x[2], y[2])
+    want = {}
+    for x in sorted(rows, key=lambda r: (-r[5], r[0])):
+        if x[6]:
+            keep = next((y for y in sorted(rows, key=lambda r: (-r[5], r[0])) if y[0] != x[0] and y[0] not in want and y[3:5] == x[3:5] and y[5] >= x[5] and swap(x, y)), None)
+            if keep:
+                want[x[0]] = keep[0]
+    df = spark.createDataFrame(rows, "id bigint, title string, organizer string, host string, day string, rank double, pending boolean")
+    assert {r.id: r.keep for r in dedupe.swapped_names(df).collect()} == want and len(want) > 8
+
+
+def test_dataset_refuses_the_benchmark(spark):
+    sheets = spark.createDataFrame([("Dataset", 2, {"a": "x"}), ("Benchmark_Items", 2, {"a": "y"})], "sheet string, row int, cells map<string,string>")
+    with pytest.raises(ValueError, match="benchmark"):
+        readers.dataset_rows(sheets, "x.xlsx")
+    assert readers.dataset_rows(sheets.where("sheet = 'Dataset'"), "x.xlsx").first().dataset == "x.xlsx#Dataset"
+
+
 def test_greedy_assignment_equals_a_fold(spark):
     rng = random.Random(8)
     rows = [(rng.randrange(2), rng.randrange(25), rng.randrange(25), rng.choice([0.5, 0.9, 0.95]), rng.randrange(1, 4)) for _ in range(150)] + [(7, i, i + d, 1 - i / 50 - d / 100, 1) for i in range(20) for d in (0, 1)]
