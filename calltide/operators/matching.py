@@ -10,7 +10,7 @@ from ..functions import extract as X
 from ..functions import text as T
 from ..functions import url as U
 from ..functions.similarity import title_similarity
-from .graph import assign
+from .graph import assign, settled
 
 #: Names under which a field may stand, in order, and the columns that hold further objects (fixed values).
 ALIASES = {
@@ -189,7 +189,7 @@ def match(items: DataFrame, records: DataFrame, least: float = FUZZY, gap: float
 
     Records and items whose best candidates can't be told apart take no part. ``outcomes`` gives each item's match or reason of a miss.
     """
-    pairs = candidates(items, records, least)
+    pairs = settled(candidates(items, records, least))  # used several times
     unclear_records = _unclear(pairs, "b", "a", gap, False).unionByName(shared_pages(items, records).join(pairs.select("b").distinct(), "b", "left_anti")).distinct()
     unclear_items = _unclear(pairs, "a", "b", gap, True)
     clear = pairs.join(unclear_records, "b", "left_anti").join(unclear_items, "a", "left_anti")

@@ -162,15 +162,23 @@ def _to_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(k.alias("seq"), F.concat_ws("/", "organizer", (k % 3).cast("string")).alias("canonical"), F.concat_ws("/", "location", F.floor(k / 40).cast("string")).alias("fuzzy"), "confidence", "category", "official_url", F.array("category").alias("tags"))
 
 
-@query()
+#: The same fold by rounds: a row is decided once the earlier rows of its keys are.
+_FOLD = f"""{OPPORTUNITIES}, n AS MATERIALIZED (SELECT id AS seq, concat_ws('/', organizer, (id % 3)::VARCHAR) AS c, concat_ws('/', location, floor(id / 40)::BIGINT::VARCHAR) AS z FROM opportunities), f AS (SELECT seq, c, z, NULL::BIGINT AS grp, 0 AS step FROM n UNION ALL
+SELECT seq, c, z, CASE WHEN grp IS NOT NULL THEN grp WHEN cf < seq THEN cf WHEN coalesce(co < seq, false) THEN NULL WHEN zf < seq THEN zf WHEN coalesce(zo < seq, false) THEN NULL ELSE seq END, step + 1 FROM (
+SELECT *, min(CASE WHEN grp = seq THEN seq END) OVER (PARTITION BY c) AS cf, min(CASE WHEN grp IS NULL THEN seq END) OVER (PARTITION BY c) AS co, min(CASE WHEN grp = seq THEN seq END) OVER (PARTITION BY z) AS zf, min(CASE WHEN grp IS NULL THEN seq END) OVER (PARTITION BY z) AS zo, count_if(grp IS NULL) OVER () AS open FROM f) WHERE open > 0),
+folded AS (SELECT seq, grp FROM f QUALIFY step = max(step) OVER ())"""
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT seq, grp FROM folded")
 def dedupe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered dedupe (tested against brute force)."""
+    """The ordered dedupe."""
     return ops.fold_duplicates(_to_fold(spark, sf_dir)).select("seq", "grp")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FOLD}, m AS (SELECT folded.*, confidence, category, official_url FROM folded JOIN opportunities ON id = seq)
+SELECT grp, count(*) AS records, arg_max(seq, (confidence, -seq)) AS base, arg_min(category, (-confidence, seq)) FILTER (category IS NOT NULL) AS category, arg_min(official_url, (-confidence, seq)) FILTER (official_url IS NOT NULL) AS official_url, array_to_string(list_sort(list_distinct(list(category))), '|') AS tags FROM m GROUP BY grp""")
 def dedupe_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged records of the ordered dedupe (tested against brute force)."""
+    """Merged records of the ordered dedupe."""
     merged = ops.merge_groups(ops.fold_duplicates(_to_fold(spark, sf_dir)), ["category", "official_url"], {"tags": 20})
     return merged.withColumn("tags", F.array_join("tags", "|"))
 
@@ -251,20 +259,31 @@ def benchmark_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "title_key", "organizer_key", "series_key", "year", F.array_join("urls", " ").alias("urls"), F.col("source_family").alias("family"))
 
 
-@query()
+#: The greedy assignment by rounds: a pair that is the best of both its sides is taken, its rivals fall.
+_MATCH = f"""{_PAIRS}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY confidence DESC, CASE method WHEN 'canonical_url' THEN 4 WHEN 'organizer_event_series_edition' THEN 3 WHEN 'title_organizer_geography_year' THEN 2 ELSE 1 END DESC, a, b) AS ord FROM pairs),
+lead_b AS (SELECT b, method, lead(method) OVER w AS m, confidence - lead(confidence) OVER w AS gap, row_number() OVER w AS rn FROM o WINDOW w AS (PARTITION BY b ORDER BY ord)), lead_a AS (SELECT a, method, lead(method) OVER w AS m, confidence - lead(confidence) OVER w AS gap, row_number() OVER w AS rn FROM o WINDOW w AS (PARTITION BY a ORDER BY ord)),
+unclear_b AS (SELECT b FROM lead_b WHERE rn = 1 AND m = method AND round(gap, 9) <= 0.006 UNION SELECT r.b FROM r JOIN i ON r.u = i.u WHERE r.u LIKE 'filmfreeway.com/%' AND r.b NOT IN (SELECT b FROM pairs) GROUP BY r.b HAVING count(DISTINCT i.a) > 1), unclear_a AS (SELECT a FROM lead_a WHERE rn = 1 AND m = method AND m = 'fuzzy_secondary' AND round(gap, 9) <= 0.006),
+g AS (SELECT a, b, ord, NULL::INT AS state, 0 AS step FROM o WHERE a NOT IN (SELECT a FROM unclear_a) AND b NOT IN (SELECT b FROM unclear_b) UNION ALL SELECT a, b, ord, CASE WHEN state IS NOT NULL THEN state WHEN ta OR tb THEN 0 WHEN ord = oa AND ord = ob THEN 1 END, step + 1 FROM (
+SELECT *, coalesce(bool_or(state = 1) OVER (PARTITION BY a), false) AS ta, coalesce(bool_or(state = 1) OVER (PARTITION BY b), false) AS tb, min(CASE WHEN state IS NULL THEN ord END) OVER (PARTITION BY a) AS oa, min(CASE WHEN state IS NULL THEN ord END) OVER (PARTITION BY b) AS ob, count_if(state IS NULL) OVER () AS open FROM g) WHERE open > 0),
+taken AS (SELECT a, b, state FROM g QUALIFY step = max(step) OVER ()), hits AS (SELECT items.*, taken.b IS NOT NULL AS hit, CASE WHEN taken.b IS NOT NULL THEN 'matched' WHEN id IN (SELECT a FROM unclear_a) THEN 'ambiguous_candidates' WHEN id IN (SELECT a FROM pairs) THEN 'candidate_collision_or_ambiguous_record' ELSE 'no_conservative_match' END AS outcome FROM items LEFT JOIN taken ON taken.a = id AND state = 1)"""
+_RECALL = "count(*) AS total, count_if(hit)::BIGINT AS matched, round(count_if(hit)::DOUBLE / count(*), 4) AS recall, round(count_if(hit) * 100.0::DOUBLE / count(*), 2) AS percent"
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.match(match.normalized(_items(spark, sf_dir)), match.normalized(_records(spark, sf_dir)))[1]
+
+
+@query(f"WITH RECURSIVE {_MATCH} SELECT 'overall' AS dimension, 'all' AS label, {_RECALL} FROM hits UNION ALL SELECT 'category', discovery_tier, {_RECALL} FROM hits GROUP BY 2 UNION ALL SELECT 'place', country, {_RECALL} FROM hits GROUP BY 2")
 def benchmark_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M-8 M-9 E1 R15 JB12: one-to-one matches over all candidates, the misses with their reasons, and the recall by tier and place with its gates (tested against brute force)."""
-    items = _items(spark, sf_dir)
-    _, outcomes = match.match(match.normalized(items), match.normalized(_records(spark, sf_dir)))
-    rows = items.select(F.col("id").alias("a"), F.col("discovery_tier").alias("category"), F.col("country").alias("place")).join(outcomes, "a")
+    """M-8 M-9 E1 R15 JB12: one-to-one matches over all candidates, and the recall by tier and place."""
+    rows = _items(spark, sf_dir).select(F.col("id").alias("a"), F.col("discovery_tier").alias("category"), F.col("country").alias("place")).join(_outcomes(spark, sf_dir), "a")
     return metrics.grouped_recall(rows.withColumn("hit", F.col("b").isNotNull()), ["category", "place"], "hit")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MATCH} SELECT outcome, count(*) AS items FROM hits GROUP BY 1")
 def benchmark_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M-8: the items without a match, by reason (tested against brute force)."""
-    _, outcomes = match.match(match.normalized(_items(spark, sf_dir)), match.normalized(_records(spark, sf_dir)))
-    return outcomes.groupBy(F.coalesce("reason", F.lit("matched")).alias("outcome")).agg(F.count("*").alias("items"))
+    """M-8: the items without a match, by reason."""
+    return _outcomes(spark, sf_dir).groupBy(F.coalesce("reason", F.lit("matched")).alias("outcome")).agg(F.count("*").alias("items"))
 
 
 @query(f"""WITH {OPPORTUNITIES}, k AS (SELECT id, canonical_key, deadline, sha256(title) AS h FROM opportunities), d AS (SELECT canonical_key, count(*) AS n, count(DISTINCT h) AS titles FROM k GROUP BY 1)
