@@ -1,7 +1,7 @@
 """Operator 9, toxicity: a counterfactually regularised classifier.
 
-A logistic model over the distinct words of a whole text and their stems (the
-first 4 and 5 letters of longer words). Features are kept whose document
+A logistic model over the distinct words of a whole text, their stems (the
+first 4 and 5 letters of longer words), and the stems that several of its words share. Features are kept whose document
 frequencies differ between the labels by a G statistic of LEAST_G or more.
 For each learning document that has identity terms, one of its sentences gets
 the terms swapped for others of their group; the squared change of the
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -58,10 +59,11 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def stemmed(own: set[str]) -> set[str]:
-    """The words and, ending with a hyphen, their stems."""
+    """The words and, ending with a hyphen, their stems; with a plus those that two or more different words have."""
     out = set(own)
     for n in STEMS:
-        out.update([w[:n] + "-" for w in own if len(w) > n])
+        shared = Counter([w[:n] for w in own if len(w) > n])
+        out.update([x + "-" for x in shared], [x + "+" for x, times in shared.items() if times > 1])
     return out
 
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from calltide.llm import chat, decontaminate, language, licenses, media, near, packing, quality, token_files, tokens, toxicity
+from calltide.llm import chat, common, decontaminate, language, licenses, media, near, packing, quality, token_files, tokens, toxicity
 from calltide.llm.common import lookup, min_label_components, sieve
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, Score string, node string"
@@ -620,7 +620,9 @@ def test_lookup_of_hot_and_missing_keys(spark):
     assert lookup(rows, found, ["k"], 100_000).count() == 30
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("tie", [1 << 17, 40])
+def test_components_of_paths_and_stars(spark, monkeypatch, tie):
+    monkeypatch.setattr(common, "TIE", tie)
     edges = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(100)] + [(900, 901), (901, 900), (7, 7)]
     got = {r.node: r.component for r in min_label_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 500 for i in range(500, 600)}, 900: 900, 901: 900}
