@@ -302,3 +302,17 @@ SECRETS: list[tuple[tuple, tuple]] = [
 INGESTS: list[tuple[tuple, tuple]] = [
     ((True, '[{"a": 1}, {"b": 2}]'), (200, 2)), ((False, '[{"a": 1}]'), (401, 0)), ((_N, "x"), (401, 0)), ((True, "not json"), (400, 0)), ((True, "[]"), (400, 0)), ((True, '{"a": 1}'), (400, 0)), ((True, "[" + ",".join(["1"] * 250) + "]"), (200, 250)), ((True, "[" + ",".join(["1"] * 251) + "]"), (400, 0)), ((True, _N), (400, 0)),
 ]
+
+_PAGE = "<h1>Harbour Film Prize</h1>"
+#: Pages as (html, text, title, links, preset, answer) at https://h.org/call; then source, code, title, organizer, category, deadline, deadline_status, fee, currency, max_minutes, ai_policy, official_url on 2026-03-01.
+PROCESSED: list[tuple[tuple, tuple]] = [
+    ((_PAGE, "Run by Harbour House. Deadline: 20 May 2026. Entry fee: €20. Films up to 15 minutes. AI-generated films are not accepted.", "Harbour Film Prize", "Apply>https://h.org/apply", _N, _N), ("visible", _N, "Harbour Film Prize", "Unknown organizer", "Traditional festival", "2026-05-20", "confirmed", 20.0, "EUR", 15, "restricted", "https://h.org/call")),
+    ((_PAGE, "Submissions are open. Deadline: 15 June, edition 2026.", "Harbour Film Prize", "Apply>https://h.org/apply", _N, _N), ("visible", _N, "Harbour Film Prize", "Unknown organizer", "Traditional festival", "2026-06-15", "estimated", _N, _N, _N, _N, "https://h.org/call")),
+    ((_PAGE, "Lagoon Grant by Lagoon House. Deadline: 20 May 2026.", "Lagoon Grant", "", '[{"title": "Lagoon Grant", "organizer": "Lagoon House", "official": "https://h.org/call"}]', _N), ("preset", _N, "Lagoon Grant", "Lagoon House", "Grant", "2026-05-20", "confirmed", _N, _N, _N, _N, "https://h.org/call")),
+    (("<h1>Our garden</h1>", "Aurora Lab by Aurora House. Entry fee: €20. Films up to 15 minutes", "Our garden", "", _N, '[{"title": "Aurora Lab", "organizer": "Nobody Known", "category": "Residency", "fee": "5", "currency": "usd"}]'), ("model", _N, "Aurora Lab", "Unknown organizer", "Residency", _N, "unknown", 5.0, "USD", 15, _N, _N)),
+    (("<h1>Our garden</h1>", "Aurora Lab film", "Our garden", "", _N, '[{"title": "Winter Lab film"}]'), ("model", "UNGROUNDED_TITLE", _N, _N, _N, _N, _N, _N, _N, _N, _N, _N)),
+    (("<h1>Our garden</h1>", "text", "Our garden", "", _N, "[]"), ("model", "NOT_RELEVANT", _N, _N, _N, _N, _N, _N, _N, _N, _N, _N)),
+    (("<h1>Our garden</h1>", "text", "Our garden", "", _N, _N), ("none", "NO_STRONG_TITLE_SIGNAL", _N, _N, _N, _N, _N, _N, _N, _N, _N, _N)),
+    (("<h1>Our garden</h1>", "text about a late deadline", "Our garden", "", '[{"title": "Late deadline"}]', _N), ("preset", "GENERIC_TITLE", _N, _N, _N, _N, _N, _N, _N, _N, _N, _N)),
+    (("<h1>Harbour Film Prize</h1>", "Apply. Deadline: 20 February 2026.", "Harbour Film Prize", "Apply>https://h.org/apply", '[{"title": "Harbour Film Prize", "deadline": "2026-02-20"}]', _N), ("preset", _N, "Harbour Film Prize", "Unknown organizer", "Traditional festival", _N, "unknown", _N, _N, _N, _N, _N)),
+]

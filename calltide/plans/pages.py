@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions import pages as P
+from ..operators import processing
 from . import cases
 from .base import moment, query, table
 
@@ -63,3 +64,15 @@ def hunted_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = P.best_deadline(F.col("d.deadline"), F.col("d.deadline_quote"), F.col("closes"), F.coalesce("t", F.lit("")), moment("2026-03-01 09:00:00"))
     out = rows.select("id", best.alias("b"))
     return out.select("id", F.col("b.deadline").cast("string").alias("deadline"), "b.status", "b.method")
+
+
+_PROCESSED = "source, code, title, organizer, category, deadline, deadline_status, fee, currency, max_minutes, ai_policy, official_url"
+
+
+@query(_expected(_PROCESSED, cases.PROCESSED, _PROCESSED.replace("fee,", "fee::DOUBLE AS fee,").replace("max_minutes", "max_minutes::INT AS max_minutes").replace("deadline,", "deadline::VARCHAR AS deadline,", 1)))
+def processed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X28 JB2 JB5: pages through the cascade of items, facts, normalisation and rejects."""
+    rows = cases.dealt(spark, _ids(spark, sf_dir), _given(cases.PROCESSED), "html string, text string, title string, joined string, preset string, answer string")
+    fetched = rows.select(F.col("id").alias("page_id"), F.lit("https://h.org/call").alias("url"), "html", "text", "title", _links(F.col("joined")).alias("links"), "preset", "answer")
+    out = processing.process(fetched, date(2026, 3, 1), moment("2026-03-01 09:00:00"))
+    return out.withColumn("deadline", F.col("deadline").cast("string")).select(F.col("page_id").alias("id"), *_PROCESSED.split(", "))
