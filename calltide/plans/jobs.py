@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import extract as X
 from ..functions import html as H
-from ..functions import review
+from ..functions import pages as grants
+from ..functions import review, rules
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import joins, metrics, ranking, state
+from ..operators import dedupe, joins, metrics, ranking, state
 from ..sources import readers, sinks
 from .base import NOW, OPPORTUNITIES, SOURCES, moment, opportunities, query, sources, spread, table
 from .ranking import _DUE, _ORDER
@@ -106,6 +108,61 @@ def job_harvest_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.due_pages(urls, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderdate").alias("read_at")), moment(NOW), 30)
 
 
+def _ingested(records: DataFrame, known: DataFrame) -> DataFrame:
+    """(title, closing, records, action) of records (seq, title, closing): folded and merged, and whether each is new or updates a known title."""
+    name = T.identity_text(F.col("title"))
+    keyed = records.select(F.col("seq").cast("bigint").alias("seq"), name.alias("canonical"), F.concat_ws("|", name, F.coalesce("closing", F.lit("open"))).alias("fuzzy"), F.lit(0.5).alias("confidence"), "title", "closing")
+    merged = dedupe.merge_groups(dedupe.fold_duplicates(keyed), ["title", "closing"], {})
+    both = merged.join(known.select("title", F.lit(True).alias("known")).distinct(), "title", "left")
+    return both.select("title", "closing", "records", F.when(F.col("known"), "update").otherwise("insert").alias("action"))
+
+
+_INGEST = "SELECT title, arg_min(closing, seq) FILTER (closing IS NOT NULL) AS closing, count(*) AS records, CASE WHEN title IN (SELECT title FROM known) THEN 'update' ELSE 'insert' END AS action FROM r GROUP BY title"
+
+
+@query(f"""WITH r AS (SELECT page_id AS seq, 'Bando corti ' || (page_id % 20)::VARCHAR AS title, CASE WHEN page_id % 4 <> 1 THEN '2026-05-0' || (1 + page_id % 9)::VARCHAR END AS closing FROM pages WHERE page_id % 3 <> 0), known AS (SELECT 'Bando corti ' || s_suppkey::VARCHAR AS title FROM supplier WHERE s_suppkey % 2 = 0) {_INGEST}""")
+def job_harvest_italy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JB21 SC23 HT17 X26 D1 SK5: grant pages that are due, read, folded and ingested."""
+    k = F.col("page_id")
+    now = moment("2026-03-01 09:00:00")
+    day = F.concat(F.lit("0"), (1 + k % 9).cast("string"), F.lit(".05.2026"))
+    text = F.concat(F.lit("Scheda bando Aperto "), F.when(k % 4 != 1, F.concat(F.lit("Scadenza sessioni: "), day)).otherwise(""))
+    pages = table(spark, sf_dir, "pages").select(k.alias("url"), text.alias("text"), F.concat(F.lit("<h1>Bando corti "), (k % 20).cast("string"), F.lit("</h1>")).alias("html"))
+    read = pages.select("url", F.when(F.col("url") % 3 == 0, moment("2026-02-20 00:00:00")).otherwise(moment("2026-01-01 00:00:00")).alias("read_at"))
+    due = readers.due_pages(pages, read, now, 30)
+    g = grants.grant_facts(F.col("text"), F.col("html"), F.array().cast("array<struct<url:string,text:string>>"))
+    facts = due.select(F.col("url").alias("seq"), g.alias("g")).select("seq", "g.title", F.col("g.closing").cast("string").alias("closing"))
+    known = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("Bando corti "), F.col("s_suppkey").cast("string")).alias("title"))
+    return _ingested(facts, known)
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS seq, 'Film fund ' || (o_orderkey % 50)::VARCHAR AS title, '2026-0' || (6 + o_orderkey % 3)::VARCHAR || '-01' AS closing FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0), known AS (SELECT 'Film fund ' || s_suppkey::VARCHAR AS title FROM supplier) {_INGEST}""")
+def job_harvest_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JB20 SC22 HT15 X26 D1 SK5: a portal's topics in scope and still open, with their next cut-off, folded and ingested."""
+    k = F.col("o_orderkey")
+    title = F.concat(F.when(k % 3 == 0, "Film fund ").otherwise("Road fund "), (k % 50).cast("string"))
+    status = F.when(k % 5 == 0, "closed").otherwise("open")
+    answer = F.format_string('{"results": [{"metadata": {"identifier": "T-%d", "title": "%s", "deadlines": ["2026-05-01", "2026-0%d-01"], "actions": ["{\\"status\\": \\"%s\\"}"]}}]}', k, title, 6 + k % 3, status)
+    topics = table(spark, sf_dir, "orders").select(k.alias("seq"), F.explode(rules.topics(answer)).alias("t")).where((F.col("t.status") == "open") & F.lower("t.title").contains("film"))
+    days = F.transform("t.deadlines", lambda d: d.cast("date"))
+    facts = topics.select("seq", "t.title", D.next_cutoff(days, F.lit("2026-05-15").cast("date")).cast("string").alias("closing"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Film fund "), F.col("s_suppkey").cast("string")).alias("title"))
+    return _ingested(facts, known)
+
+
+@query(f"""WITH c AS (SELECT o_orderkey AS seq, 'Aurora ' || (o_orderkey % 70)::VARCHAR || ' Fest' AS title FROM orders), r AS (SELECT seq, title, NULL::VARCHAR AS closing FROM c WHERE seq % 4 <> 0), known AS (SELECT 'Aurora ' || s_suppkey::VARCHAR || ' Fest' AS title FROM supplier) {_INGEST}""")
+def job_harvest_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JB19 SC21 ST12 HT13 HT14 X26 D1 SK5: a platform's cards that are new or changed, folded and ingested."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("Aurora "), (k % 70).cast("string"), F.lit(" Fest"))
+    html = F.concat(F.lit('<p><a href="/festival/'), k.cast("string"), F.lit('"><b>'), name, F.lit("</b></a></p>"))
+    cards = table(spark, sf_dir, "orders").select(F.explode(rules.listing_cards(html)).alias("c")).select(F.col("c.id").alias("card_id"), F.col("c.text").alias("title"), F.sha2(F.col("c.text"), 256).alias("card_hash"))
+    known_cards = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(k.alias("card_id"), F.when(k % 4 == 0, F.sha2(name, 256)).otherwise("old").alias("card_hash"))
+    facts = readers.changed_cards(cards, known_cards).select(F.col("card_id").alias("seq"), "title", F.lit(None).cast("string").alias("closing"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Aurora "), F.col("s_suppkey").cast("string"), F.lit(" Fest")).alias("title"))
+    return _ingested(facts, known)
+
+
 @query("""SELECT l_suppkey AS item, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS sites, min(l_linestatus) AS country FROM lineitem GROUP BY l_suppkey HAVING NOT bool_or(l_quantity > 49.5 AND l_suppkey % 2 = 0) AND count(CASE WHEN l_suppkey % 5 = 0 THEN 1 END) = 0""")
 def wikidata_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC17: bindings of items, without dissolved ones and those with a series."""
