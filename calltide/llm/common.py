@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,22 +85,37 @@ def drop_written(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def _batch_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties the edges of each batch into stars around its smallest connected nodes."""
-    for b in batches:
-        root: dict[int, int] = {}
+#: Edges that a task ties at once.
+TIE = 1 << 17
+
 
-        def find(x: int, root: dict[int, int] = root) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root[up]
-            return x
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties the edges of a task, up to TIE at a time, into stars around the smallest connected nodes."""
 
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x, y = find(u), find(v)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        stars = [(u, r) for u in root if (r := find(u)) != u]
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in stars], pa.int64()), pa.array([v for _, v in stars], pa.int64())], names=["u", "v"])
+    def tied(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        low, a, b = np.arange(len(nodes)), at[: len(u)], at[len(u) :]
+        while True:  # the smaller root of each edge's ends, and then of each node's root
+            least = np.minimum(low[a], low[b])
+            after = low.copy()
+            np.minimum.at(after, low[a], least)
+            np.minimum.at(after, low[b], least)
+            after = after[after]
+            if (after == low).all():
+                break
+            low = after
+        leaf = low != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[low[leaf]])], names=["u", "v"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += b.num_rows
+        if n >= TIE:
+            yield tied(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield tied(*map(np.concatenate, zip(*held, strict=True)))
 
 
 #: A key that holds at least this share of the rows is hot; so there are at most 1 / HOT of them.
@@ -113,11 +129,11 @@ def lookup(rows: DataFrame, found: DataFrame, keys: list[str], total: int, how:
 
     The hot keys' rows of ``found``, at most 1 / HOT (times two for edges, which count at both
     ends), are broadcast, so that the rows of a hot key stay where they are; the others are shuffled,
-    but for those with a missing key. ``found`` is read three times, so it is a written table.
+    but for those with a missing key, at any size alike. ``found`` is read three times, so it is a written table.
     """
     least = max(1, int(total * HOT))
     hot, cold = F.broadcast(found.where(F.col("n") >= least).drop("n")), found.where(F.col("n") < least).drop("n")
-    out = rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").dropna(subset=keys).join(cold, keys, how))
+    out = rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").dropna(subset=keys).join(cold.hint("merge"), keys, how))
     if how == "left":
         missing = F.lit(False)
         for k in keys:
@@ -142,23 +158,28 @@ def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = SIEVE
 def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph as rows (node, component), component the smallest node (nodes are bigint).
 
-    Alternating large-star and small-star steps: each replaces the edges by
-    stars of the smallest neighbour and keeps the components; rounds grow with
+    Edges are tied into stars task by task, up to TIE at a time; when all fit one task that is the end.
+    Else alternating large-star and small-star steps each replace the edges by
+    stars of the smallest neighbour and keep the components; rounds grow with
     the logarithm of the component size. A step is a minimum per node and a
     lookup of it, for which the edges of a node with a great many of them are not shuffled, so no
-    task holds a group; edges are tied into stars batch by batch before they
-    are shuffled, and written after each round. Isolated nodes do not occur in
-    the result.
+    task holds a group. Isolated nodes do not occur in the result.
     """
     own = edges.select(F.greatest(src, dst).cast("bigint").alias("u"), F.least(src, dst).cast("bigint").alias("v")).where("u <> v")
-    now = written(own.mapInArrow(_batch_stars, "u bigint, v bigint"), "edges")
+    now = written(own.mapInArrow(_stars, "u bigint, v bigint").distinct(), "edges")
     for _ in range(max_rounds):
+        total = now.count()
+        parts = -(-total // TIE)
+        tied = written(now.coalesce(max(1, parts)).mapInArrow(_stars, "u bigint, v bigint"), "edges")
+        drop_written(now)
+        now = tied
+        if parts <= 1:
+            break
         # stars only: every node is a leaf of one star, or a centre
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
         ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
         if not ends.where("leaf + centre > 1 and leaf > 0").head(1):
             break
-        total = now.count()
         # large star: every neighbour larger than u goes to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "edges")
@@ -166,7 +187,7 @@ def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         # small star: every neighbour smaller than u, and u itself, goes to the smallest of them
         least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "edges")
         small = lookup(large, least, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = written(small.mapInArrow(_batch_stars, "u bigint, v bigint").distinct(), "edges")
+        after = written(small.distinct(), "edges")
         for done in (now, low, large, least):
             drop_written(done)
         now = after

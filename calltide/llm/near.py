@@ -12,7 +12,8 @@ Documents with equal sets become one node before anything is shuffled. Nodes
 that share a key are tied into stars (in each batch first, so that a key of
 any number of documents sends one row per batch), and the components of the
 stars are the only clusters that can hold links. Clusters are cut into tiles
-of bounded size; in a tile, pairs within the radius are compared on their full
+of bounded size. In a tile the signatures say which nodes have another one within the radius; only
+their texts are read again, and the pairs within the radius compared on their full
 sets, nearest first, skipping pairs that are already connected, so that a tile
 yields at most a spanning forest of confirmed links. For clusters of several tiles the first
 tile is compared with each other one, and then the nodes outside the largest
@@ -28,7 +29,7 @@ itself and keeps a repeated row once; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import combinations
 from typing import NamedTuple
@@ -152,14 +153,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(own_sets, pa.binary()), pa.array(sigs, pa.binary())], names=[*b.schema.names[1:], "own", "sig"])
 
 
-def _links(scheme: Scheme, node: np.ndarray, comp: np.ndarray, side: np.ndarray, own: list[bytes], sig: list[bytes]) -> list[tuple[int, int]]:
-    """Confirmed links that connect what ``comp`` does not, as many as it takes; with two sides only between side 1 and any."""
-    node, first = np.unique(node, return_index=True)
-    if len(node) < 2:
-        return []
-    comp, side = comp[first], side[first]
-    sets = [np.frombuffer(own[i], np.uint64) for i in first]
-    m = np.frombuffer(b"".join(sig[i] for i in first), np.uint16).reshape(-1, SYMBOLS)
+def _within(scheme: Scheme, comp: np.ndarray, side: np.ndarray, size: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each node of side 1 the nodes (and distances) within the radius that ``comp`` does not connect with it and whose sets are not too small or large; pairs of side 1 once."""
+    for i in np.flatnonzero(side):
+        js = np.flatnonzero((comp != comp[i]) & ((side == 0) | (np.arange(len(comp)) > i)))
+        js = js[(100 * np.minimum(size[js], size[i]) >= scheme.share * np.maximum(size[js], size[i]))]
+        far = (m[js] != m[i]).sum(1)
+        yield int(i), js[far <= scheme.radius], far[far <= scheme.radius]
+
+
+def _symbols(sig: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _links(t: pa.Table, scheme: Scheme) -> pa.RecordBatch:
+    """Confirmed links of a tile (node, comp, side, own, sig) that connect what ``comp`` does not, as many as it takes; with two sides only between side 1 and any."""
+    node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+    t = t.take(pa.array(first))
+    comp, side, sets = t.column("comp").to_numpy(), t.column("side").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("own").to_pylist()]
     root = {}
 
     def find(x: int) -> int:
@@ -167,14 +178,9 @@ def _links(scheme: Scheme, node: np.ndarray, comp: np.ndarray, side: np.ndarray,
             root[x] = x = root.get(up, up)
         return x
 
-    found, size = [], np.array([len(s) for s in sets])
-    for i in range(len(node)):
-        if side[i]:
-            js = np.flatnonzero((comp != comp[i]) & ((side == 0) | (np.arange(len(node)) > i)))
-            js = js[(100 * np.minimum(size[js], size[i]) >= scheme.share * np.maximum(size[js], size[i]))]
-            far = (m[js] != m[i]).sum(1)
-            found += [(int(d), i, int(j)) for d, j in zip(far[far <= scheme.radius], js[far <= scheme.radius], strict=True)]
-    out = []
+    found, out = [], []
+    for i, js, far in _within(scheme, comp, side, np.array([len(s) for s in sets]), _symbols(t.column("sig").to_pylist())):
+        found += [(int(d), i, int(j)) for d, j in zip(far, js, strict=True)]
     for _, i, j in sorted(found):
         x, y = find(int(comp[i])), find(int(comp[j]))
         if x != y:
@@ -182,37 +188,40 @@ def _links(scheme: Scheme, node: np.ndarray, comp: np.ndarray, side: np.ndarray,
             if 100 * both >= scheme.share * (len(sets[i]) + len(sets[j]) - both):
                 root[max(x, y)] = min(x, y)
                 out.append((int(node[i]), int(node[j])))
-    return out
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Links of each tile; the rows (group, cluster, node, comp, side, own, sig) come sorted by group and cluster, a tile at a time is held."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _near(t: pa.Table, scheme: Scheme) -> pa.RecordBatch:
+    """The nodes of a tile (tile, node, comp, side, size, sig) that have another one within the radius, by their signatures alone."""
+    comp, side, size = (t.column(c).to_numpy() for c in ("comp", "side", "size"))
+    some = np.zeros(len(comp), bool)
+    for i, js, _ in _within(scheme, comp, side, size, _symbols(t.column("sig").to_pylist())):
+        some[js] = True
+        some[i] |= len(js) > 0
+    return t.select(["tile", "node", "comp", "side"]).filter(pa.array(some)).combine_chunks().to_batches()[0] if some.any() else pa.RecordBatch.from_pylist([], t.select(["tile", "node", "comp", "side"]).schema)
 
-    def links() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        held.clear()
-        found = _links(scheme, *(t.column(c).to_numpy() for c in ("node", "comp", "side")), t.column("own").to_pylist(), t.column("sig").to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
+def _tiles(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, Scheme], pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """``work`` on each tile; the rows come sorted by tile, which is the first column; a tile at a time is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
         tile = b.column(0).to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else []
         for x, y in zip(starts, [*starts[1:], len(tile)], strict=True):
             if held and tile[x] != last:
-                yield links()
+                yield work(pa.Table.from_batches(held), scheme)
+                held.clear()
             last = tile[x]
             held.append(b.slice(x, y - x))
     if held:
-        yield links()
+        yield work(pa.Table.from_batches(held), scheme)
 
 
-def _confirmed(tiles: DataFrame, scheme: Scheme) -> DataFrame:
-    """Runs the tiles: rows of a group stay together, in memory one group at a time."""
-    group = F.xxhash64("group", "cluster")
-    dealt = tiles.select(group.alias("tile"), "node", "comp", "side", "own", "sig").repartition("tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(lambda batches: _tiles(batches, scheme), "a bigint, b bigint")
+def _by_tile(rows: DataFrame, work: Callable[[pa.Table, Scheme], pa.RecordBatch], scheme: Scheme, schema: str) -> DataFrame:
+    """Runs ``work`` on the rows of each tile: they stay together, in memory one tile at a time."""
+    dealt = rows.repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(lambda batches: _tiles(batches, work, scheme), schema)
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -225,9 +234,18 @@ def features(documents: DataFrame) -> DataFrame:
 
 
 def nodes_of(feats: DataFrame) -> DataFrame:
-    """(node, first, shingles, n): each distinct set, with the smallest (doc_id, h) that has it and the number of rows."""
+    """(node, first, shingles, sig, n): each distinct set, with the smallest (doc_id, h) that has it and the number of rows."""
     real = feats.where("node is not null and doc_id is not null")
-    return written(real.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max("n_shingles").alias("shingles"), F.count("*").alias("n")), "nodes")
+    return written(real.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max("n_shingles").alias("shingles"), F.max("sig").alias("sig"), F.count("*").alias("n")), "nodes")
+
+
+def _sets_of(documents: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, own, sig) of the wanted nodes, from the text of the first row that has the set."""
+    named = written(members.select("node", "doc_id", "h").join(wanted.select("node").distinct().hint("merge"), "node"), "wanted")
+    # a sieve of fixed size keeps most texts from the shuffle; what is wanted grows with the input, so it is not sent to the texts
+    texts = sieve(_texts(documents), named, ["doc_id", "h"]).where("maybe").drop("maybe").dropDuplicates(["doc_id", "h"])
+    found = texts.join(named.hint("merge"), ["doc_id", "h"]).select("text", "node")
+    return written(found.mapInArrow(_sets, "node bigint, own binary, sig binary"), "sets")
 
 
 def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -235,51 +253,50 @@ def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Sche
     sigs = feats.where("node is not null and doc_id is not null").select("node", "sig")
     # stars of nodes that share a key: in each batch, then over the batches. A batch sends one row for a key, so
     # even a key that all nodes share is less than one row in a thousand of those that are dealt out
-    near = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, True), "a bigint, b bigint")
+    inside = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, True), "a bigint, b bigint")
     low = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, False), "key bigint, node bigint").withColumn("low", F.min("node").over(Window.partitionBy("key")))
     far = low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    clusters = min_label_components(near.unionByName(far)).withColumnRenamed("component", "cluster")
+    clusters = min_label_components(inside.unionByName(far)).withColumnRenamed("component", "cluster")
 
-    members = clusters.join(nodes.drop("n"), "node")
+    members = clusters.join(nodes.drop("n").hint("merge"), "node")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("shingles") / TILE_SHINGLES)).cast("long").alias("tiles"), F.count("*").alias("n"))
-    members, sizes = written(members.select("node", "cluster", "first.doc_id", "first.h"), "members"), written(sizes, "sizes")
+    members, sizes = written(members.select("node", "cluster", "sig", F.col("shingles").alias("size"), "first.doc_id", "first.h"), "members"), written(sizes, "sizes")
     members = lookup(members, sizes, ["cluster"], members.count()).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
-    # a sieve of fixed size keeps most texts from the shuffle; the members grow with the input, so they are not sent to the texts
-    texts = sieve(_texts(documents), members, ["doc_id", "h"]).where("maybe").drop("maybe").dropDuplicates(["doc_id", "h"])
-    found = texts.join(members.hint("merge"), ["doc_id", "h"]).select("text", "node", "cluster", "tiles", "tile")
-    full = written(found.mapInArrow(_sets, "node bigint, cluster bigint, tiles bigint, tile bigint, own binary, sig binary"), "sets")
+    near_rows, link_rows = "tile bigint, node bigint, comp bigint, side int", "a bigint, b bigint"
 
-    # the first tile with each of the others
+    # the first tile with each of the others, by signatures; only nodes with another one within the radius are read again
     others = F.when(F.col("tile") > 0, F.array("tile")).otherwise(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("tiles") - 1)))
-    cols = ["cluster", "node", "comp", "side", "own", "sig"]
-    first = full.withColumn("group", F.explode(others)).withColumn("comp", F.col("node")).withColumn("side", F.lit(1))
-    out = written(_confirmed(first.select("group", *cols), scheme), "links")
+    first = members.withColumn("group", F.explode(others)).select(F.xxhash64("group", "cluster").alias("tile"), "node", F.col("node").alias("comp"), F.lit(1).alias("side"), "size", "sig")
+    near = written(_by_tile(first, _near, scheme, near_rows), "near")
+    sets = _sets_of(documents, members, near)
+    again = near.join(sets.hint("merge"), "node").select("tile", "node", "comp", "side", "own", "sig")
+    out = written(_by_tile(again, _links, scheme, link_rows), "links")
 
     # in clusters of several tiles: the nodes outside the largest component with all nodes
-    if full.select("tiles").where("tiles > 1").head(1):
-        large = full.where("tiles > 1")
-        comps = min_label_components(out)
-        large = large.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        per = large.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum(F.length("own")).alias("bytes"))
-        top = per.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-        rest = per.join(top, "cluster").where("comp <> top").groupBy("cluster", "top").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.sum("bytes") / (8 * TILE_SHINGLES))).cast("long").alias("rows"))
-        large = large.join(rest, "cluster")
-        outside = large.where("comp <> top").withColumn("r", F.pmod(F.xxhash64("node"), "rows"))
-        left = outside.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("side", F.lit(1))
-        right = large.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("c", F.col("tile")).withColumn("side", F.lit(0))
+    if members.where("tiles > 1").head(1):
+        large = members.where("tiles > 1").select("node", "cluster", "tiles", "tile", "sig", "size")
+        large = large.join(min_label_components(out), "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        per = large.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        top = per.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"))
+        rest = per.join(top, "cluster").where("comp <> top").groupBy("cluster", "top").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.sum("shingles") / TILE_SHINGLES)).cast("long").alias("rows"))
+        large = written(large.join(rest, "cluster").withColumn("own_row", F.pmod(F.xxhash64("node"), "rows")), "large")
+        left = large.where("comp <> top").withColumns({"r": F.col("own_row"), "c": F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)), "side": F.lit(1)})
+        right = large.withColumns({"r": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)), "c": F.col("tile"), "side": F.lit(0)})
         # a node that is on both sides of a group counts once, on side 1
-        both = left.select("r", "c", *cols).unionByName(right.where("comp = top or pmod(xxhash64(node), rows) <> r").select("r", "c", *cols))
-        more = _confirmed(both.withColumn("group", F.col("r") * 1_000_003 + F.col("c")).select("group", *cols), scheme)
-        out = out.unionByName(written(more, "links"))
+        both = left.unionByName(right.where("comp = top or own_row <> r")).select(F.xxhash64(F.col("r") * 1_000_003 + F.col("c"), "cluster").alias("tile"), "node", "comp", "side", "size", "sig")
+        near = written(_by_tile(both, _near, scheme, near_rows), "near")
+        more = _sets_of(documents, members, near.join(sets.select("node"), "node", "left_anti"))
+        again = near.join(sets.unionByName(more).hint("merge"), "node").select("tile", "node", "comp", "side", "own", "sig")
+        out = out.unionByName(written(_by_tile(again, _links, scheme, link_rows), "links"))
     return out
 
 
 def _per_node(nodes: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """(node, first, n, alone): the smallest (doc_id, h) of the component of each node."""
-    comps = written(min_label_components(found).join(nodes.select("node", "first"), "node"), "components")
+    comps = written(min_label_components(found).join(nodes.select("node", "first").hint("merge"), "node"), "components")
     smallest = written(comps.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("n")), "components")
     linked = lookup(comps.select("node", "component"), smallest, ["component"], total).select("node", F.col("first").alias("linked"))
-    own = nodes.join(linked, "node", "left").select("node", F.coalesce("linked", "first").alias("first"), "n", F.col("linked").isNull().alias("alone"))
+    own = nodes.join(linked.hint("merge"), "node", "left").select("node", F.coalesce("linked", "first").alias("first"), "n", F.col("linked").isNull().alias("alone"))
     return written(own, "ids")
 
 
