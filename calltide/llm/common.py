@@ -76,13 +76,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Removes the files of a ``written`` table that nothing reads any more."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Removes the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 #: Edges that a task ties at once.
@@ -188,8 +189,7 @@ def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         least = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "edges")
         small = lookup(large, least, ["u"], total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = written(small.distinct(), "edges")
-        for done in (now, low, large, least):
-            drop_written(done)
+        drop_written(now, low, large, least)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

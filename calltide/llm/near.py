@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, min_label_components, sieve, written
+from .common import drop_written, lookup, min_label_components, sieve, written
 
 WORDS = 5
 SYMBOLS = 64
@@ -245,7 +245,9 @@ def _sets_of(documents: DataFrame, members: DataFrame, wanted: DataFrame) -> Dat
     # a sieve of fixed size keeps most texts from the shuffle; what is wanted grows with the input, so it is not sent to the texts
     texts = sieve(_texts(documents), named, ["doc_id", "h"]).where("maybe").drop("maybe").dropDuplicates(["doc_id", "h"])
     found = texts.join(named.hint("merge"), ["doc_id", "h"]).select("text", "node")
-    return written(found.mapInArrow(_sets, "node bigint, own binary, sig binary"), "sets")
+    out = written(found.mapInArrow(_sets, "node bigint, own binary, sig binary"), "sets")
+    drop_written(named)
+    return out
 
 
 def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -260,8 +262,8 @@ def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Sche
 
     members = clusters.join(nodes.drop("n").hint("merge"), "node")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("shingles") / TILE_SHINGLES)).cast("long").alias("tiles"), F.count("*").alias("n"))
-    members, sizes = written(members.select("node", "cluster", "sig", F.col("shingles").alias("size"), "first.doc_id", "first.h"), "members"), written(sizes, "sizes")
-    members = lookup(members, sizes, ["cluster"], members.count()).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    named, sizes = written(members.select("node", "cluster", "sig", F.col("shingles").alias("size"), "first.doc_id", "first.h"), "members"), written(sizes, "sizes")
+    members = lookup(named, sizes, ["cluster"], named.count()).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     near_rows, link_rows = "tile bigint, node bigint, comp bigint, side int", "a bigint, b bigint"
 
     # the first tile with each of the others, by signatures; only nodes with another one within the radius are read again
@@ -271,6 +273,7 @@ def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Sche
     sets = _sets_of(documents, members, near)
     again = near.join(sets.hint("merge"), "node").select("tile", "node", "comp", "side", "own", "sig")
     out = written(_by_tile(again, _links, scheme, link_rows), "links")
+    done = [named, sizes, near, sets]
 
     # in clusters of several tiles: the nodes outside the largest component with all nodes
     if members.where("tiles > 1").head(1):
@@ -288,6 +291,8 @@ def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Sche
         more = _sets_of(documents, members, near.join(sets.select("node"), "node", "left_anti"))
         again = near.join(sets.unionByName(more).hint("merge"), "node").select("tile", "node", "comp", "side", "own", "sig")
         out = out.unionByName(written(_by_tile(again, _links, scheme, link_rows), "links"))
+        done += [large, near, more]
+    drop_written(*done)
     return out
 
 
@@ -297,7 +302,9 @@ def _per_node(nodes: DataFrame, found: DataFrame, total: int) -> DataFrame:
     smallest = written(comps.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("n")), "components")
     linked = lookup(comps.select("node", "component"), smallest, ["component"], total).select("node", F.col("first").alias("linked"))
     own = nodes.join(linked.hint("merge"), "node", "left").select("node", F.coalesce("linked", "first").alias("first"), "n", F.col("linked").isNull().alias("alone"))
-    return written(own, "ids")
+    out = written(own, "ids")
+    drop_written(comps, smallest)
+    return out
 
 
 def components(documents: DataFrame, scheme: Scheme = LINKS_85) -> DataFrame:
@@ -315,6 +322,7 @@ def components(documents: DataFrame, scheme: Scheme = LINKS_85) -> DataFrame:
         found = found.unionByName(rows.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
         rows = rows.drop("low")
     ids = _per_node(nodes, found, total).select("node", F.col("first.doc_id").alias("node_id"), "n")
+    drop_written(nodes)
     out = lookup(rows.where("doc_id is not null"), ids, ["node"], total, "left").unionByName(rows.where("doc_id is null").withColumn("node_id", F.lit(None).cast("bigint")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -332,6 +340,7 @@ def keep_one(documents: DataFrame, scheme: Scheme = LINKS_80) -> DataFrame:
     real = feats.where("node is not null and doc_id is not null").select("doc_id", "h", "node")
     rows = lookup(real, stays, ["node"], total).groupBy("doc_id", "h", "first").agg(F.count("*").alias("times"))
     judged = written(rows.select("doc_id", "h", "times", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))).alias("stays")).where("not stays or times > 1"), "gone")
+    drop_written(feats, nodes, stays)
     # the rows go along as one column, as theirs may have any name; only those the sieve can't clear are shuffled
     whole = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     sifted = sieve(whole, judged, ["doc_id", "h"])
