@@ -56,8 +56,9 @@ class Scheme(NamedTuple):
     chunks: int
 
 
-#: At the least similarity a pair is further apart than the radius with a chance of about 1e-5.
-LINKS_85, LINKS_80 = Scheme(85, 23, 12), Scheme(80, 27, 14)
+#: A pair at the least similarity is further apart than the radius with a chance of about 1e-5 (0.85) or 1e-3 (0.8; 1e-4 at 0.82). A wider
+#: radius needs keys of so few symbols that texts with a common passage make clusters whose comparisons grow with their square.
+LINKS_85, LINKS_80 = Scheme(85, 23, 12), Scheme(80, 23, 12)
 
 _rng = np.random.default_rng(20_240_101)
 _MULTIPLY = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
