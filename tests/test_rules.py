@@ -410,3 +410,18 @@ def test_series_keep_the_texts_and_links_of_all_pages(spark):
         out = {r.series: r for r in records.series_pages(pages, "series", most).collect()}
         assert out[1].text == want[:most] and out[1].links == sorted({"home", *(f"l{i:03}" for i in range(450))})
         assert (out[2].text, out[2].links, out[None].text, out[None].links) == ("only", [], "lost", [])
+
+
+def test_series_pages_equal_their_sql_at_every_length(spark, tmp_path):
+    import duckdb
+
+    from calltide.plans import base, records
+
+    # the limit of 500 falls before, on and after the line end between two pages; texts and turns may be missing
+    rows = [(n, turn, role, text) for n in range(496, 504) for turn, role, text in ((0, "user", "x" * n), (1, "assistant", "next"), (2, "user", "last"))]
+    rows += [(1, 0, "user", None), (2, None, "user", "late"), (2, 5, "system", "early"), (2, 6, None, None), (3, 0, None, "no role")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {tuple(r) for r in records.series_pages(spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == set(c.sql(base.SQL["series_pages"]).fetchall())
