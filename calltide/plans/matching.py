@@ -230,11 +230,11 @@ pairs AS (SELECT a, b, method, round(CASE method WHEN 'canonical_url' THEN least
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(*[F.expr(e).alias(n) for n, e in ITEM])
+    return spread(table(spark, sf_dir, "customer")).select(*[F.expr(e).alias(n) for n, e in ITEM])
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(*[F.expr(e).alias(n) for n, e in RECORD])
+    return spread(table(spark, sf_dir, "supplier")).select(*[F.expr(e).alias(n) for n, e in RECORD])
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, method, confidence FROM pairs")

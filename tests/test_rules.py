@@ -425,3 +425,13 @@ def test_series_pages_equal_their_sql_at_every_length(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == set(c.sql(base.SQL["series_pages"]).fetchall())
+
+
+def test_copies_are_compared_once(spark):
+    rows, found = matching_rows(3)
+    again = lambda rows, n, of: [(r[0] + 1000 * i, *r[1:]) for i in range(n) for r in rows[:of]]
+    once, more = [[matching.normalized(spark.createDataFrame(r, MATCH_SCHEMA)).cache() for r in sides] for sides in ((rows[:20], found[:20]), (again(rows, 6, 20), again(found, 3, 20)))]
+    got = [(r.a, r.b, r.method, round(r.confidence, 4)) for r in matching.candidates(*more).collect()]
+    assert sorted(got) == sorted(brute_pairs(*[x.collect() for x in more]))
+    classes = lambda sides: matching.class_pairs(*[matching.copies(x)[0] for x in sides]).count()
+    assert classes(once) == classes(more) < len(got) / 17
