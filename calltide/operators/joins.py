@@ -46,10 +46,12 @@ def by_any_column(keys: DataFrame, key: str, rows: DataFrame, row_id: str, colum
 def first_match(truth: DataFrame, rows: DataFrame, truth_id: str, row_id: str, key: str, least: float = 0.5) -> DataFrame:
     """For each truth the row of equal ``key``, else the first row of an equal host with a token overlap of ``least`` or more."""
     direct = truth.join(rows.select(key, F.col(row_id).alias("direct")), key).groupBy(truth_id).agg(F.min("direct").alias("direct"))
-    hosts = truth.select(truth_id, F.explode("hosts").alias("host"), F.col("tokens").alias("wanted"))
-    same = hosts.join(rows.select("host", row_id, "tokens"), "host")
+    # rows of a host and token set count once, by their first; and so do truths of a host and token set, by what they find
+    first = rows.where(F.size("tokens") > 0).groupBy("host", F.array_sort("tokens").alias("tokens")).agg(F.min(row_id).alias("loose"))
+    hosts = truth.where(F.size("tokens") > 0).select(truth_id, F.explode("hosts").alias("host"), F.array_sort("tokens").alias("wanted"))
     shared = F.size(F.array_intersect("wanted", "tokens")) / F.least(F.size("wanted"), F.size("tokens"))
-    loose = same.where((F.size("wanted") > 0) & (F.size("tokens") > 0)).where(shared >= least).groupBy(truth_id).agg(F.min(row_id).alias("loose"))
+    found = hosts.select("host", "wanted").distinct().join(first, "host").where(shared >= least).groupBy("host", "wanted").agg(F.min("loose").alias("loose"))
+    loose = hosts.join(found, ["host", "wanted"]).groupBy(truth_id).agg(F.min("loose").alias("loose"))
     out = truth.select(truth_id).join(direct, truth_id, "left").join(loose, truth_id, "left")
     return out.select(truth_id, F.coalesce("direct", "loose").alias("matched"), F.when(F.col("direct").isNotNull(), "key").when(F.col("loose").isNotNull(), "host").alias("how"))
 

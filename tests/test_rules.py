@@ -435,3 +435,35 @@ def test_copies_are_compared_once(spark):
     assert sorted(got) == sorted(brute_pairs(*[x.collect() for x in more]))
     classes = lambda sides: matching.class_pairs(*[matching.copies(x)[0] for x in sides]).count()
     assert classes(once) == classes(more) < len(got) / 17
+
+
+def joined_rows(df):
+    """The most rows that a join of the executed plan of ``df`` gave."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_first_match_makes_no_pairs_of_copies(spark):
+    words = lambda i: F.array(F.lit("film"), F.concat(F.lit("w"), (i % 3).cast("string")), F.concat(F.lit("v"), (i % 5).cast("string")))
+    i = F.col("id")
+    truth = spark.range(2000).select(i.alias("truth"), F.concat(F.lit("k"), i.cast("string")).alias("key"), F.array(F.lit("a.org"), F.concat(F.lit("b"), (i % 2).cast("string"))).alias("hosts"), words(i).alias("tokens"))
+    rows = spark.range(3000).select(i, F.concat(F.lit("k"), (i * 7).cast("string")).alias("key"), F.when(i % 2 == 0, "a.org").otherwise("b1").alias("host"), words(i + 1).alias("tokens"))
+    rows = rows.unionByName(spark.createDataFrame([(9000, "x", "b0", []), (9001, "x", None, ["film"])], "id bigint, key string, host string, tokens array<string>"))
+    out = joins.first_match(truth, rows, "truth", "id", "key")
+    got = {r.truth: (r.matched, r.how) for r in out.collect()}
+    assert 0 < joined_rows(out) <= 10_000
+    held = [(r.id, r.host, set(r.tokens), r.key) for r in rows.collect()]
+    for r in truth.where("truth % 37 = 0").collect():
+        key = [x for x, _, _, k in held if k == r.key]
+        loose = [x for x, h, t, _ in held if h in r.hosts and t and len(t & set(r.tokens)) / min(len(t), 3) >= 0.5]
+        assert got[r.truth] == ((min(key), "key") if key else (min(loose), "host") if loose else (None, None))
