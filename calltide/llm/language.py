@@ -129,26 +129,24 @@ def identify(documents: DataFrame, profiles: Profiles) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
-#: Learned documents whose scores tell how low a score a recognised text has, at most, and the share of the lowest of them that is asked for.
-FLOOR_SAMPLE, FLOOR_SHARE = 2_000, 0.5
+#: The share of the lowest score of a recognised text, among the learned documents, that is asked for.
+FLOOR_SHARE = 0.5
 
 
 def floor(documents: DataFrame, profiles: Profiles, mod: int = 5) -> float:
-    """FLOOR_SHARE of the lowest score among the learned documents that are predicted as labelled (the FLOOR_SAMPLE lowest by hash of doc_id); 0 without any.
+    """FLOOR_SHARE of the lowest score among all learned documents that are predicted as labelled; 0 without any.
 
     Text in a language that was not learned, random letters and dumps of digits score lower than the
     texts that the profiles come from.
     """
     known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), mod, 0))
-    picked = known.select(F.col("doc_id").alias("picked")).distinct().orderBy(F.xxhash64("picked"), "picked").limit(FLOOR_SAMPLE)
-    some = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(profiles.predict(t), lang) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([s for (x, s), lang in found if x == lang], pa.float64())], names=["score"])
 
-    lowest = some.select(F.col("text").cast("string"), "lang").mapInArrow(run, "score double").agg(F.min("score").alias("low")).first().low
+    lowest = known.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "score double").agg(F.min("score").alias("low")).first().low
     return FLOOR_SHARE * (lowest or 0.0)
 
 

@@ -894,3 +894,14 @@ def test_licences_do_not_depend_on_the_white_space(spark):
 def test_licence_edges(edges, empty):
     assert edges.count() == licenses.scan(edges).where("licenses = ''").count()
     assert licenses.scan(empty).count() == 0
+
+
+def test_language_floor_takes_all_learned_documents(spark):
+    from pyspark.sql import functions as F
+
+    # the one text with a low score is that of the learned doc_id with the highest hash, so a sample by hash would miss it
+    ids = [r.id for r in spark.range(2700).where(F.crc32(F.col("id").cast("string")) % 5 != 0).orderBy(F.xxhash64("id")).collect()]
+    docs = spark.createDataFrame([(i, "xyzzy qqq" if i == ids[-1] else "the old harbour and the sea", "en") for i in ids], "doc_id bigint, text string, lang string")
+    profiles = language.fit(docs)
+    want = [profiles.predict(t)[1] for t in ("xyzzy qqq", "the old harbour and the sea")]
+    assert len(ids) > 2100 and want[0] < want[1] and language.floor(docs, profiles) == language.FLOOR_SHARE * want[0]
