@@ -90,7 +90,7 @@ def drop_written(*tables: DataFrame) -> None:
 TIE = 1 << 17
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ties the edges of a task, up to TIE at a time, into stars around the smallest connected nodes."""
 
     def tied(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -156,10 +156,11 @@ def sieve(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = SIEVE
     return marked.withColumn("maybe", hit).drop("sieve_word", "sieve_bits")
 
 
-def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60, tied: bool = False) -> DataFrame:
     """Connected components of an undirected graph as rows (node, component), component the smallest node (nodes are bigint).
 
-    Edges are tied into stars task by task, up to TIE at a time; when all fit one task that is the end.
+    Edges are tied into stars task by task, up to TIE at a time; when all fit one task that is the end. Edges from
+    a Python worker come ``tied`` by it: a second one in the same task would stay in the executor's memory.
     Else alternating large-star and small-star steps each replace the edges by
     stars of the smallest neighbour and keep the components; rounds grow with
     the logarithm of the component size. A step is a minimum per node and a
@@ -167,11 +168,11 @@ def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     task holds a group. Isolated nodes do not occur in the result.
     """
     own = edges.select(F.greatest(src, dst).cast("bigint").alias("u"), F.least(src, dst).cast("bigint").alias("v")).where("u <> v")
-    now = written(own.mapInArrow(_stars, "u bigint, v bigint").distinct(), "edges")
+    now = written((own if tied else own.mapInArrow(stars, "u bigint, v bigint")).distinct(), "edges")
     for _ in range(max_rounds):
         total = now.count()
         parts = -(-total // TIE)
-        tied = written(now.coalesce(max(1, parts)).mapInArrow(_stars, "u bigint, v bigint"), "edges")
+        tied = written(now.coalesce(max(1, parts)).mapInArrow(stars, "u bigint, v bigint"), "edges")
         drop_written(now)
         now = tied
         if parts <= 1:
@@ -193,5 +194,5 @@ def min_label_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

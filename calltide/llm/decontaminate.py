@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_written, written
 
 #: ASCII signs part words as white space does.
 SPACES = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
@@ -271,8 +272,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents``, with all their columns, in which no item leaks; each is judged where it is, nothing is shuffled."""
-    text = documents.columns.index("text")
+    """The rows of ``documents``, with all their columns, in which no item leaks; each is judged where it is, nothing is shuffled.
+
+    What is left after a block of items is written before the next, so that a task has one Python worker and holds one block.
+    """
+    text, own, out = documents.columns.index("text"), [], None
     for items in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
@@ -282,5 +286,9 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     gone = {x[0] for x in items.leaks([word_hashes(t) for t in some.column(text).to_pylist()])}
                     yield some.filter(pa.array([i not in gone for i in range(some.num_rows)], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+        if out is not None:
+            documents = written(out, "clean")
+            drop_written(*own)
+            own = [documents]
+        out = documents.mapInArrow(run, documents.schema)
+    return out

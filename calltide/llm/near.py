@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, min_label_components, sieve, written
+from .common import lookup, min_label_components, sieve, stars, written
 
 WORDS = 5
 SYMBOLS = 64
@@ -254,10 +254,10 @@ def links(documents: DataFrame, feats: DataFrame, nodes: DataFrame, scheme: Sche
     sigs = feats.where("node is not null and doc_id is not null").select("node", "sig")
     # stars of nodes that share a key: in each batch, then over the batches. A batch sends one row for a key, so
     # even a key that all nodes share is less than one row in a thousand of those that are dealt out
-    inside = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, True), "a bigint, b bigint")
+    inside = sigs.mapInArrow(lambda batches: stars(_by_key(batches, scheme, True)), "u bigint, v bigint")
     low = sigs.mapInArrow(lambda batches: _by_key(batches, scheme, False), "key bigint, node bigint").withColumn("low", F.min("node").over(Window.partitionBy("key")))
-    far = low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    clusters = min_label_components(inside.unionByName(far)).withColumnRenamed("component", "cluster")
+    far = low.where("node <> low").select("node", "low").mapInArrow(stars, "u bigint, v bigint")
+    clusters = min_label_components(inside.unionByName(far), "u", "v", tied=True).withColumnRenamed("component", "cluster")
 
     members = clusters.join(nodes.drop("n").hint("merge"), "node")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("shingles") / TILE_SHINGLES)).cast("long").alias("tiles"), F.count("*").alias("n"))

@@ -557,6 +557,43 @@ def test_near_duplicates_over_many_tiles(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def workers(plan):
+    """The most Python workers that a task of a physical plan has at once."""
+    most = 0
+
+    def below(node):
+        nonlocal most
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return below(node.executedPlan())
+        n = max([below(node.children().apply(i)) for i in range(node.children().size())], default=0) + (kind == "MapInArrowExec")
+        most = max(most, n)
+        return 0 if "Exchange" in kind else n
+
+    below(plan)
+    return most
+
+
+def test_a_task_has_one_python_worker(spark, edges, monkeypatch):
+    """Workers stay in an executor's memory once started, so a second one in a task counts for all later stages."""
+    found, write = [], common.written
+
+    def spy(df, what):
+        found.append((what, workers(df._jdf.queryExecution().executedPlan())))
+        return write(df, what)
+
+    for module in (common, near, decontaminate):
+        monkeypatch.setattr(module, "written", spy, raising=False)
+    near.keep_one(edges)
+    assert {"shingles", "edges", "links"} <= {x for x, _ in found} and max(n for _, n in found) == 1
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    bench = spark.createDataFrame([(i, prose(random.Random(i), 20)) for i in range(6)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before {prose(random.Random(i), 20)} after") for i in range(8)], "doc_id bigint, text string")
+    kept = decontaminate.keep_clean(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [6, 7]
+    assert workers(kept._jdf.queryExecution().executedPlan()) == 1 and max(n for _, n in found) == 1
+
+
 @pytest.mark.parametrize("scheme", [near.LINKS_85, near.LINKS_80])
 def test_index_finds_all_pairs_within_the_radius(scheme):
     rng = np.random.default_rng(1)
